@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("low_stats",)
+AREAS = ("low_stats", "chat_stats")
 
 
 def registry() -> tuple[dict, dict]:
