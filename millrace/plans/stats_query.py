@@ -31,9 +31,9 @@ def data(spark, sf_dir):
 
 
 def silo(spark, sf_dir):
-    """One statistics row per content hash; equal texts are measured once."""
-    records = data(spark, sf_dir).groupBy("_id_hash").agg(F.min("text").alias("text"), F.min("_lang").alias("_lang"))
-    return low_level_stats(records, "text", "_id_hash", "_lang")
+    """One statistics row per content hash. Copies collapse after the measuring, so only
+    numbers are shuffled, never texts."""
+    return one_row_per_id(low_level_stats(data(spark, sf_dir), "text", "_id_hash", "_lang"))
 
 
 def chat_silo(spark, sf_dir):
@@ -51,10 +51,11 @@ _DATA = (
 
 
 def _silo_sql(*names):
-    """Silo CTE: statistics of one representative text per hash, with the smallest language."""
-    inner = stats_cte(*names).replace("FROM documents", "FROM rep")
+    """Silo CTE: one row of statistics per content hash."""
+    least = ", ".join(f"min({n}) AS {n}" for n in names)
     return (
-        f"{_DATA}, rep AS (SELECT _id_hash AS doc_id, min(text) AS text, min(_lang) AS lang FROM d GROUP BY 1), s AS ({inner})"
+        f"{_DATA}, s0 AS ({stats_cte(*names)}), "
+        f"s AS (SELECT d._id_hash AS id, {least} FROM d JOIN s0 ON d.doc_id = s0.id GROUP BY 1)"
     )
 
 
