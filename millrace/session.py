@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or fallback
     if not configured and context.master.startswith("local"):
-        configured = os.path.join(spark.conf.get("spark.sql.warehouse.dir").replace("file:", ""), "_checkpoints")
+        configured = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     if not configured:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     context.setCheckpointDir(configured)
