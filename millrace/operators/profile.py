@@ -118,11 +118,11 @@ def with_missing(groups: DataFrame, group_totals: DataFrame, by: list[str]) -> D
 
 def scaled_totals(entries: DataFrame, by: list[str], truncate: bool = True, replica: str = "replica") -> DataFrame:
     """Totals of a mix: each entry is multiplied by its replica, truncated, then summed."""
-    factor = F.col(replica).cast("decimal(10,4)")
-
     def scaled(name: str) -> Column:
-        value = F.col(name).cast("decimal(24,0)") * factor
-        return F.sum(value.cast("long") if truncate else value.cast("decimal(30,4)")).alias(name)
+        if truncate:
+            return F.sum((F.col(name).cast("double") * F.col(replica).cast("double")).cast("long")).alias(name)
+        exact = F.col(name).cast("decimal(24,0)") * F.col(replica).cast("decimal(10,4)")
+        return F.sum(exact.cast("decimal(30,4)")).alias(name)
 
     return entries.groupBy(*by).agg(*[scaled(n) for n in ("samples", "tokens", "words")])
 

@@ -16,7 +16,8 @@ COUNTS = ("samples", "tokens", "words")
 
 
 def _whole(column: Column, factor: Column) -> Column:
-    return (column.cast("decimal(24,0)") * factor.cast("decimal(10,4)")).cast("long")
+    """Floating product truncated, as contracts have always been counted."""
+    return (column.cast("double") * factor.cast("double")).cast("long")
 
 
 def split_replicas(entries: DataFrame) -> DataFrame:
@@ -39,8 +40,8 @@ def split_replicas(entries: DataFrame) -> DataFrame:
 
 def unit_counts(entries: DataFrame) -> DataFrame:
     """Counts of a single replica again."""
-    replica = F.col("replica").cast("decimal(10,4)")
-    unit = {c: F.when(replica > 0, F.try_divide(F.col(c).cast("decimal(24,0)"), replica).cast("long")).otherwise(F.col(c)) for c in COUNTS}
+    replica = F.col("replica").cast("double")
+    unit = {c: F.when(replica > 0, F.try_divide(F.col(c).cast("double"), replica).cast("long")).otherwise(F.col(c)) for c in COUNTS}
     return entries.withColumns(unit)
 
 
@@ -60,7 +61,7 @@ def downsample_plan(fractions: DataFrame, catalog: DataFrame, listing: DataFrame
     planned = fractions.select(
         F.col("dist_id").alias("derived_from"),
         sample_target(F.col("uri"), F.col("replica")).alias("uri"),
-        F.concat(F.lit("downsampled__"), F.format_number(F.col("replica").cast("double"), "0.00"), F.lit("__"), F.col("name")).alias("name"),
+        F.concat(F.lit("downsampled__"), F.format_string("%.2f", F.col("replica").cast("double")), F.lit("__"), F.col("name")).alias("name"),
         F.col("replica").alias("rate"),
     )
     known = catalog.select("uri").distinct().withColumn("_known", F.lit(True))

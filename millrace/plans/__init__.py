@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("low_stats", "chat_stats", "standardize", "stats_query", "mapping", "catalog")
+AREAS = ("low_stats", "chat_stats", "standardize", "stats_query", "mapping", "catalog", "lineage", "recipe")
 
 
 def registry() -> tuple[dict, dict]:

@@ -288,7 +288,7 @@ def _mix(by, truncate=True):
 
 def _mix_sql(by, truncate=True, where=""):
     cells = ", ".join(
-        f"CAST(sum(CAST(trunc({c} * CAST({_REPLICA} AS DECIMAL(6,2))) AS BIGINT)) AS BIGINT) AS {c}"
+        f"CAST(sum(CAST(trunc(CAST({c} AS DOUBLE) * CAST(CAST({_REPLICA} AS DECIMAL(6,2)) AS DOUBLE)) AS BIGINT)) AS BIGINT) AS {c}"
         if truncate
         else f"round(CAST(sum({c} * CAST({_REPLICA} AS DECIMAL(6,2))) AS DOUBLE), 2) AS {c}"
         for c in ("samples", "tokens", "words")
