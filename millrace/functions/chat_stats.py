@@ -92,7 +92,7 @@ def message_metrics(
         return F.rlike(content, F.lit(pattern))
 
     thinks = filled(think)
-    steps = F.size(T.lines(F.coalesce(think, F.lit(""))))
+    steps = T.line_count(F.coalesce(think, F.lit("")))
     return {
         "user_char_count": only(user, size),
         "assistant_char_count": only(assistant, size),

@@ -20,6 +20,10 @@ PROFILES = {
 }
 
 
+def _hits(words: Column, vocabulary: list[str]) -> Column:
+    return T.count_where(words, lambda w: w.isin(vocabulary))
+
+
 def detect(sample: Column, profiles: dict[str, list[str]] | None = None) -> Column:
     """The language with the most function words in the sample; null when none occurs.
 
@@ -27,16 +31,14 @@ def detect(sample: Column, profiles: dict[str, list[str]] | None = None) -> Colu
     scoring stays inside the row: no join and no shuffle.
     """
     profiles = PROFILES if profiles is None else profiles
-    words = F.split(F.lower(sample), f"[^{C.WORD_CHAR}]+")
-
-    def hits(vocabulary: list[str]) -> Column:
-        return T.count_where(words, lambda w: w.isin(vocabulary))
-
-    scored = F.array(
-        *[F.struct(hits(profiles[code]).alias("score"), F.lit(code).alias("code")) for code in sorted(profiles)]
-    )
-    start = F.struct(F.lit(0).alias("score"), F.lit(None).cast("string").alias("code"))
-    return F.aggregate(scored, start, lambda best, x: F.when(x["score"] > best["score"], x).otherwise(best))["code"]
+    def best(words: Column) -> Column:
+        scored = F.array(
+            *[F.struct(_hits(words, profiles[code]).alias("score"), F.lit(code).alias("code")) for code in sorted(profiles)]
+        )
+        start = F.struct(F.lit(0).alias("score"), F.lit(None).cast("string").alias("code"))
+        return F.aggregate(scored, start, lambda top, x: F.when(x["score"] > top["score"], x).otherwise(top))["code"]
+
+    return T.let(F.split(F.lower(sample), f"[^{C.WORD_CHAR}]+"), best)
 
 
 def choose_language(

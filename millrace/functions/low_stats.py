@@ -1,6 +1,6 @@
 """Per-record low-level statistics: ``id`` and 38 numeric columns in one projection.
 
-Three stacked projections share the costly intermediates (letters removed, tokens,
+Stacked projections share the costly intermediates (letters removed, tokens,
 lines, token runs). Catalyst keeps such projections apart because the inner
 expressions are not cheap, so each intermediate is computed once per record, and it
 drops the intermediates nobody selects. There is no shuffle.
@@ -65,8 +65,8 @@ def low_level_stats(
         F.length(text).alias("_n"),
         T.without_letters(text).alias("_rest"),
         T.tokens(text).alias("_words"),
-        T.lines(text).alias("_lines"),
-    )
+        F.split(text, C.LINE_BREAK).alias("_parts"),
+    ).withColumn("_lines", T.drop_empty_tail(F.col("_parts")))
     rest, words, line_list = F.col("_rest"), F.col("_words"), F.col("_lines")
     ellipsis_chars = sum(
         (F.length(text) - F.length(F.replace(text, F.lit(e), F.lit(""))) for e in C.ELLIPSES), start=F.lit(0)

@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 from millrace.constants import LETTER, LINE_BREAK, WHITESPACE
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    An outer expression used inside a lambda is otherwise evaluated for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def count_class(text: Column, class_body: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{class_body}]+", ""))
 
@@ -43,12 +51,17 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, f"[{WHITESPACE}]+"), "")
 
 
-def lines(text: Column) -> Column:
+def drop_empty_tail(parts: Column) -> Column:
     """Lines without the empty tail that follows a final line break."""
-    parts = F.split(text, LINE_BREAK)
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
+def line_count(text: Column) -> Column:
+    """Number of lines of a non-empty text; a final line break opens no further line."""
+    closed = F.when(F.rlike(text, F.lit(rf"(?:{LINE_BREAK})\z")), 1).otherwise(0)
+    return F.size(F.split(text, LINE_BREAK)) - closed
+
+
 def count_where(items: Column, predicate) -> Column:
     return F.size(F.filter(items, predicate))
 

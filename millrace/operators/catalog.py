@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from millrace.functions.naming import entity_name, match_code, next_version
 from millrace.functions import text as T
@@ -284,7 +285,7 @@ def register_raw(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 MATCH_THRESHOLD = 0.65
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 

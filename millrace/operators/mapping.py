@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from millrace.functions import text as T
 from millrace.functions import transforms as X
 from millrace.operators.validate import violations
 
@@ -297,20 +298,17 @@ def _nested(entries) -> Column:
 def _list(group) -> Column:
     """A list from fixed positions, from whole value lists, or from both merged by position."""
     fixed = [s[0][1] for s, _ in group if s[0][1] != "*"]
-    spread = [v for s, v in group if s[0][1] == "*"]
-    length = F.lit(max(fixed) + 1 if fixed else 0)
-    for values in spread:
-        size = F.size(values.column) if values.many else F.lit(1)
-        length = F.greatest(length, F.coalesce(size, F.lit(0)))
-    positions = F.filter(F.sequence(F.lit(0), length), lambda i: i < length)
-
-    def item(i: Column) -> Column:
+    spread = any(s[0][1] == "*" for s, _ in group)
+    least = max(fixed) + 1 if fixed else 0
+
+    def item(i: Column, columns: Column | None = None) -> Column:
         here = []
-        for segments, values in group:
+        for n, (segments, values) in enumerate(group):
             index = segments[0][1]
             if index == "*":
-                value = F.get(values.column, i) if values.many else F.when(i == 0, values.column)
-                active = i < F.coalesce(F.size(values.column), F.lit(0)) if values.many else i == 0
+                column = columns[f"v{n}"]
+                value = F.get(column, i) if values.many else F.when(i == 0, column)
+                active = i < F.coalesce(F.size(column), F.lit(0)) if values.many else i == 0
             else:
                 value, active = F.when(i == index, _scalar(values)), i == index
             here.append((segments[1:], Values(value, False, values.type if index == "*" else None, active)))
@@ -319,9 +317,19 @@ def _list(group) -> Column:
             return F.coalesce(*[v.column for v in leaves])
         return _merge(here)
 
-    if spread:
-        return F.transform(positions, item)
-    return F.array(*[item(F.lit(i)) for i in range(max(fixed) + 1)])
+    if not spread:
+        return F.array(*[item(F.lit(i)) for i in range(least)])
+
+    def items(columns: Column) -> Column:
+        length = F.lit(least)
+        for n, (segments, values) in enumerate(group):
+            if segments[0][1] == "*":
+                size = F.coalesce(F.size(columns[f"v{n}"]), F.lit(0)) if values.many else F.lit(1)
+                length = F.greatest(length, size)
+        return F.transform(F.filter(F.sequence(F.lit(0), length), lambda i: i < length), lambda i: item(i, columns))
+
+    # The value lists are computed once, not once per element.
+    return T.let(F.struct(*[v.column.alias(f"v{n}") for n, (s, v) in enumerate(group) if s[0][1] == "*"]), items)
 
 
 def _merge(entries) -> Column:

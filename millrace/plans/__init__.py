@@ -5,7 +5,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("low_stats", "chat_stats", "standardize", "stats_query", "mapping", "catalog", "lineage", "recipe")
+AREAS = (
+    "low_stats", "chat_stats", "standardize", "stats_query", "mapping", "catalog", "lineage", "recipe",
+    "sources", "dedup", "adhoc_sql",
+)
 
 
 def registry() -> tuple[dict, dict]:

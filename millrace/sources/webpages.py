@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from millrace.functions.language import choose_language
 
@@ -107,7 +108,7 @@ def page_markdown(html: str) -> str:
     return "\n".join(lines).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_markdown(html: pd.Series) -> pd.Series:
     return html.map(lambda page: None if page is None else page_markdown(page))
 
