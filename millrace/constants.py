@@ -31,10 +31,8 @@ SUBPATH_LANG_CODES = ("ar", "de", "en", "es", "fr", "hi", "it", "ja", "ko", "nl"
 
 # --- Fixed values: character classes (bodies of a regex class) ---------------------
 # Each body is accepted unchanged by java.util.regex and by RE2.
-WHITESPACE = (
-    r"\t\n\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-)
+# Separators plus the control characters that count as white space.
+WHITESPACE = r"\p{Z}\t-\r\x1C-\x1F\x{85}"
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 LETTER = r"\p{L}"
 # Decimal digits plus the characters whose numeric type is "digit".

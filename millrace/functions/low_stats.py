@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from millrace import constants as C
 from millrace.functions import text as T
 
+# --- Fixed values: the word counted in any case, with the letters that fold to s and i ------
+JAVASCRIPT = "[jJ][aA][vV][aA][sSſ][cC][rR][iIıİ][pP][tT]"
+
 COUNT_COLUMNS = [
     "_length", "_lines_count", "_lines_empty_count", "_lines_short_char_20_count",
     "_lines_long_char_10000_count", "_lines_end_punctuation_count", "_lines_bulletpoint_start_count",
@@ -66,29 +69,36 @@ def low_level_stats(
         T.without_letters(text).alias("_rest"),
         T.tokens(text).alias("_words"),
         F.split(text, C.LINE_BREAK).alias("_parts"),
-    ).withColumn("_lines", T.drop_empty_tail(F.col("_parts")))
-    rest, words, line_list = F.col("_rest"), F.col("_words"), F.col("_lines")
+    )
+    # Letters, spaces and plain digits are nearly all of a text. Once they are gone the
+    # remaining classes are counted on a short string.
+    rest = F.col("_rest")
+    shared = shared.select(
+        "*",
+        T.drop_empty_tail(F.col("_parts")).alias("_lines"),
+        F.regexp_replace(rest, "[ 0-9]+", "").alias("_marks"),
+        T.count_literal(rest, " ").alias("_spaces"),
+    ).drop("_parts")
+    words, line_list, marks = F.col("_words"), F.col("_lines"), F.col("_marks")
+    plain_digits = F.length(rest) - F.length(marks) - F.col("_spaces")
     ellipsis_chars = sum(
         (F.length(text) - F.length(F.replace(text, F.lit(e), F.lit(""))) for e in C.ELLIPSES), start=F.lit(0)
     )
-    # The literal is searched first; the word borders are looked at only around a hit.
-    javascript = F.when(
-        F.contains(F.lower(text), F.lit("java")),
-        F.regexp_count(text, F.lit(rf"(?iu)javascript(?![{C.WORD_CHAR}])(?<![{C.WORD_CHAR}]javascript)")),
-    ).otherwise(0)
-    # Tokens holding a letter are deleted whole; what is left are the letterless ones.
-    letterless = F.regexp_replace(text, rf"[^{C.WHITESPACE}\p{{L}}]*+\p{{L}}[^{C.WHITESPACE}]*", "")
+    # The letters are searched first; the word borders are looked at only around a hit.
+    javascript = F.regexp_count(
+        text, F.lit(f"{JAVASCRIPT}(?![{C.WORD_CHAR}])(?<![{C.WORD_CHAR}].{{10}})")
+    )
 
     counted = shared.select(
         "id", "_lg", "_n",
-        T.count_class(rest, C.WHITESPACE).alias("_ws"),
+        (F.col("_spaces") + T.count_class(marks, C.WHITESPACE)).alias("_ws"),
         F.length(rest).alias("_nl"),
-        T.count_class(rest, C.DIGIT).alias("_dg"),
+        (plain_digits + T.count_class(marks, C.DIGIT)).alias("_dg"),
         T.count_class(text, C.UPPER).alias("_up"),
         ellipsis_chars.alias("_el"),
-        T.count_class(rest, C.PUNCTUATION).alias("_pu"),
-        T.count_class(rest, C.SYMBOL).alias("_sy"),
-        T.count_class(rest, C.ESCAPE).alias("_es"),
+        T.count_class(marks, C.PUNCTUATION).alias("_pu"),
+        T.count_class(marks, C.SYMBOL).alias("_sy"),
+        T.count_class(marks, C.ESCAPE).alias("_es"),
         F.when(F.col("_n") == 0, 0).otherwise(F.size(line_list)).alias("_lc"),
         T.count_where(line_list, lambda x: ~F.rlike(x, F.lit(f"[^{C.WHITESPACE}]"))).alias("_le"),
         T.count_where(line_list, lambda x: F.length(x) < C.SHORT_LINE_CHARS).alias("_ls"),
@@ -104,7 +114,7 @@ def low_level_stats(
         ).alias("_lx"),
         F.size(words).alias("_wc"),
         T.token_runs(words).alias("_runs"),
-        F.size(T.tokens(letterless)).alias("_na"),
+        T.count_where(words, lambda w: ~F.rlike(w, F.lit(f"[{C.LETTER}]"))).alias("_na"),
         javascript.alias("_js"),
         F.size(F.array_distinct(F.split(text, ""))).alias("_cd"),
         _stop_word_count(words, lang, stop_words).alias("_sw"),

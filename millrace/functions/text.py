@@ -72,7 +72,7 @@ def token_runs(words: Column) -> Column:
     ``clogc`` is the sum of ``c * ln(c)`` over the distinct tokens, the only term the
     entropy needs. The closing null flushes the last run.
     """
-    closed = F.array_append(F.array_sort(words), F.lit(None).cast("string"))
+    closed = F.array_append(F.sort_array(words), F.lit(None).cast("string"))
     start = F.struct(
         F.lit(None).cast("string").alias("prev"),
         F.lit(0).cast("long").alias("run"),

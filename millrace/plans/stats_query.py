@@ -10,7 +10,7 @@ from millrace.operators import profile as P
 from millrace.operators.stats_query import enrich, join_stats, one_row_per_id
 from millrace.plans.chat_stats import CHAT_SQL, _DOC, document_messages
 from millrace.plans.low_stats import stats_cte
-from millrace.session import read_table
+from millrace.session import ensure_checkpoint_dir, read_table
 
 QUERIES, ORACLES = {}, {}
 
@@ -181,8 +181,10 @@ _PROFILED = ["_length", "_word_count", "_lines_count", "_unigram_entropy", "_mea
 
 
 def document_stats(spark, sf_dir, columns):
+    """A stored silo: profiles read it several times, so it is written once."""
+    ensure_checkpoint_dir(spark)
     docs = read_table(spark, sf_dir, "documents")
-    return low_level_stats(docs, "text", "doc_id", "lang").select("id", *columns)
+    return low_level_stats(docs, "text", "doc_id", "lang").select("id", *columns).checkpoint()
 
 
 def _long_sql(columns):

@@ -8,6 +8,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TEXT_TABLES = ("documents", "pages")
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -30,7 +31,18 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a scan that has fewer splits than there are cores.
+
+    Text work is bound by CPU, and a file of one row group is one task whatever its size.
+    A scan that fills the cluster already is returned as is, so large inputs never move.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:

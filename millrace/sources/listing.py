@@ -67,17 +67,20 @@ def filtered_globs(files: DataFrame, root: str) -> DataFrame:
     a file without extension at the root stands for itself.
     """
     inside = relative(F.col("path"), root)
-    ext = extension(F.col("path"))
     nested = F.contains(inside, F.lit("/"))
-    parents = F.slice(F.split(inside, "/"), F.lit(1), F.size(F.split(inside, "/")) - 1)
-    prefixes = F.transform(
+    # Folders and extensions repeat, files do not: reduce to distinct ones before cutting paths.
+    kinds = files.select(
+        F.when(nested, folder(inside)).alias("_folder"), extension(F.col("path")).alias("_ext"),
+        F.when(~nested & (extension(F.col("path")) == ""), inside).alias("_plain"),
+    ).distinct()
+    name = F.coalesce("_plain", F.concat(F.lit("*"), F.col("_ext")))
+    own = F.when(F.col("_folder").isNull(), name).when(F.col("_ext") != "", F.concat_ws("/", "_folder", name))
+    parents = F.split("_folder", "/")
+    upward = F.transform(
         F.sequence(F.lit(1), F.size(parents)), lambda n: F.concat(F.array_join(F.slice(parents, F.lit(1), n), "/"), F.lit("/*"))
     )
-    own = F.when(~nested, F.when(ext != "", F.concat(F.lit("*"), ext)).otherwise(inside)).when(
-        ext != "", F.concat(folder(inside), F.lit("/*"), ext)
-    )
-    every = F.array_compact(F.concat(F.array(own), F.when(nested, prefixes).otherwise(F.array().cast("array<string>"))))
-    globs = files.select(F.explode(every).alias("glob")).distinct()
+    every = F.array_compact(F.concat(F.array(own), F.coalesce(upward, F.array().cast("array<string>"))))
+    globs = kinds.select(F.explode(every).alias("glob")).distinct()
     part_hidden = F.exists(
         F.split("glob", "/"),
         lambda p: (F.startswith(p, F.lit(".")) & ~F.endswith(p, F.lit(".md")) & ~F.contains(p, F.lit("*"))) | F.startswith(p, F.lit(".*")),
