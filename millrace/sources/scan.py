@@ -42,50 +42,64 @@ def detect_glob(spark: SparkSession, path: str) -> str:
     return f"*{first.ext}"
 
 
-def scan(spark: SparkSession, path: str, glob: str | None = None, schema: t.StructType | None = None, partitions: int | None = None) -> DataFrame:
-    """Records below ``path``. ``partitions`` spreads compressed files, which do not split."""
+def scan(
+    spark: SparkSession, path: str, glob: str | None = None, schema: t.StructType | None = None,
+    partitions: int | None = None, path_col: str | None = None,
+) -> DataFrame:
+    """Records below ``path``. ``partitions`` spreads compressed files, which do not split;
+    ``path_col`` names a column for the file each record comes from."""
     glob = glob or detect_glob(spark, path)
     kind = format_of(glob)
     if kind == "json":
-        df = read_json(spark, path, glob, schema)[0]
+        df = read_json(spark, path, glob, schema, path_col=path_col)[0]
     elif kind == "parquet":
-        df = _reader(spark, glob).option("mergeSchema", "true").parquet(path)
+        df = _located(_reader(spark, glob).option("mergeSchema", "true").parquet(path), path_col)
     elif kind == "arrow":
         df = read_arrow(spark, path, glob)
     elif kind == "warc":
         df = read_warc(spark, path, glob)
     else:
-        df = read_delimited(spark, path, glob, "\t" if kind == "tsv" else ",", schema)
+        df = read_delimited(spark, path, glob, "\t" if kind == "tsv" else ",", schema, path_col=path_col)
     return df.repartition(partitions) if partitions else df
 
 
+def _located(df: DataFrame, path_col: str | None) -> DataFrame:
+    return df.withColumn(path_col, F.col("_metadata.file_path")) if path_col else df
+
+
 def _reader(spark: SparkSession, glob: str | None):
     reader = spark.read.option("recursiveFileLookup", "true")
     return reader.option("pathGlobFilter", glob) if glob else reader
 
 
 def read_json(
-    spark: SparkSession, path: str, glob: str | None = None, schema: t.StructType | None = None, multi_line: bool | None = None
+    spark: SparkSession, path: str, glob: str | None = None, schema: t.StructType | None = None,
+    multi_line: bool | None = None, path_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Good records and the quarantine of unreadable lines.
+    """Good records and the quarantine ``(file, value)`` of unreadable lines.
 
-    One object or one array of objects per line needs nothing special; arrays laid out
-    over several lines are recognised by the first line of the first file.
+    A line holds one object or an array of objects. Arrays laid out over several lines are
+    recognised by the first line of the first file; such a file is read as one value.
     """
     if multi_line is None:
         head = _reader(spark, glob).text(path).limit(1).first()
         opening = head.value.strip() if head else ""
         multi_line = opening.startswith("[") and not opening.endswith("]")
-    reader = _reader(spark, glob).option("multiLine", str(multi_line).lower()).option("mode", "PERMISSIVE")
-    reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
-    found = schema or reader.json(path).schema
-    fields = [f for f in found.fields if f.name != CORRUPT]
-    df = reader.schema(t.StructType([*fields, t.StructField(CORRUPT, t.StringType())])).json(path)
-    return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), df.filter(F.col(CORRUPT).isNotNull())
+    whole = str(multi_line).lower()
+    found = schema or _reader(spark, glob).option("multiLine", whole).json(path).schema
+    items = t.ArrayType(t.StructType([f for f in found.fields if f.name != CORRUPT]))
+    lines = _reader(spark, glob).text(path, wholetext=multi_line)
+    parsed = lines.select(
+        F.col("_metadata.file_path").alias("file"), "value", F.from_json("value", items, {"mode": "PERMISSIVE"}).alias("items")
+    ).filter(F.trim("value") != "")
+    bad = parsed.filter("items is null").select("file", "value")
+    kept = [F.col("file").alias(path_col)] if path_col else []
+    return parsed.select("file", F.explode("items").alias("r")).select("r.*", *kept), bad
 
 
 def read_delimited(
-    spark: SparkSession, path: str, glob: str, separator: str = ",", schema: t.StructType | None = None, text_col: str = "text"
+    spark: SparkSession, path: str, glob: str, separator: str = ",", schema: t.StructType | None = None,
+    text_col: str = "text", path_col: str | None = None,
 ) -> DataFrame:
     """Delimited files with a header. Files that are not valid UTF-8 are read as Latin-1;
     the check is a distributed pass over the lines. Rows with a blank text are skipped."""
@@ -96,7 +110,7 @@ def read_delimited(
     for utf8, files in by_encoding.items():
         reader = spark.read.option("header", "true").option("sep", separator).option("multiLine", "true").option("escape", '"')
         reader = reader.option("encoding", "UTF-8" if utf8 else "ISO-8859-1")
-        parts.append((reader.schema(schema) if schema else reader).csv(files))
+        parts.append(_located((reader.schema(schema) if schema else reader).csv(files), path_col))
     df = parts[0]
     for part in parts[1:]:
         df = df.unionByName(part, allowMissingColumns=True)
@@ -159,7 +173,7 @@ def read_staged(
     """A hub dataset staged as ``root/repo/config/split/files``: all configurations of one
     split, the configuration in ``_dataset_name`` when there are several, shuffled by seed."""
     path = f"{root.rstrip('/')}/{repo}/*/{split}"
-    located = scan(spark, path, glob).withColumn("_path", F.col("_metadata.file_path")) if format_of(glob or detect_glob(spark, path)) != "arrow" else scan(spark, path, glob).withColumn("_path", F.lit(path))
+    located = scan(spark, path, glob, path_col="_path")
     config = F.element_at(F.split("_path", "/"), -3)
     several = list_files(spark, f"{root.rstrip('/')}/{repo}").select(F.element_at(F.split("path", "/"), -3)).distinct().count() > 1
     name = F.concat_ws("/", F.lit(repo), config) if several else F.lit(repo)

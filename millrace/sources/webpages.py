@@ -100,10 +100,12 @@ def page_markdown(html: str) -> str:
     parser = _Markdown()
     parser.feed(html)
     parser.close()
-    lines, blank = [], True
+    lines, blank, fenced = [], True, False
     for line in (x.rstrip() for x in "".join(parser.out).split("\n")):
-        if line or not blank:
-            lines.append(line if line.startswith(("  ", "```")) else line.lstrip())
+        if line == "```":
+            fenced = not fenced
+        if line or not blank or fenced:
+            lines.append(line if fenced or line.startswith("  ") else line.lstrip())
         blank = not line
     return "\n".join(lines).strip()
 
