@@ -13,9 +13,9 @@ def containment_join(left: DataFrame, left_text: str, right: DataFrame, right_te
     join is an equi-join; the distinct lengths are bounded by the longest right value.
     """
     rights = right.filter(F.length(right_text) > 0)
-    lengths = rights.agg(F.array_sort(F.collect_set(F.length(right_text))).alias("_lengths"))
-    values = left.select(left_text).distinct().join(F.broadcast(lengths))
-    pieces = values.select(left_text, F.explode("_lengths").alias("_n")).filter(F.col("_n") <= F.length(left_text))
+    lengths = rights.select(F.length(right_text).alias("_n")).distinct()
+    values = left.select(left_text).distinct().filter(F.length(left_text) > 0)
+    pieces = values.withColumn("_n", F.explode(F.sequence(F.lit(1), F.length(left_text)))).join(lengths, "_n", "left_semi")
     starts = F.sequence(F.lit(1), F.length(left_text) - F.col("_n") + 1)
     cut = pieces.select(left_text, "_n", F.explode(starts).alias("_at"))
     substrings = cut.select(left_text, F.substr(F.col(left_text), F.col("_at"), F.col("_n")).alias(right_text)).distinct()

@@ -109,7 +109,7 @@ def _prompts(spark, sf_dir):
 _PLEN = "coalesce(nullif(length, 0), length(prompt))"
 _register(
     "f13_search_prompts", _prompts,
-    _with("prompt").replace("length(p_name", "length(p_name") + "SELECT id, 'both' AS kind FROM prompt WHERE (_lang = 'it' OR contains(lower(name), 'brand#2') "
+    _with("prompt") + "SELECT id, 'both' AS kind FROM prompt WHERE (_lang = 'it' OR contains(lower(name), 'brand#2') "
     "OR contains(description, 'brand#2') OR contains(lower(prompt.prompt), 'brand#2')) AND coalesce(nullif(prompt.length, 0), length(prompt.prompt)) BETWEEN 20 AND 34 UNION ALL "
     "SELECT id, 'lang' FROM prompt WHERE _lang = 'it' AND coalesce(nullif(prompt.length, 0), length(prompt.prompt)) BETWEEN 25 AND 40 UNION ALL "
     "SELECT id, 'text' FROM prompt WHERE contains(lower(name), 'promo') OR contains(description, 'promo') OR contains(lower(prompt.prompt), 'promo')",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions.chat_stats import chat_stats_of_messages
 from millrace.functions.low_stats import low_level_stats
 from millrace.operators import profile as P
+from millrace.operators.sampling import hash_sample
 from millrace.operators.stats_query import enrich, join_stats, one_row_per_id
 from millrace.plans.chat_stats import CHAT_SQL, _DOC, document_messages
 from millrace.plans.low_stats import stats_cte
@@ -360,3 +361,16 @@ def _preview(spark, sf_dir):
 
 
 _register("a08_preview", _preview, "SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 5")
+
+
+def _column_sample(spark, sf_dir):
+    """Values of one statistics column for a plot: a repeatable share of the records."""
+    stats = document_stats(spark, sf_dir, ["_word_count"])
+    return hash_sample(stats, "id", 0.4, 1).select("id", "_word_count")
+
+
+_register(
+    "w08_column_sample", _column_sample,
+    f"WITH st AS ({stats_cte('_word_count')}) SELECT id, _word_count FROM st "
+    "WHERE ('0x' || substr(sha256(CAST(id AS VARCHAR) || '|1'), 1, 8))::BIGINT < 0.4 * 4294967296",
+)

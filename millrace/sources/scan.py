@@ -5,19 +5,21 @@ from __future__ import annotations
 import base64
 import io
 from collections.abc import Iterator
+from itertools import batched
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from millrace.constants import LANG_SAMPLE_CHARS
 from millrace.operators.standardize import truncate_and_flatten
 from millrace.sources.listing import extension, list_files
+from millrace.sources.webpages import warc_responses
 
 CORRUPT = "_corrupt_record"
+PAGES_PER_BLOCK = 200
 # Checked in this order, as parts of a file pattern.
 FORMAT_OF = [
     ("jsonl", "json"), ("json", "json"), ("parquet", "parquet"), ("arrow", "arrow"), ("ipc", "arrow"),
@@ -101,19 +103,25 @@ def read_delimited(
     spark: SparkSession, path: str, glob: str, separator: str = ",", schema: t.StructType | None = None,
     text_col: str = "text", path_col: str | None = None,
 ) -> DataFrame:
-    """Delimited files with a header. Files that are not valid UTF-8 are read as Latin-1;
-    the check is a distributed pass over the lines. Rows with a blank text are skipped."""
-    lines = _reader(spark, glob).text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    verdict = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
-    by_encoding = {row.utf8: row.files for row in verdict.groupBy("utf8").agg(F.collect_list("file").alias("files")).collect()}
-    parts = []
-    for utf8, files in by_encoding.items():
-        reader = spark.read.option("header", "true").option("sep", separator).option("multiLine", "true").option("escape", '"')
-        reader = reader.option("encoding", "UTF-8" if utf8 else "ISO-8859-1")
-        parts.append(_located((reader.schema(schema) if schema else reader).csv(files), path_col))
-    df = parts[0]
-    for part in parts[1:]:
-        df = df.unionByName(part, allowMissingColumns=True)
+    """Delimited files with a header. Files that are not valid UTF-8 are read as Latin-1.
+
+    The check is a distributed pass over the lines. Only when it finds such files is the
+    folder read a second time; each read keeps its own files by a join on the file name,
+    so no list of files passes through the driver. Rows with a blank text are skipped.
+    """
+    lines = _reader(spark, glob).text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+    other = lines.filter(~F.is_valid_utf8("value")).select("_file").distinct()
+    reader = _reader(spark, glob).option("header", "true").option("sep", separator).option("multiLine", "true").option("escape", '"')
+    reader = reader.schema(schema) if schema else reader
+
+    def read(encoding: str) -> DataFrame:
+        return _located(reader.option("encoding", encoding).csv(path), "_file")
+
+    df = read("UTF-8")
+    if not other.isEmpty():
+        latin = read("ISO-8859-1").join(other, "_file", "left_semi")
+        df = df.join(other, "_file", "left_anti").unionByName(latin, allowMissingColumns=True)
+    df = df.withColumnRenamed("_file", path_col) if path_col else df.drop("_file")
     return df.filter(F.trim(text_col) != "") if text_col in df.columns else df
 
 
@@ -152,16 +160,18 @@ def read_arrow(spark: SparkSession, path: str, glob: str) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """``(url, html)`` of the response records of WARC files, one task per file."""
-    from millrace.sources.webpages import warc_responses
+    """``(url, html)`` of the response records of WARC files, one task per file.
 
+    Compressed records are opened one after the other, so a task holds the compressed
+    file and a block of pages.
+    """
     files = _reader(spark, glob).format("binaryFile").load(path).select("content")
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for content in frame.content:
-                records = list(warc_responses(content))
-                yield pd.DataFrame(records, columns=["url", "html"])
+                for block in batched(warc_responses(content), PAGES_PER_BLOCK):
+                    yield pd.DataFrame(list(block), columns=["url", "html"])
 
     return files.mapInPandas(split, "url string, html string")
 
@@ -200,7 +210,3 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
 def sample_records(df: DataFrame, k: int = 50, order: list | None = None) -> DataFrame:
     """The first ``k`` records with long strings cut and nested objects spliced."""
     return truncate_and_flatten((df.orderBy(*order) if order else df).limit(k))
-
-
-def detection_sample(text: Column, chars: int = LANG_SAMPLE_CHARS) -> Column:
-    return F.substring(text, 1, chars)

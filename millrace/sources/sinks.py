@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from millrace.constants import SUBPATH_LANG_CODES, UNKNOWN_LANG
+from millrace.operators.sampling import hash_sample
 
 QUERY_CHUNK_BYTES = 120 * 1024 * 1024
 ROLLING_FILE_BYTES = 124 * 1024 * 1024
@@ -183,3 +184,22 @@ def write_rolling(df: DataFrame, path: str, extension: str = ".parquet", file_by
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str = "errorifexists") -> None:
     """A table bucketed and sorted by key: two such tables join on it without a shuffle."""
     df.repartition(buckets, key).write.mode(mode).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
+def write_export(entries: DataFrame, path: str, fmt: str = "json") -> None:
+    """A contract as JSON or CSV."""
+    if fmt not in ("json", "csv"):
+        raise ValueError(f"unsupported export format {fmt!r}")
+    writer = entries.write.mode("errorifexists")
+    writer.json(path) if fmt == "json" else writer.option("header", "true").csv(path)
+
+
+def materialize_sample(df: DataFrame, path: str, key: str, rate: float, seed: int | str = 0, extension: str = ".parquet") -> bool:
+    """Write a down-sampled copy in rolling files; False when the folder holds one already."""
+    spark = df.sparkSession
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(location) and len(files.listStatus(location)) > 0:
+        return False
+    write_rolling(hash_sample(df, key, rate, seed), path, extension)
+    return True

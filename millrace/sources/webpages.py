@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gzip
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -122,24 +122,29 @@ def markdown_pages(pages: DataFrame, langs: list[str], html_col: str = "html") -
     return texts.withColumn("_lang", choose_language(F.substring("text", 1, LANGUAGE_CHARS), langs))
 
 
+def gzip_members(content: bytes) -> Iterator[bytes]:
+    """The parts of a gzip file one by one; uncompressed content is one part."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    while content:
+        member = zlib.decompressobj(wbits=31)
+        yield member.decompress(content)
+        content = member.unused_data
+
+
 def warc_responses(content: bytes) -> Iterator[tuple[str, str]]:
     """``(url, body)`` of the response records of one WARC file, compressed or not."""
-    data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-    at = 0
-    while True:
-        at = data.find(b"WARC/", at)
-        if at < 0:
-            return
-        head_end = data.find(b"\r\n\r\n", at)
-        if head_end < 0:
-            return
-        fields = {}
-        for line in data[at:head_end].split(b"\r\n")[1:]:
-            name, _, value = line.partition(b":")
-            fields[name.strip().lower()] = value.strip()
-        size = int(fields.get(b"content-length", b"0"))
-        block = data[head_end + 4 : head_end + 4 + size]
-        if fields.get(b"warc-type") == b"response":
-            _, _, body = block.partition(b"\r\n\r\n")
-            yield fields.get(b"warc-target-uri", b"").decode("utf-8", "replace"), body.decode("utf-8", "replace")
-        at = head_end + 4 + size
+    for data in gzip_members(content):
+        at = data.find(b"WARC/")
+        while at >= 0:
+            head_end = data.find(b"\r\n\r\n", at)
+            if head_end < 0:
+                break
+            lines = data[at:head_end].split(b"\r\n")[1:]
+            fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in lines)}
+            end = head_end + 4 + int(fields.get(b"content-length", b"0"))
+            if fields.get(b"warc-type") == b"response":
+                _, _, body = data[head_end + 4 : end].partition(b"\r\n\r\n")
+                yield fields.get(b"warc-target-uri", b"").decode("utf-8", "replace"), body.decode("utf-8", "replace")
+            at = data.find(b"WARC/", end)

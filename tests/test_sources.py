@@ -146,3 +146,35 @@ def test_json_safe_nested(spark):
     df = spark.sql("select array(cast('nan' as double), 1.5D) as a, named_struct('d', date'2024-01-02', 'n', 1.50) as s, map(1, X'41') as m")
     row = K.json_safe(df).first()
     assert row.a == [None, 1.5] and row.s.d == "2024-01-02" and row.s.n == 1.5 and row.m == {"1": "A"}
+
+
+def test_down_sampled_copy_is_written_once(spark, tmp_path):
+    df = records(spark, 500)
+    path = str(tmp_path / "sample")
+    assert K.materialize_sample(df, path, "text", 0.5, 1) is True
+    kept = spark.read.parquet(path).count()
+    assert 200 < kept < 300
+    assert K.materialize_sample(df, path, "text", 0.9, 1) is False
+    assert spark.read.parquet(path).count() == kept
+
+
+def test_export_formats(spark, tmp_path):
+    K.write_export(records(spark, 3), str(tmp_path / "c"), "csv")
+    assert spark.read.option("header", "true").csv(str(tmp_path / "c")).columns == ["text", "lang"]
+    with pytest.raises(ValueError):
+        K.write_export(records(spark, 3), str(tmp_path / "y"), "yml")
+
+
+def test_record_compressed_warc():
+    data = b"".join(gzip.compress(warc(f"http://{i}".encode(), b"<p>page</p>")) for i in range(5))
+    assert [u for u, _ in warc_responses(data)] == [f"http://{i}" for i in range(5)]
+
+
+def test_stored_silo_is_pruned_and_filtered_at_the_scan(spark, tmp_path):
+    silo = spark.range(50).selectExpr("cast(id as string) as id", "id as _word_count", "id as _length", "id as _lines_count")
+    silo.write.parquet(str(tmp_path / "silo"))
+    data = spark.range(50).selectExpr("cast(id as string) as _id_hash", "'t' as text")
+    joined = join_stats(data, spark.read.parquet(str(tmp_path / "silo")), filters=[("_word_count", ">", 40)])
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(_word_count,40)" in plan and "_lines_count" not in plan
+    assert joined.count() == 9
