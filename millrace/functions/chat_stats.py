@@ -124,9 +124,9 @@ def message_metrics(
     }
 
 
-def _finish(df: DataFrame, fertility: dict[str, float]) -> DataFrame:
-    """Derived columns from ``id``, ``_lg``, the sums, the flags, ``messages``, ``last_user`` and ``last_assistant``."""
-    factor = T.fertility_of(F.col("_lg"), fertility)
+def _finish(df: DataFrame) -> DataFrame:
+    """Derived columns from ``id``, ``_factor``, the sums, the flags, ``messages``, ``last_user`` and ``last_assistant``."""
+    factor = F.col("_factor")
     col = F.col
 
     def tokens(count: str) -> Column:
@@ -171,9 +171,10 @@ def chat_stats_of_messages(
 ) -> DataFrame:
     """In-row shape over ``array<struct<role, content, think, functioncall, context>>``."""
     messages = F.col(messages) if isinstance(messages, str) else messages
+    lang = F.coalesce(F.col(lang_col), F.lit(C.STATS_DEFAULT_LANG))
     base = df.select(
         F.col(id_col).alias("id"),
-        F.coalesce(F.col(lang_col), F.lit(C.STATS_DEFAULT_LANG)).alias("_lg"),
+        T.fertility_of(lang, C.FERTILITY if fertility is None else fertility).alias("_factor"),
         F.coalesce(messages.cast(MESSAGES_TYPE), F.array().cast(MESSAGES_TYPE)).alias("_ms"),
     )
 
@@ -186,7 +187,7 @@ def chat_stats_of_messages(
             *[metrics[c].alias(c) for c in SUMS + FLAGS],
         )
 
-    measured = base.select("id", "_lg", F.transform("_ms", measure).alias("_mm"))
+    measured = base.select("id", "_factor", F.transform("_ms", measure).alias("_mm"))
 
     def last_size(role: str) -> Column:
         return F.try_element_at(F.filter("_mm", lambda m: m["role"] == role), F.lit(-1))["size"]
@@ -195,14 +196,14 @@ def chat_stats_of_messages(
         return F.aggregate(F.col(f"_mm.{name}"), F.lit(0).cast("long"), lambda a, x: a + x)
 
     folded = measured.select(
-        "id", "_lg",
+        "id", "_factor",
         *[total(c).alias(c) for c in SUMS],
         *[F.coalesce(F.array_max(F.col(f"_mm.{c}")), F.lit(0).cast("long")).alias(c) for c in FLAGS],
         F.size("_mm").alias("messages"),
         last_size("USER").alias("last_user"),
         last_size("ASSISTANT").alias("last_assistant"),
     )
-    return _finish(folded, C.FERTILITY if fertility is None else fertility)
+    return _finish(folded)
 
 
 def chat_stats_of_turns(
@@ -221,21 +222,28 @@ def chat_stats_of_turns(
     absent = F.lit(None).cast("string")
     optional = [F.col(c) if c else absent for c in (think_col, payload_col, context_col)]
     metrics = message_metrics(F.col(role_col), F.col(content_col), *optional)
-    turn = F.struct(F.col(turn_col).alias("turn"), F.length(F.coalesce(F.col(content_col), F.lit(""))).alias("size"))
+    # Turn and length packed into one number: every buffer of the aggregate stays a fixed
+    # width value, so it hashes instead of sorting.
+    turn = F.shiftleft(F.col(turn_col).cast("long"), 32) + F.length(F.coalesce(F.col(content_col), F.lit("")))
     role = F.upper(F.col(role_col))
+    lang = F.coalesce(F.lit(None).cast("string") if lang is None else lang, F.lit(C.STATS_DEFAULT_LANG))
     per_turn = df.select(
         F.col(id_col).alias("id"),
-        F.coalesce(F.lit(C.STATS_DEFAULT_LANG) if lang is None else lang, F.lit(C.STATS_DEFAULT_LANG)).alias("_lg"),
+        T.fertility_of(lang, C.FERTILITY if fertility is None else fertility).alias("_factor"),
         *[metrics[c].alias(c) for c in SUMS + FLAGS],
         F.when(role == "USER", turn).alias("last_user"),
         F.when(role == "ASSISTANT", turn).alias("last_assistant"),
     )
+
+    def length_of(packed: str) -> Column:
+        return F.max(packed).bitwiseAND(0xFFFFFFFF).alias(packed)
+
     grouped = per_turn.groupBy("id").agg(
-        F.max("_lg").alias("_lg"),
+        F.max("_factor").alias("_factor"),
         *[F.sum(c).alias(c) for c in SUMS],
         *[F.max(c).alias(c) for c in FLAGS],
         F.count("*").alias("messages"),
-        F.max("last_user")["size"].alias("last_user"),
-        F.max("last_assistant")["size"].alias("last_assistant"),
+        length_of("last_user"),
+        length_of("last_assistant"),
     )
-    return _finish(grouped, C.FERTILITY if fertility is None else fertility)
+    return _finish(grouped)

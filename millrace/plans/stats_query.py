@@ -27,7 +27,9 @@ def data(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return docs.select(
         "doc_id", "text", F.col("lang").alias("_lang"), F.col("source").alias("_dataset_name"),
-        F.concat_ws("/", "source", "lang").alias("_subpath"), F.sha2("text", 256).alias("_id_hash"),
+        F.concat_ws("/", "source", "lang").alias("_subpath"),
+        # Never null, so that joins need no second hash for a null check.
+        F.coalesce(F.sha2("text", 256), F.lit("")).alias("_id_hash"),
     )
 
 
