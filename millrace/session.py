@@ -8,6 +8,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SMALL_SHARE_BYTES = 8 * 1024 * 1024
 TEXT_TABLES = ("documents", "pages")
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -36,13 +37,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a scan that has fewer splits than there are cores.
+    """Give every core a share of a scan that is small or has fewer splits than cores.
 
-    Text work is bound by CPU, and a file of one row group is one task whatever its size.
-    A scan that fills the cluster already is returned as is, so large inputs never move.
+    Text work is bound by CPU, and a row group is one task however it is split. A scan that
+    fills the cluster already is returned as is, so large inputs never move.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    small = plan_bytes(df) < cores * SMALL_SHARE_BYTES
+    return df.repartition(cores) if small or df.rdd.getNumPartitions() < cores else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
