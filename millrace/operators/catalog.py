@@ -34,7 +34,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str | list[str]) -> Da
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Keep the first row of every key.
+    """Keep the row of every key with the smallest ``order`` values.
 
     ``min_by`` over the whole row combines map-side, so a key holding a third of the
     rows costs one row per task; no key is sorted in one place.
