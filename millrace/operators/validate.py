@@ -115,37 +115,59 @@ def validate_first(df: DataFrame, schema: dict) -> DataFrame:
     return with_violations(df.limit(1), schema)
 
 
+def _label(kind: t.DataType) -> str:
+    return "array" if isinstance(kind, t.ArrayType) else sorted(json_types(kind))[0]
+
+
+def _is_object_list(kind: t.DataType) -> bool:
+    return isinstance(kind, t.ArrayType) and isinstance(kind.elementType, t.StructType)
+
+
+def _measure_fields(struct: t.StructType, value: Column | None, prefix: str, here: Column) -> list[tuple]:
+    """``(path, type, present, total)`` of the fields of a record or of a nested object."""
+    out = []
+    for f in struct.fields:
+        column = F.col(f"`{f.name}`") if value is None else value[f.name]
+        path = f"{prefix}.{f.name}" if prefix else f.name
+        present = F.when(column.isNotNull(), 1).otherwise(0)
+        out.append((path, _label(f.dataType), present, here))
+        if isinstance(f.dataType, t.StructType):
+            out += _measure_fields(f.dataType, column, path, present)
+        elif _is_object_list(f.dataType):
+            out += _measure_items(f.dataType.elementType, column, f"{path}[]", F.coalesce(F.size(column), F.lit(0)), lambda x: x)
+    return out
+
+
+def _measure_items(struct: t.StructType, items: Column, prefix: str, here: Column, parent) -> list[tuple]:
+    """The same for the objects of a list; ``parent`` leads from an item to the object."""
+    out = []
+    for f in struct.fields:
+        def field(x: Column, name: str = f.name) -> Column:
+            return parent(x)[name]
+
+        path = f"{prefix}.{f.name}"
+        present = F.coalesce(F.size(F.filter(items, _filled_by(field))), F.lit(0))
+        out.append((path, _label(f.dataType), present, here))
+        if isinstance(f.dataType, t.StructType):
+            out += _measure_items(f.dataType, items, path, present, field)
+        elif _is_object_list(f.dataType):
+            inner = F.flatten(F.transform(items, _only_item(field)))
+            out += _measure_items(f.dataType.elementType, inner, f"{path}[]", F.coalesce(F.size(inner), F.lit(0)), lambda x: x)
+    return out
+
+
+def _filled_by(field):
+    return lambda x: field(x).isNotNull()
+
+
+def _only_item(field):
+    # A missing inner list must not void the flattened list.
+    return lambda x: F.coalesce(field(x), F.array())
+
+
 def presence(df: DataFrame) -> DataFrame:
-    """``(path, type, present, total, required)`` of every field, from one pass over all rows."""
-    measures: list[tuple[str, str, Column, Column]] = []
-
-    def walk(struct: t.StructType, value: Column | None, prefix: str, here: Column, lift):
-        """``here`` counts the parents; ``lift`` counts over a parent's value the elements that pass a test."""
-        for f in struct.fields:
-            path = f"{prefix}.{f.name}" if prefix else f.name
-            kind = f.dataType
-            label = "array" if isinstance(kind, t.ArrayType) else sorted(json_types(kind))[0]
-            measures.append((path, label, lift(_named(f.name), lambda v: v.isNotNull()), here))
-            if isinstance(kind, t.StructType):
-                walk(kind, None, path, lift(_named(f.name), lambda v: v.isNotNull()), _inside(lift, f.name))
-            elif isinstance(kind, t.ArrayType) and isinstance(kind.elementType, t.StructType) and prefix == "":
-                items = F.col(f"`{f.name}`")
-                total = F.coalesce(F.size(items), F.lit(0))
-                walk(kind.elementType, None, f"{path}[]", total, _over_items(items))
-
-    def _named(name):
-        return lambda parent: F.col(f"`{name}`") if parent is None else parent[name]
-
-    def _inside(lift, name):
-        return lambda getter, test: lift(lambda parent: getter(_named(name)(parent)), test)
-
-    def _over_items(items):
-        return lambda getter, test: F.coalesce(F.size(F.filter(items, lambda x: test(getter(x)))), F.lit(0))
-
-    def top(getter, test):
-        return F.when(test(getter(None)), 1).otherwise(0)
-
-    walk(df.schema, None, "", F.lit(1), top)
+    """``(path, type, present, total, required)`` of every field at any depth, from one pass over all rows."""
+    measures = _measure_fields(df.schema, None, "", F.lit(1))
     aggregated = df.agg(
         *[F.sum(m[2]).alias(f"p{i}") for i, m in enumerate(measures)],
         *[F.sum(m[3]).alias(f"t{i}") for i, m in enumerate(measures)],

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
@@ -203,3 +203,16 @@ def materialize_sample(df: DataFrame, path: str, key: str, rate: float, seed: in
         return False
     write_rolling(hash_sample(df, key, rate, seed), path, extension)
     return True
+
+
+def write_with_quarantine(applied: DataFrame, path: str, extension: str = ".jsonl.gz") -> dict[str, int]:
+    """One job for a mapping result with its ``errors``: good rows below ``outcome=mapped``,
+    the others with their errors below ``outcome=quarantined``. The counters are observed
+    while writing, so nothing is computed twice."""
+    good = F.size("errors") == 0
+    counters = Observation("mapping")
+    watched = applied.observe(
+        counters, F.count(F.lit(1)).alias("read"), F.count(F.when(good, 1)).alias("mapped"), F.count(F.when(~good, 1)).alias("skipped")
+    )
+    write_records(watched.withColumn("outcome", F.when(good, "mapped").otherwise("quarantined")), path, extension, ["outcome"])
+    return dict(counters.get)

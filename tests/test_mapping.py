@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import transforms as X
 from millrace.operators.mapping import Mapping, json_schema_paths, parse_path, run_mapping, schema_paths
-from millrace.operators.validate import infer_json_schema, with_violations
+from millrace.operators.validate import infer_json_schema, presence, with_violations
+from millrace.sources.sinks import write_with_quarantine
 
 HASH = "a" * 64
 
@@ -114,6 +115,22 @@ def test_inferred_schema_requires_what_all_records_have(spark):
     assert schema["properties"]["a"] == {"type": "integer"}
 
 
+def test_presence_in_nested_lists(spark):
+    df = spark.sql(
+        "select named_struct('l', array(named_struct('x', 1, 'm', array(named_struct('y', 'a'), named_struct('y', null))), "
+        "named_struct('x', null, 'm', null))) as s"
+    )
+    rows = {r.path: (r.present, r.total) for r in presence(df).collect()}
+    assert rows == {"s": (1, 1), "s.l": (1, 1), "s.l[].x": (1, 2), "s.l[].m": (1, 2), "s.l[].m[].y": (1, 2)}
+
+
+def test_mapped_and_quarantined_rows_in_one_job(spark, questions, tmp_path):
+    applied = Mapping(SPEC, questions.schema, target=TARGET).apply(questions, ["id"])
+    assert write_with_quarantine(applied, str(tmp_path / "m")) == {"read": 2, "mapped": 1, "skipped": 1}
+    back = spark.read.json(str(tmp_path / "m"))
+    assert {r.outcome: r.id for r in back.collect()} == {"mapped": "1", "quarantined": "2"}
+
+
 def test_validation_of_types_and_alternatives(spark):
     df = spark.createDataFrame([(1, "x", None), (None, "yy", 2.0)], "a int, b string, c double")
     schema = {"required": ["a", "z"], "properties": {"a": {"type": "integer"}, "b": {"anyOf": [{"type": "string", "minLength": 2}, {"type": "number"}]}, "c": {"type": "integer"}}}
