@@ -7,7 +7,7 @@ from importlib import import_module
 
 AREAS = (
     "low_stats", "chat_stats", "standardize", "stats_query", "mapping", "catalog", "lineage", "recipe",
-    "sources", "dedup", "adhoc_sql",
+    "sources", "round_trip", "dedup", "adhoc_sql",
 )
 
 

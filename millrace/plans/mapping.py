@@ -248,6 +248,8 @@ _BAD = "(doc_id % 9 = 0)"
 _QUESTION = f"({_FIRST} || {_CHOICE})"
 _TOO_LONG = f"(length(text) > 8000 OR length({_QUESTION}) > 8000)"
 
+BAD_RECORD, CHOICES = f"({_BAD} OR {_TOO_LONG})", _CHOICES
+
 
 def _mapped_records(spark, sf_dir):
     source, mapping = chat_mapping(spark, sf_dir)
