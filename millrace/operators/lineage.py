@@ -84,19 +84,23 @@ def _marker(kind: str, identity: str):
 
 
 def traverse(edges: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
-    """One row per simple path prefix from ``starts(node_type, node_id)``, up to ``max_depth`` edges.
+    """One row per simple path prefix from each of ``starts(node_type, node_id)``, up to
+    ``max_depth`` edges; ``start_type`` and ``start_id`` tell the starts apart.
 
     Each level is checkpointed: the next level and the result both read it.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     steps = both_ways(edges).checkpoint()
-    frontier = starts.select("node_type", "node_id", F.array(_marker("node_type", "node_id")).alias("path"))
+    frontier = starts.select(
+        F.col("node_type").alias("start_type"), F.col("node_id").alias("start_id"), "node_type", "node_id",
+        F.array(_marker("node_type", "node_id")).alias("path"),
+    )
     levels = []
     for depth in range(1, max_depth + 1):
-        here = frontier.select(F.col("node_type").alias("from_type"), F.col("node_id").alias("from_id"), "path")
+        here = frontier.select("start_type", "start_id", F.col("node_type").alias("from_type"), F.col("node_id").alias("from_id"), "path")
         walked = here.join(steps, ["from_type", "from_id"]).filter(~F.array_contains("path", _marker("node_type", "node_id")))
         frontier = walked.select(
-            F.lit(depth).alias("depth"), "from_type", "from_id", "via_edge", "node_type", "node_id",
+            "start_type", "start_id", F.lit(depth).alias("depth"), "from_type", "from_id", "via_edge", "node_type", "node_id",
             F.array_append("path", _marker("node_type", "node_id")).alias("path"),
         ).checkpoint()
         levels.append(frontier.drop("path"))

@@ -45,13 +45,16 @@ _register(
 
 
 def _walk_sql(edges_name, kind, start, depth):
-    """Simple paths from one node, walking every edge in both directions."""
+    """Simple paths from a node, or from every row of a table of nodes, walking every edge in both directions."""
+    one = f"'{start}'" if start else "id"
+    source = "" if start else f" FROM {kind[1]}"
+    kind = kind if start else kind[0]
     return (
         f"both_ways AS (SELECT source_type AS ft, source_id AS fi, edge_type AS e, target_type AS nt, target_id AS ni FROM {edges_name} UNION ALL "
         f"SELECT target_type, target_id, edge_type, source_type, source_id FROM {edges_name}), "
-        f"walk AS (SELECT 0 AS depth, CAST(NULL AS VARCHAR) AS from_type, CAST(NULL AS VARCHAR) AS from_id, CAST(NULL AS VARCHAR) AS via_edge, "
-        f"'{kind}' AS node_type, '{start}' AS node_id, ['{kind}:{start}'] AS path UNION ALL "
-        "SELECT w.depth + 1, w.node_type, w.node_id, b.e, b.nt, b.ni, list_append(w.path, b.nt || ':' || b.ni) FROM walk w JOIN both_ways b "
+        f"walk AS (SELECT {one} AS start_id, 0 AS depth, CAST(NULL AS VARCHAR) AS from_type, CAST(NULL AS VARCHAR) AS from_id, CAST(NULL AS VARCHAR) AS via_edge, "
+        f"'{kind}' AS node_type, {one} AS node_id, ['{kind}:' || {one}] AS path{source} UNION ALL "
+        "SELECT w.start_id, w.depth + 1, w.node_type, w.node_id, b.e, b.nt, b.ni, list_append(w.path, b.nt || ':' || b.ni) FROM walk w JOIN both_ways b "
         f"ON w.node_type = b.ft AND w.node_id = b.fi WHERE w.depth < {depth} AND NOT list_contains(w.path, b.nt || ':' || b.ni))"
     )
 
@@ -65,7 +68,7 @@ def _start(spark, kind, identity):
 
 def card_paths(spark, sf_dir):
     """Walk from one card; the node and the depth are the parameters of the operator."""
-    return L.traverse(edges(spark, sf_dir), _start(spark, "Card", START_CARD), 4)
+    return L.traverse(edges(spark, sf_dir), _start(spark, "Card", START_CARD), 4).drop("start_type", "start_id")
 
 
 _WALK = f"WITH RECURSIVE {_EDGES}, {_walk_sql('edges', 'Card', START_CARD, 4)} "
@@ -76,11 +79,13 @@ _register(
 
 
 def _recipe_lineage(spark, sf_dir):
+    """Lineage of every recipe at once."""
     recipes = frame(spark, sf_dir, "recipe")
-    paths = L.traverse(L.recipe_edges(recipes), _start(spark, "Recipe", "rec-2"), 5)
+    starts = recipes.select(F.lit("Recipe").alias("node_type"), F.col("id").alias("node_id"))
+    paths = L.traverse(L.recipe_edges(recipes), starts, 5)
     named = L.with_names(paths, L.entity_names(recipes=recipes))
     scope = recipes.select(F.col("id").alias("node_id"), "scope", "version")
-    return named.join(scope, "node_id").select("depth", "from_id", "from_name", "via_edge", "node_id", "node_name", "scope", "version")
+    return named.join(scope, "node_id").select("start_id", "depth", "from_id", "from_name", "via_edge", "node_id", "node_name", "scope", "version")
 
 
 _RECIPE_EDGES = (
@@ -89,18 +94,20 @@ _RECIPE_EDGES = (
 )
 _register(
     "g03_recipe_lineage", _recipe_lineage,
-    f"WITH RECURSIVE {cte('recipe')}, {_RECIPE_EDGES}, {_walk_sql('edges', 'Recipe', 'rec-2', 5)} "
-    "SELECT depth, from_id, f.name AS from_name, via_edge, node_id, r.name AS node_name, r.scope, r.version FROM walk JOIN recipe r ON r.id = node_id "
+    f"WITH RECURSIVE {cte('recipe')}, {_RECIPE_EDGES}, {_walk_sql('edges', ('Recipe', 'recipe'), None, 5)} "
+    "SELECT start_id, depth, from_id, f.name AS from_name, via_edge, node_id, r.name AS node_name, r.scope, r.version FROM walk JOIN recipe r ON r.id = node_id "
     "LEFT JOIN recipe f ON f.id = from_id WHERE depth > 0",
 )
 
 
 def _prompt_lineage(spark, sf_dir):
+    """Lineage of every prompt at once, three edges deep."""
     prompts = frame(spark, sf_dir, "prompt")
-    paths = L.traverse(L.prompt_edges(prompts), _start(spark, "SystemPrompt", "sp-7"), 5)
+    starts = prompts.select(F.lit("SystemPrompt").alias("node_type"), F.col("id").alias("node_id"))
+    paths = L.traverse(L.prompt_edges(prompts), starts, 3)
     named = L.with_names(paths, L.entity_names(prompts=prompts))
     more = prompts.select(F.col("id").alias("node_id"), F.col("_lang").alias("node_lang"), F.col("deleted").alias("node_deleted"))
-    return named.join(more, "node_id").select("depth", "from_id", "from_name", "via_edge", "node_id", "node_name", "node_lang", "node_deleted")
+    return named.join(more, "node_id").select("start_id", "depth", "from_id", "from_name", "via_edge", "node_id", "node_name", "node_lang", "node_deleted")
 
 
 _PROMPT_EDGES = (
@@ -109,8 +116,8 @@ _PROMPT_EDGES = (
 )
 _register(
     "g04_prompt_lineage", _prompt_lineage,
-    f"WITH RECURSIVE {cte('prompt')}, {_PROMPT_EDGES}, {_walk_sql('edges', 'SystemPrompt', 'sp-7', 5)} "
-    "SELECT depth, from_id, f.name AS from_name, via_edge, node_id, r.name AS node_name, r._lang AS node_lang, r.deleted AS node_deleted FROM walk "
+    f"WITH RECURSIVE {cte('prompt')}, {_PROMPT_EDGES}, {_walk_sql('edges', ('SystemPrompt', 'prompt'), None, 3)} "
+    "SELECT start_id, depth, from_id, f.name AS from_name, via_edge, node_id, r.name AS node_name, r._lang AS node_lang, r.deleted AS node_deleted FROM walk "
     "JOIN prompt r ON r.id = node_id LEFT JOIN prompt f ON f.id = from_id WHERE depth > 0",
 )
 _register(
