@@ -137,16 +137,17 @@ def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
 def near_duplicates(df: DataFrame, text_col: str, id_col: str, bands: int = 16) -> DataFrame:
     """``(id, cluster, similarity)`` of records in clusters of more than one.
 
-    Exact copies are folded into their first record before any signature is computed and
-    are handed back at the end with that record's cluster.
+    Exact copies are folded into their first record before the bands are compared and are
+    handed back at the end with that record's cluster. Signatures are computed where the
+    texts lie, so only signatures and ids are ever shuffled.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     hashed = df.select(F.col(id_col).alias("id"), F.sha2(text_col, 256).alias("h"))
     groups = duplicate_groups(hashed, "h", "id").select("h", F.col("keep").alias("first"))
     copies = hashed.join(groups, "h").select("id", "first").filter("id <> first").checkpoint()
-    unique = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")).join(copies.select("id"), "id", "left_anti")
-    signatures = unique.select("id", minhash(T.tokens(F.lower("_t")), run=3).alias("signature")).checkpoint()
+    signed = df.select(F.col(id_col).alias("id"), minhash(T.tokens(F.lower(text_col)), run=3).alias("signature")).checkpoint()
+    signatures = signed.join(copies.select("id"), "id", "left_anti").checkpoint()
     components = connected_components(band_links(signatures, "id", bands))
     # A first record without near duplicates still heads the cluster of its exact copies.
     heads = copies.select(F.col("first").alias("node")).distinct().join(components, "node", "left_anti")
