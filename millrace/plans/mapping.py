@@ -54,7 +54,7 @@ def _mapped(spec, select, **options):
     def run(spark, sf_dir):
         source = nested(spark, sf_dir)
         mapping = Mapping(spec, source.schema, **options)
-        return mapping.apply(source, ["doc_id"]).select("doc_id", *select)
+        return mapping.apply(source, ["doc_id"]).selectExpr("doc_id", *select)
 
     return run
 
@@ -66,8 +66,8 @@ _register(
             "code": ["meta.code"], "origin": ["meta.inner.origin"], "second": ["turns[1].content"],
             "roles[]": ["turns[].role"], "beyond": ["turns[7].role"], "whole": ["body[0]"], "wrapped[]": ["body[]"],
         },
-        ["code", "origin", F.md5("second").alias("second"), F.array_join("roles", ",").alias("roles"), "beyond",
-         F.md5("whole").alias("whole"), F.size("wrapped").cast("long").alias("wrapped")],
+        ["code", "origin", "md5(second) AS second", "array_join(roles, ',') AS roles", "beyond",
+         "md5(whole) AS whole", "CAST(size(wrapped) AS BIGINT) AS wrapped"],
         declared={"properties": {
             "body": {"items": {"type": "string"}},
             "meta": {"properties": {"code": {}, "inner": {"properties": {"origin": {}}}}},
@@ -79,12 +79,12 @@ _register(
 )
 _register(
     "m02_flattened_name",
-    _mapped({"from": ["origin"], "n": ["size"]}, ["from", "n"], declared={"properties": {"origin": {}, "size": {}}}),
+    _mapped({"from": ["origin"], "n": ["size"]}, ["`from`", "n"], declared={"properties": {"origin": {}, "size": {}}}),
     "SELECT doc_id, source AS \"from\", n_chars AS n FROM documents",
 )
 _register(
     "m03_any_depth",
-    _mapped({"tags[]": ["tag"], "first": ["tag"]}, [F.array_join("tags", ",").alias("tags"), "first"], declared={"properties": {"tag": {}}}),
+    _mapped({"tags[]": ["tag"], "first": ["tag"]}, ["array_join(tags, ',') AS tags", "`first`"], declared={"properties": {"tag": {}}}),
     "SELECT doc_id, source || ',q,a,' || lang AS tags, source AS first FROM documents",
 )
 _register(
@@ -104,7 +104,7 @@ _register(
             "pairs[].who": ["turns[].role"], "pairs[].tag": ["turns[].tag"], "pairs[0].code": ["meta.code"],
             "deep.inner.lang": ["meta.code"], "scalar": ["turns[].role"],
         },
-        [F.to_json("messages").alias("messages"), F.to_json("pairs").alias("pairs"), F.col("deep.inner.lang").alias("deep"), "scalar"],
+        ["to_json(messages) AS messages", "to_json(pairs) AS pairs", "deep.inner.lang AS deep", "scalar"],
     ),
     f"SELECT doc_id, '[{{\"role\":\"USER\",\"content\":' || to_json({_FIRST})::VARCHAR || '}},{{}},{{\"role\":\"ASSISTANT\",\"note\":{{\"size\":' || "
     "CAST(n_chars AS VARCHAR) || '}}]' AS messages, "
@@ -124,7 +124,7 @@ _register(
     "m10_map_enum",
     _mapped(
         {"roles[]": ["map_enum", "turns[].role", _ROLES], "lang": ["map_enum", "meta.code", {"en": "English", "fr": "French"}]},
-        [F.array_join("roles", ",", "none").alias("roles"), "lang"],
+        ["array_join(roles, ',', 'none') AS roles", "lang"],
     ),
     "SELECT doc_id, 'USER,ASSISTANT,none' AS roles, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' END AS lang FROM documents",
 )
@@ -134,7 +134,7 @@ for _piece in _PIECES:
     _removed = f"replace({_removed}, {quote(_piece)}, '')"
 _register(
     "m11_remove_strings",
-    _mapped({"a": ["remove_strings", "body", _PIECES], "b": ["remove_strings", "body", []]}, [F.md5("a").alias("a"), F.md5("b").alias("b")]),
+    _mapped({"a": ["remove_strings", "body", _PIECES], "b": ["remove_strings", "body", []]}, ["md5(a) AS a", "md5(b) AS b"]),
     f"SELECT doc_id, md5({sql_collapse(_removed)}) AS a, md5(text) AS b FROM documents",
 )
 _PATTERNS = [r"[aeiou]{2,}", r"\([^)]*\)", "th."]
@@ -142,11 +142,11 @@ _subbed = "text"
 for _pattern in _PATTERNS:
     _subbed = f"regexp_replace({_subbed}, {quote('(?is)' + _pattern)}, '', 'g')"
 _register(
-    "m12_remove_regex", _mapped({"a": ["remove_regex_strings", "body", _PATTERNS]}, [F.md5("a").alias("a")]),
+    "m12_remove_regex", _mapped({"a": ["remove_regex_strings", "body", _PATTERNS]}, ["md5(a) AS a"]),
     f"SELECT doc_id, md5({sql_collapse(_subbed)}) AS a FROM documents",
 )
 _register(
-    "m13_remove_prefix", _mapped({"a": ["remove_prefix", "the", "body"]}, [F.md5("a").alias("a")]),
+    "m13_remove_prefix", _mapped({"a": ["remove_prefix", "the", "body"]}, ["md5(a) AS a"]),
     "SELECT doc_id, md5(CASE WHEN instr(text, 'the') > 0 THEN "
     f"regexp_replace(substring(text, instr(text, 'the') + 3), {quote('^[' + WHITESPACE + ']+')}, '') ELSE text END) AS a FROM documents",
 )
@@ -201,7 +201,7 @@ _CHOICE = " || ".join(
 )
 _register(
     "m16_lettered_choices",
-    _mapped({"a": ["ARC_simple_chat", "turns[0].content", "choices"]}, [F.md5("a").alias("a")]),
+    _mapped({"a": ["ARC_simple_chat", "turns[0].content", "choices"]}, ["md5(a) AS a"]),
     f"SELECT doc_id, md5({_FIRST} || {_CHOICE}) AS a FROM (SELECT *, {_CHOICES} AS ch FROM documents)",
 )
 

@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -23,6 +25,12 @@ def oracle():
     return con
 
 
+def test_registry_needs_no_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 200"
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
 def test_every_oracle_belongs_to_a_query():
     assert entry.oracle_sql().keys() <= entry.queries().keys()
 
