@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import license_rules, quality_bands
+from millrace.llm import license_rules, quality_bands, substring_dedup
 
 QUERIES, ORACLES = {}, {}
 
@@ -27,3 +27,11 @@ def _licenses(spark, sf_dir):
 
 
 QUERIES["op10_license_rules"] = _licenses
+
+
+def _substrings(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.removal_digest(docs)
+
+
+QUERIES["op2_seed_extend"] = _substrings
