@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import license_rules, quality_bands, substring_dedup
+from millrace.llm import dart_minhash, license_rules, quality_bands, substring_dedup
 
 QUERIES, ORACLES = {}, {}
 
@@ -35,3 +35,11 @@ def _substrings(spark, sf_dir):
 
 
 QUERIES["op2_seed_extend"] = _substrings
+
+
+def _near(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dart_minhash.with_classes(docs).select("doc_id", "class_id", "class_size")
+
+
+QUERIES["op5_dart_minhash"] = _near
