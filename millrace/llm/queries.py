@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import dart_minhash, license_rules, quality_bands, substring_dedup
+from millrace.llm import dart_minhash, license_rules, pivotal_mix, quality_bands, substring_dedup
 
 QUERIES, ORACLES = {}, {}
 
@@ -43,3 +43,11 @@ def _near(spark, sf_dir):
 
 
 QUERIES["op5_dart_minhash"] = _near
+
+
+def _mix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return pivotal_mix.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+QUERIES["op8_pivotal_mix"] = _mix
