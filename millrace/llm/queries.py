@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import dart_minhash, license_rules, pivotal_mix, quality_bands, substring_dedup
+from millrace.llm import dart_minhash, license_rules, piece_dropout, pivotal_mix, quality_bands, substring_dedup
 
 QUERIES, ORACLES = {}, {}
 
@@ -51,3 +51,11 @@ def _mix(spark, sf_dir):
 
 
 QUERIES["op8_pivotal_mix"] = _mix
+
+
+def _pieces(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_dropout.encoded_and_decoded(docs)
+
+
+QUERIES["op3_piece_dropout"] = _pieces
