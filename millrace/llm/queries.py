@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import dart_minhash, license_rules, piece_dropout, pivotal_mix, quality_bands, substring_dedup
+from millrace.llm import dart_minhash, kd_search, license_rules, piece_dropout, pivotal_mix, quality_bands, substring_dedup
 
 QUERIES, ORACLES = {}, {}
 
@@ -59,3 +59,21 @@ def _pieces(spark, sf_dir):
 
 
 QUERIES["op3_piece_dropout"] = _pieces
+
+
+def _nearest(spark, sf_dir):
+    return kd_search.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES["op4_kd_trees"] = _nearest
+ORACLES["op4_kd_trees"] = """
+WITH sound AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM sound q JOIN sound c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
