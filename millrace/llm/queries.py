@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import dart_minhash, kd_search, license_rules, piece_dropout, pivotal_mix, quality_bands, substring_dedup
+from millrace.llm import dart_minhash, kd_search, license_rules, piece_dropout, pivotal_mix, quality_bands, substring_dedup, token_scan
 
 QUERIES, ORACLES = {}, {}
 
@@ -77,3 +77,10 @@ WITH sound AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 5
 """
+
+
+def _tokens(spark, sf_dir):
+    return token_scan.count_tokens(table(spark, sf_dir, "documents").select("text"))
+
+
+QUERIES["op1_separator_scan"] = _tokens
