@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import dart_minhash, kd_search, license_rules, piece_dropout, pivotal_mix, quality_bands, substring_dedup, token_scan
+from millrace.llm import dart_minhash, kd_search, license_rules, piece_dropout, pivotal_mix, quality_bands, substring_dedup, token_scan, wrapper_induction
 
 QUERIES, ORACLES = {}, {}
 
@@ -84,3 +84,11 @@ def _tokens(spark, sf_dir):
 
 
 QUERIES["op1_separator_scan"] = _tokens
+
+
+def _main_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return wrapper_induction.extract_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES["op7_wrapper_induction"] = _main_text
