@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import dart_minhash, kd_search, license_rules, piece_dropout, pivotal_mix, quality_bands, substring_dedup, token_scan, wrapper_induction
+from millrace.llm import dart_minhash, kd_search, license_rules, piece_dropout, pivotal_mix, quality_bands, substring_dedup, token_scan, warc_derivatives, wrapper_induction
 
 QUERIES, ORACLES = {}, {}
 
@@ -92,3 +92,11 @@ def _main_text(spark, sf_dir):
 
 
 QUERIES["op7_wrapper_induction"] = _main_text
+
+
+def _derivatives(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc_derivatives.build_derivatives(warc_derivatives.page_responses(pages))
+
+
+QUERIES["op6_warc_derivatives"] = _derivatives
