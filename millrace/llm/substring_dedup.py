@@ -229,6 +229,8 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     rows = keyed.select("k1", "k2", F.explode(anchors(F.col("text"), length, seed)).alias("s"))
     rows = rows.select("k1", "k2", "s.a", "s.c", "s.lo", "s.hi")
     seen = rows.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("n > 1")
+    # Stored, so that the join shuffles both sides itself and can split the rows of a hot anchor.
+    seen = stored(seen, "anchors")
     shared = stored(rows.join(seen.select("a", (F.col("low") != F.col("high")).alias("mixed")), "a"), "shared-anchors")
     mixed = shared.filter("mixed")
     one = F.min(F.struct("k1", "k2", "lo", "hi")).alias("one")
@@ -242,6 +244,7 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     extended = texts.select("k1", "k2", F.explode(windows(F.col("text"), F.col("edges"), length)).alias("s"))
     extended = stored(extended.select("k1", "k2", "s.a", "s.w", "s.i"), "windows")
     again = extended.groupBy("a", "w").agg(F.count("*").alias("n")).filter("n > 1").select("a", "w")
+    again = stored(again, "repeated-windows")
     found = extended.join(again, ["a", "w"]).select("k1", "k2", F.col("i").alias("lo"), F.col("i").alias("hi"))
     return done.unionByName(found).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("removed"))
 
