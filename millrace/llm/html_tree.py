@@ -19,6 +19,7 @@ RAW = frozenset("script style title textarea noscript noframes iframe xmp".split
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split()
 )
+SILENT = frozenset("script style template link meta base".split())  # no text and no break in it
 # A start tag of the first set ends an open element of the second, unless one of the third is between.
 IMPLIED_ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -55,7 +56,7 @@ class Page:
             if tag is None or found["attrs"][-1:] != ">":
                 continue  # a comment or declaration, or a tag that the page's end cuts off
             tag = tag.lower()
-            if tag not in INLINE:
+            if tag not in INLINE and tag not in SILENT:
                 broken = True
             if found["end"]:
                 self.close(stack, tag)
@@ -73,7 +74,7 @@ class Page:
                     inner = html.unescape(inner)
                 if inner:
                     self.segments.append((len(tags) - 1, inner, broken))
-                    broken = tag not in INLINE
+                    broken = tag not in SILENT
                 at = end.end() if end else length
                 continue
             stack.append(len(tags) - 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from millrace.llm import dart_minhash, kd_search, license_rules, piece_dropout, pivotal_mix, quality_bands, substring_dedup, token_scan, warc_derivatives, wrapper_induction
 
 QUERIES, ORACLES = {}, {}
@@ -100,3 +101,5 @@ def _derivatives(spark, sf_dir):
 
 
 QUERIES["op6_warc_derivatives"] = _derivatives
+
+QUERIES["pipeline"] = corpus_pipeline.run
