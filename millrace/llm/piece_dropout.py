@@ -1,25 +1,25 @@
 """SentencePiece encoding with seeded merge-dropout, and its decoding.
 
 Encoding follows the merge order of a public BPE piece model: an agenda holds the candidate merges
-of a chunk, best score first and leftmost on ties. With dropout a candidate that comes up is skipped
-for good if a keyed hash of the chunk, the variant and the place of the merge falls below the rate;
-skipped merges leave smaller pieces, so equal words are cut in different ways. A rate of 0 gives
-the model's own segmentation.
+of a chunk, best score first and leftmost on ties. With dropout a candidate is skipped for good if
+a keyed hash of the chunk, the variant and the place of the merge falls below the rate; skipped
+merges leave smaller pieces, so equal words are cut in different ways. A rate of 0 gives the
+model's own segmentation.
 
 No piece of the model holds a space after its first character or a line feed, so merges never
-cross from one chunk (spaces with the word after them) into the next and chunks can be encoded
-alone and remembered. Each occurrence of a chunk uses one of ``variants`` segmentations, picked by
-a hash of the row's key and the occurrence's number. Characters outside the vocabulary become byte
-pieces, the model's space mark among them, so decoding gives back every text exactly.
-
-Encoding and decoding are projections: no shuffle; memory is a bounded cache and one text.
+cross from one chunk (spaces with the word after them) into the next. Each occurrence of a chunk
+uses one of ``variants`` segmentations, picked by a hash of the row's key and the occurrence's
+number. The distinct chunks and variants of a slice of texts are processed together: chunks of one
+length are rows of a matrix, and in each round every row takes the best entry of its agenda.
+Characters outside the vocabulary become byte pieces, the model's space mark among them, so
+decoding gives back every text exactly.
+
+Encoding and decoding are projections: no shuffle; memory is one slice of texts or one text.
 """
 
 from __future__ import annotations
 
-import hashlib
 import heapq
-import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -33,9 +33,10 @@ from millrace.llm import wordscan as W
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
-CHUNK = re.compile(r" *[^ \n]+|\n| +")
-CACHE_ENTRIES = 150_000
+LONGEST = 32  # longer chunks are processed one by one
+SLICE_CHARS = 1 << 22
 MASK = (1 << 64) - 1
+PLACES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
 @dataclass(frozen=True)
@@ -69,21 +70,38 @@ class PieceModel:
         if len(self.byte_id) != 256:
             raise ValueError("the model has no byte pieces, so decoding would lose characters")
 
-    def encode_chunk(self, chunk: str, drop: Dropout, variant: int) -> tuple[int, ...]:
-        """Piece ids of one chunk, by agenda."""
-        n = len(chunk)
-        score, limit = self.score, int(drop.rate * (1 << 64))
-        key = 0
-        if limit:
-            keyed = hashlib.blake2b(chunk.encode(), digest_size=8, key=drop.seed.to_bytes(8, "big", signed=True), salt=variant.to_bytes(8, "big"))
-            key = int.from_bytes(keyed.digest(), "big")
+        self.prepare_pairs()
+
+    def prepare_pairs(self) -> None:
+        """Symbols are pieces, or characters that only occur inside pieces; a sorted table gives
+        rank and result of every merge of two symbols."""
+        symbol = dict(self.id)
+        for piece in self.id:
+            for c in piece:
+                symbol.setdefault(c, len(symbol) + len(self.bytes_of))
+        keys, ranks, merged = [], [], []
+        for piece, i in self.id.items():
+            for cut in range(1, len(piece)):
+                left, right = symbol.get(piece[:cut]), symbol.get(piece[cut:])
+                if left is not None and right is not None:
+                    keys.append(left << 32 | right)
+                    ranks.append(-self.score[piece])
+                    merged.append(i)
+        order = np.argsort(keys)
+        self.pair_keys = np.append(np.array(keys, dtype=np.int64)[order], np.int64(1) << 62)
+        self.pair_ranks = np.append(np.array(ranks, dtype=np.float64)[order], np.inf)
+        self.pair_merged = np.append(np.array(merged, dtype=np.int64)[order], -1)
+        self.symbol_of = np.full(0x110000, -1, dtype=np.int64)
+        for c, i in symbol.items():
+            if len(c) == 1:
+                self.symbol_of[ord(c)] = i
+
+    def agenda_of_chunk(self, chunk: str, key: int, limit: int) -> list[int]:
+        """Piece ids of one chunk; ``key`` is its keyed hash, ``limit`` the rate as a share of 2^64."""
+        n, score = len(chunk), self.score
         # Symbols are spans of the chunk: end[i] for a symbol that starts at i, 0 if none does.
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
-        for i in range(n - 1):
-            s = score.get(chunk[i : i + 2])
-            if s is not None:
-                agenda.append((-s, i, i + 1, i + 2))
+        agenda = [(-score[chunk[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if chunk[i : i + 2] in score]
         heapq.heapify(agenda)
         while agenda:
             _, left, mid, stop = heapq.heappop(agenda)
@@ -105,16 +123,137 @@ class PieceModel:
         out, i = [], 0
         while i < n:
             piece = self.id.get(chunk[i : end[i]])
-            if piece is None:
-                out += [self.byte_id[b] for b in chunk[i : end[i]].encode()]
-            else:
-                out.append(piece)
+            out += [piece] if piece is not None else [self.byte_id[b] for b in chunk[i : end[i]].encode()]
             i = end[i]
-        return tuple(out)
+        return out
+
+    def agendas(self, chars: np.ndarray, key: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Segmentations of chunks of one length (rows of ``chars``): groups of ``(rows, symbols,
+        starts)`` by number of symbols."""
+        rows, length = chars.shape
+        active, symbols = np.arange(rows), self.symbol_of[chars]
+        starts = np.broadcast_to(np.arange(length + 1, dtype=np.int64), (rows, length + 1)).copy()
+        rank, merged = self.candidates(symbols[:, :-1], symbols[:, 1:], key[:, None], starts[:, :-2], starts[:, 1:-1], starts[:, 2:], limit)
+        groups = []
+        while len(active):
+            width = symbols.shape[1]
+            at = rank.argmin(axis=1) if width > 1 else np.zeros(len(active), np.int64)
+            every = np.arange(len(active))
+            done = np.isinf(rank[every, at]) if width > 1 else np.ones(len(active), bool)
+            if done.any():
+                groups.append((active[done], symbols[done], starts[done]))
+                go = ~done
+                active, symbols, starts, rank, merged, key, at = (x[go] for x in (active, symbols, starts, rank, merged, key, at))
+                every = np.arange(len(active))
+                if not len(active):
+                    break
+            # Columns right of the merge move one to the left.
+            new = merged[every, at]
+            column = np.arange(width - 1)
+            symbols = np.where(column <= at[:, None], symbols[:, :-1], symbols[:, 1:])
+            symbols[every, at] = new
+            starts = np.where(np.arange(width) <= at[:, None], starts[:, :-1], starts[:, 1:])
+            if width > 2:
+                column = np.arange(width - 2)
+                rank = np.where(column < at[:, None], rank[:, :-1], rank[:, 1:])
+                merged = np.where(column < at[:, None], merged[:, :-1], merged[:, 1:])
+                for side in (at - 1, at):  # the pairs on both sides of the new symbol
+                    own = np.flatnonzero((side >= 0) & (side < width - 2))
+                    j = side[own]
+                    rank[own, j], merged[own, j] = self.candidates(
+                        symbols[own, j], symbols[own, j + 1], key[own], starts[own, j], starts[own, j + 1], starts[own, j + 2], limit
+                    )
+        return groups
+
+    def candidates(self, left, right, key, begin, mid, stop, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and result of merges; an infinite rank if there is no such piece or it is skipped."""
+        pair = np.where((left >= 0) & (right >= 0), left << 32 | right, -1)
+        at = np.searchsorted(self.pair_keys, pair)
+        found = self.pair_keys[at] == pair
+        if limit:
+            place = begin.astype(np.uint64) * PLACES[0] ^ mid.astype(np.uint64) * PLACES[1] ^ stop.astype(np.uint64) * PLACES[2]
+            found &= W.mix(key ^ place) >= np.uint64(limit)
+        return np.where(found, self.pair_ranks[at], np.inf), self.pair_merged[at]
+
+    def segment(self, chars: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(offsets, ids)`` of the chunks ``chars[begin : begin + size]``."""
+        counts, pieces = np.zeros(len(begin), dtype=np.int64), []
+        for length in np.unique(size).tolist():
+            own = np.flatnonzero(size == length)
+            if length > LONGEST:
+                for i in own.tolist():
+                    text = chars[begin[i] : begin[i] + length].astype("<u4").tobytes().decode("utf-32-le")
+                    pieces.append((np.array([i]), np.array([self.agenda_of_chunk(text, int(key[i]), limit)])))
+                continue
+            for at in range(0, len(own), 1 << 16):
+                part = own[at : at + (1 << 16)]
+                text = chars[begin[part][:, None] + np.arange(length)]
+                for rows, symbols, starts in self.agendas(text, key[part], limit):
+                    plain = ((symbols >= 0) & (symbols < len(self.bytes_of))).all(axis=1)
+                    pieces.append((part[rows[plain]], symbols[plain]))
+                    for row, own_symbols, own_starts in zip(rows[~plain].tolist(), symbols[~plain].tolist(), starts[~plain].tolist()):
+                        ids = []
+                        for s, at_char in zip(own_symbols, own_starts):
+                            known = 0 <= s < len(self.bytes_of)
+                            ids += [s] if known else [self.byte_id[b] for b in chr(text[row, at_char]).encode()]
+                        pieces.append((part[row : row + 1], np.array([ids])))
+        for rows, ids in pieces:
+            counts[rows] = ids.shape[1]
+        offsets = np.concatenate(([0], np.cumsum(counts)))
+        values = np.empty(offsets[-1], dtype=np.int32)
+        for rows, ids in pieces:
+            values[offsets[rows][:, None] + np.arange(ids.shape[1])] = ids
+        return offsets, values
+
+    def encode(self, texts: list[str | None], salts: np.ndarray, drop: "Dropout") -> list[np.ndarray | None]:
+        """Piece ids of texts; null for null."""
+        out: list[np.ndarray | None] = [None if t is None else np.empty(0, np.int32) for t in texts]
+        rows, pending = [], 0
+        for i, t in enumerate(texts):
+            if t:
+                rows.append(i)
+                pending += len(t)
+            if rows and (pending >= SLICE_CHARS or i == len(texts) - 1):
+                for row, ids in zip(rows, self.encode_slice([texts[r] for r in rows], salts[rows], drop)):
+                    out[row] = ids
+                rows, pending = [], 0
+        return out
+
+    def encode_slice(self, texts: list[str], salts: np.ndarray, drop: "Dropout") -> list[np.ndarray]:
+        chars = np.frombuffer("".join([" " + t for t in texts]).encode("utf-32-le"), dtype=np.uint32)
+        bounds = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+        space, feed = chars == 0x20, chars == 0x0A
+        start = np.empty(len(chars), dtype=bool)
+        start[1:] = feed[1:] | feed[:-1] | (space[1:] & ~space[:-1])
+        start[bounds[:-1]] = True
+        begin = np.flatnonzero(start)
+        size = np.diff(np.append(begin, len(chars)))
+        first = np.searchsorted(begin, bounds)
+        # Hash of the characters of each chunk, then of the variant that its number picks.
+        sums, downs = W.prefix_hash(W.mix(chars.astype(np.uint64) + np.uint64(1)), W.SEQUENCE_BASES[1])
+        chunk = W.mix((sums[begin + size] - sums[begin]) * downs[begin] + size.astype(np.uint64))
+        nth = np.arange(len(begin)) - np.repeat(first[:-1], np.diff(first))
+        ways = np.uint64(drop.variants if drop.rate > 0 else 1)
+        variant = W.mix(np.repeat(salts, np.diff(first)) + nth.astype(np.uint64)) % ways
+        key = W.mix(chunk ^ W.mix(variant + np.uint64(drop.seed * 1_000_003 & MASK)))
+        _, sample, inverse = np.unique(key, return_index=True, return_inverse=True)
+        offsets, values = self.segment(chars, begin[sample], size[sample], key[sample], int(drop.rate * (1 << 64)))
+        count = np.diff(offsets)[inverse]
+        upto = np.concatenate(([0], np.cumsum(count)))
+        ids = values[np.repeat(offsets[inverse] - upto[:-1], count) + np.arange(upto[-1])]
+        ends = upto[first]
+        return [ids[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def decode(self, ids: np.ndarray) -> str:
+        table = self.bytes_of
+        raw = b"".join([table[i] for i in ids.tolist()])
+        # The space before the first word was added by the encoder.
+        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
 def place_hash(key: int, left: int, mid: int, stop: int) -> int:
-    x = (key ^ left * 0x9E3779B97F4A7C15 ^ mid * 0xC2B2AE3D27D4EB4F ^ stop * 0x165667B19E3779F9) & MASK
+    """Keyed hash of the place of a merge in a chunk."""
+    x = (key ^ left * int(PLACES[0]) ^ mid * int(PLACES[1]) ^ stop * int(PLACES[2])) & MASK
     x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & MASK
     x = ((x ^ x >> 27) * 0x94D049BB133111EB) & MASK
     return x ^ x >> 31
@@ -125,31 +264,6 @@ def load(proto: bytes) -> PieceModel:
     return PieceModel(proto)
 
 
-class Memory:
-    """Segmentations found by this worker, in two generations: a full young one becomes the old
-    one, and what is asked for again moves back, so frequent chunks stay."""
-
-    def __init__(self, model: PieceModel, drop: Dropout):
-        self.model, self.drop = model, drop
-        self.ways = drop.variants if drop.rate > 0 else 1
-        self.young, self.old, self.size = [{} for _ in range(self.ways)], [{} for _ in range(self.ways)], 0
-
-    def missing(self, chunk: str, variant: int) -> tuple[int, ...]:
-        """The segmentation of a chunk that is not in the young generation."""
-        own = self.old[variant].get(chunk) or self.model.encode_chunk(chunk, self.drop, variant)
-        if len(chunk) < 64:
-            if self.size >= CACHE_ENTRIES:
-                self.young, self.old, self.size = [{} for _ in range(self.ways)], self.young, 0
-            self.young[variant][chunk] = own
-            self.size += 1
-        return own
-
-
-@lru_cache(maxsize=2)
-def memory(proto: bytes, drop: Dropout) -> Memory:
-    return Memory(load(proto), drop)
-
-
 def read_model(path: str) -> bytes:
     """The model file, about half a megabyte, read once by the driver and sent with the function."""
     with open(path, "rb") as f:
@@ -163,48 +277,56 @@ def encode(text: Column, key: Column, drop: Dropout = Dropout(), model_path: str
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encoded(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        known = memory(proto, drop)
-        salts = W.mix(np.asarray(keys.fill_null(0)).astype(np.int64).view(np.uint64) + np.uint64(drop.seed & MASK))
-        offsets, parts, missing = [0], [], []
-        for row, text in enumerate(texts):
-            text = text.as_py()
-            missing.append(text is None)
-            ids: list[int] = []
-            if text:
-                chunks = CHUNK.findall(" " + text)
-                picks = (W.mix(salts[row] + np.arange(len(chunks), dtype=np.uint64)) % np.uint64(known.ways)).tolist()
-                for chunk, pick in zip(chunks, picks):
-                    ids += known.young[pick].get(chunk) or known.missing(chunk, pick)
-            parts.append(np.array(ids, dtype=np.int32))
-            offsets.append(offsets[-1] + len(ids))
-        values = pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(missing, pa.bool_()))
+        return id_lists(load(proto).encode(texts.to_pylist(), row_salts(keys, drop), drop))
 
     return encoded.asNondeterministic()(text, key)
 
 
+def row_salts(keys: pa.Array, drop: Dropout) -> np.ndarray:
+    return W.mix(np.asarray(keys.fill_null(0)).astype(np.int64).view(np.uint64) + np.uint64(drop.seed & MASK))
+
+
+def id_lists(parts: list[np.ndarray | None]) -> pa.Array:
+    """Lists of ids, null for None."""
+    offsets = np.cumsum([0, *(0 if p is None else len(p) for p in parts)]).astype(np.int32)
+    some = [p for p in parts if p is not None]
+    values = pa.array(np.concatenate(some) if some else np.empty(0, np.int32))
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([p is None for p in parts], pa.bool_()))
+
+
 def decode(ids: Column, model_path: str = MODEL_PATH) -> Column:
     """The text of an array of piece ids; null for null. Ids are taken in any segmentation."""
     proto = read_model(model_path)
 
     @F.arrow_udf(T.StringType())
     def decoded(lists: pa.Array) -> pa.Array:
-        table = load(proto).bytes_of
-        flat = np.asarray(lists.flatten()).tolist()
-        out, at = [], 0
-        for size in lists.value_lengths().to_pylist():
-            if size is None:
-                out.append(None)
-                continue
-            raw = b"".join([table[i] for i in flat[at : at + size]])
-            at += size
-            # The space before the first word was added by the encoder.
-            out.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
+        model, flat, at, out = load(proto), np.asarray(lists.flatten()), 0, []
+        for size in lists.value_lengths():
+            size = size.as_py()
+            out.append(None if size is None else model.decode(flat[at : at + size]))
+            at += size or 0
         return pa.array(out, pa.string())
 
     return decoded(ids)
 
 
+ROUND_TRIP = T.StructType([T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
+
+
+def round_trip(text: Column, key: Column, drop: Dropout = Dropout(), model_path: str = MODEL_PATH) -> Column:
+    """``pieces`` as of ``encode`` and whether ``decode`` gives the text back, in one pass."""
+    proto = read_model(model_path)
+
+    @F.arrow_udf(ROUND_TRIP)
+    def both(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        model, plain = load(proto), texts.to_pylist()
+        parts = model.encode(plain, row_salts(keys, drop), drop)
+        same = [(None if ids is None else model.decode(ids)) == text for ids, text in zip(parts, plain)]
+        return pa.StructArray.from_arrays([id_lists(parts), pa.array(same, pa.bool_())], names=ROUND_TRIP.names)
+
+    return both.asNondeterministic()(text, key)
+
+
 def with_pieces(
     df: DataFrame, text_col: str = "text", id_col: str = "doc_id", out: str = "pieces",
     drop: Dropout = Dropout(), model_path: str = MODEL_PATH,
@@ -218,7 +340,7 @@ def encoded_and_decoded(
     df: DataFrame, text_col: str = "text", id_col: str = "doc_id", drop: Dropout = Dropout(), model_path: str = MODEL_PATH,
 ) -> DataFrame:
     """``id_col``, ``pieces``, ``n_pieces`` and ``lossless``: whether decoding gives the text back."""
-    slim = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    pieces = with_pieces(slim, "text", "id", "pieces", drop, model_path)
-    back = pieces.withColumn("lossless", decode(F.col("pieces"), model_path).eqNullSafe(F.col("text")))
-    return back.select(F.col("id").alias(id_col), F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "pieces", "lossless")
+    made = round_trip(F.col(f"`{text_col}`"), F.xxhash64(f"`{id_col}`"), drop, model_path)
+    back = df.select(F.col(f"`{id_col}`").alias("id"), made.alias("made"))
+    count = F.coalesce(F.size("made.pieces"), F.lit(0)).cast("long")
+    return back.select(F.col("id").alias(id_col), count.alias("n_pieces"), "made.pieces", "made.lossless")
