@@ -51,7 +51,7 @@ def choose_language(
     fallback = F.lit(allowed[0] if allowed else C.UNKNOWN_LANG)
     if not allowed:
         return fallback
-    cleaned = F.substring(T.strip(F.replace(sample, F.lit("\n"), F.lit(" "))), 1, C.LANG_SAMPLE_CHARS)
+    cleaned = T.strip(F.replace(sample, F.lit("\n"), F.lit(" ")))
     found = detect(cleaned) if detected is None else detected
     usable = F.length(F.coalesce(sample, F.lit(""))) > max(min_chars - 1, 0)
     return F.when(usable & found.isin(allowed), found).otherwise(fallback)

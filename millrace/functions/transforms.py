@@ -77,16 +77,20 @@ def remove_tag_content(tag: str, text: Column) -> Column:
     """Remove the tag with its content until none is left, so nesting is handled.
 
     Every pass deletes at least one closing tag, so the number of closing tags bounds
-    the passes exactly.
+    the passes; once a pass changes nothing the text is no longer looked at.
     """
     opening, closing = _tag_borders(tag)
     pattern = f"(?isu){opening}.*?{closing}"
     passes = F.regexp_count(text, F.lit(f"(?iu){closing}"))
 
-    def one_pass(current: Column, _: Column) -> Column:
-        return F.when(F.rlike(current, F.lit(pattern)), F.regexp_replace(current, pattern, " ")).otherwise(current)
+    def one_pass(state: Column, _: Column) -> Column:
+        def compared(less: Column) -> Column:
+            return F.struct(less.alias("text"), (less == state["text"]).alias("done"))
 
-    return T.collapse_spaces(F.aggregate(F.sequence(F.lit(1), passes + 1), text, one_pass))
+        return F.when(state["done"], state).otherwise(T.let(F.regexp_replace(state["text"], pattern, " "), compared))
+
+    start = F.struct(text.alias("text"), F.lit(False).alias("done"))
+    return T.collapse_spaces(F.aggregate(F.sequence(F.lit(1), passes + 1), start, one_pass, lambda state: state["text"]))
 
 
 def arc_simple_chat(question, choices: Column) -> Column:

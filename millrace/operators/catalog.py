@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from millrace.functions.naming import entity_name, match_code, next_version
 from millrace.functions import text as T
+from millrace.operators.relate import ancestors
 
 
 # ---- keyed snapshots -------------------------------------------------------------------
@@ -264,8 +265,8 @@ def repair_alignment(distributions: DataFrame, orphans: DataFrame, drop: bool =
 
 
 def orphans(distributions: DataFrame, listing: DataFrame, path_col: str = "path") -> DataFrame:
-    """Materialised distributions without any listed file below their address."""
-    folders = listing.select(F.regexp_replace(path_col, r"/[^/]*\z", "").alias("uri")).distinct()
+    """Materialised distributions without any listed file below their address, at any depth."""
+    folders = listing.select(F.explode(ancestors(path_col)).alias("uri")).distinct()
     return distributions.filter("materialized").join(folders, "uri", "left_anti")
 
 

@@ -112,13 +112,13 @@ def band_links(signatures: DataFrame, id_col: str, bands: int = 16) -> DataFrame
     return keyed.join(first, "band").filter("a > b").select("a", "b").distinct()
 
 
-def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """``(node, root)`` with the smallest id of each component, by alternating large-star and
     small-star rounds; each round is checkpointed and the rounds stop when nothing changes."""
     ensure_checkpoint_dir(links.sparkSession)
     edges = links.select("a", "b").checkpoint()
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -129,8 +129,6 @@ def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
         if mark == state:
             break
         state = mark
-    else:
-        raise RuntimeError(f"components still changed after {max_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.catalog import upsert
+from millrace.operators.relate import ancestors
 from millrace.operators.sampling import hash_number, sampled
 from millrace.session import broadcast_if_small
 
@@ -65,7 +66,7 @@ def downsample_plan(fractions: DataFrame, catalog: DataFrame, listing: DataFrame
         F.col("replica").alias("rate"),
     )
     known = catalog.select("uri").distinct().withColumn("_known", F.lit(True))
-    present = listing.select(F.regexp_replace("path", r"/[^/]*\z", "").alias("uri")).distinct().withColumn("_present", F.lit(True))
+    present = listing.select(F.explode(ancestors("path")).alias("uri")).distinct().withColumn("_present", F.lit(True))
     action = (
         F.when(F.col("_present") & F.col("_known"), "skip").when(F.col("_present"), "register").otherwise("materialize")
     )

@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 
 
 def containment_join(left: DataFrame, left_text: str, right: DataFrame, right_text: str) -> DataFrame:
-    """Left join on ``right_text`` being a substring of ``left_text``, by equality of substrings.
+    """Left join on ``right_text`` being a substring of ``left_text``.
 
-    Every left value is cut into the substrings whose length occurs on the right, so the
-    join is an equi-join; the distinct lengths are bounded by the longest right value.
+    Right values are keyed by their first q characters, q being the length of the shortest
+    one; left values are cut into their runs of q characters. The join of runs is an
+    equi-join, linear in the length of the left values, and is verified in place.
     """
     rights = right.filter(F.length(right_text) > 0)
-    lengths = rights.select(F.length(right_text).alias("_n")).distinct()
-    values = left.select(left_text).distinct().filter(F.length(left_text) > 0)
-    pieces = values.withColumn("_n", F.explode(F.sequence(F.lit(1), F.length(left_text)))).join(lengths, "_n", "left_semi")
-    starts = F.sequence(F.lit(1), F.length(left_text) - F.col("_n") + 1)
-    cut = pieces.select(left_text, "_n", F.explode(starts).alias("_at"))
-    substrings = cut.select(left_text, F.substr(F.col(left_text), F.col("_at"), F.col("_n")).alias(right_text)).distinct()
-    matched = substrings.join(rights, right_text)
-    return left.join(matched, left_text, "left")
+    q = rights.agg(F.min(F.length(right_text))).first()[0] or 1
+    keyed = rights.withColumn("_run", F.substring(right_text, 1, q))
+    values = left.select(left_text).distinct().filter(F.length(left_text) >= q)
+    starts = F.sequence(F.lit(1), F.length(left_text) - q + 1)
+    runs = values.select(left_text, F.explode(starts).alias("_at")).withColumn("_run", F.substr(F.col(left_text), F.col("_at"), F.lit(q)))
+    holds = F.substr(F.col(left_text), F.col("_at"), F.length(right_text)) == F.col(right_text)
+    found = runs.join(keyed.select(right_text, "_run").distinct(), "_run").filter(holds).select(left_text, right_text).distinct()
+    return left.join(found.join(rights, right_text), left_text, "left")
 
 
 def ancestors(path_col: str):

@@ -135,9 +135,9 @@ def reread(df: DataFrame) -> DataFrame:
     return out.withColumn("_reread_id", F.coalesce(stored, F.sha2(F.col("_reread_text"), 256)))
 
 
-def truncate_value(value: Column, data_type: t.DataType, limit: int) -> Column:
+def truncate_value(value: Column, data_type: t.DataType, limit: int | None) -> Column:
     if isinstance(data_type, t.StringType):
-        return F.substring(value, 1, limit)
+        return value if limit is None else F.substring(value, 1, limit)
     if isinstance(data_type, t.ArrayType):
         inner = data_type.elementType
         return F.transform(value, lambda x: truncate_value(x, inner, limit))
@@ -147,7 +147,7 @@ def truncate_value(value: Column, data_type: t.DataType, limit: int) -> Column:
     return value
 
 
-def _flat_fields(value: Column | None, struct: t.StructType, limit: int) -> dict[str, Column]:
+def _flat_fields(value: Column | None, struct: t.StructType, limit: int | None) -> dict[str, Column]:
     """Fields of a struct with nested structs spliced in; a later name replaces an earlier one."""
     out: dict[str, Column] = {}
     for f in struct.fields:
@@ -161,7 +161,8 @@ def _flat_fields(value: Column | None, struct: t.StructType, limit: int) -> dict
     return out
 
 
-def truncate_and_flatten(df: DataFrame, limit: int = C.MAX_STRING_CHARS) -> DataFrame:
+def truncate_and_flatten(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Nested objects spliced into columns; strings are cut only if a limit is given."""
     return df.select(*[c.alias(n) for n, c in _flat_fields(None, df.schema, limit).items()])
 
 

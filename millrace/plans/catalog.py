@@ -8,6 +8,7 @@ from millrace.functions import naming as N
 from millrace.operators import catalog as K
 from millrace.operators import relate as R
 from millrace.operators import search as S
+from millrace.operators.adhoc import run_sql
 from millrace.plans.catalog_frames import cte, frame
 from millrace.plans.sql_text import quote
 from millrace.session import read_table
@@ -270,18 +271,23 @@ _register(
 )
 _register(
     "w06_quality_sort",
-    lambda s, d: frame(s, d, "card").orderBy(F.coalesce("quality", F.lit(0)).desc(), F.col("created_at").desc(), "id").limit(100).select("id", "quality"),
-    _with("card") + "SELECT id, quality FROM card ORDER BY coalesce(quality, 0) DESC, created_at DESC, id LIMIT 100",
+    lambda s, d: frame(s, d, "card").orderBy(F.coalesce("quality", F.lit(0)).desc(), F.col("created_at").desc(), "id").select("id", "quality"),
+    _with("card") + "SELECT id, quality FROM card ORDER BY coalesce(quality, 0) DESC, created_at DESC, id",
 )
 _register(
     "w07_display_limit",
-    lambda s, d: read_table(s, d, "orders").filter("o_orderstatus = 'F'").orderBy("o_orderkey").limit(min(500, 800)).select("o_orderkey", "o_totalprice"),
+    lambda s, d: run_sql(
+        s, {"shown_orders": read_table(s, d, "orders")},
+        "SELECT o_orderkey, o_totalprice FROM shown_orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey", display_limit=500,
+    ),
     "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 500",
 )
 
 
 def _orphan_listing(spark, sf_dir):
-    return frame(spark, sf_dir, "distribution").filter(F.col("part") % 4 != 0).select(F.concat("uri", F.lit("/a.jsonl.gz")).alias("path"))
+    return frame(spark, sf_dir, "distribution").filter(F.col("part") % 4 != 0).select(
+        F.concat("uri", F.when(F.col("part") % 4 == 1, F.lit("/lang=en/subpath=a/b.jsonl.gz")).otherwise(F.lit("/a.jsonl.gz"))).alias("path")
+    )
 
 
 _register(
@@ -290,9 +296,9 @@ _register(
 )
 _register(
     "u04_ordered_distinct",
-    lambda s, d: read_table(s, d, "documents").select("doc_id", F.array_join(F.array_distinct(F.split(F.substring("text", 1, 60), " ")), "|").alias("codes")),
+    lambda s, d: read_table(s, d, "documents").select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), "|").alias("codes")),
     "SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1]), '|') AS codes "
-    "FROM (SELECT doc_id, string_split(substring(text, 1, 60), ' ') AS w FROM documents)",
+    "FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)",
 )
 
 

@@ -87,6 +87,39 @@ _register(
 )
 
 
+def _mixed_shapes(spark, sf_dir):
+    """Lines beside arrays laid out over several lines, each of which holds a bare number too."""
+    path = scratch(spark)
+    docs = records(spark, sf_dir).select("doc_id", "source")
+    line = F.to_json(F.struct("doc_id", "source"))
+    docs.filter("doc_id % 3 <> 1").select(line.alias("value")).write.text(f"{path}/lines")
+    laid_out = F.concat(F.lit("[\n"), F.array_join(F.collect_list(line), ",\n"), F.lit(",\n7\n]")).alias("value")
+    docs.filter("doc_id % 3 = 1").groupBy("source").agg(laid_out).write.partitionBy("source").text(f"{path}/arrays")
+    good, bad = read_json(spark, path, "*.txt")
+    kept = good.select("doc_id", "source", F.lit("good").alias("outcome"))
+    return kept.unionByName(bad.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("source"), F.col("value").alias("outcome")))
+
+
+_register(
+    "s03_mixed_shapes", _mixed_shapes,
+    "SELECT doc_id, source, 'good' AS outcome FROM documents UNION ALL "
+    "SELECT NULL, NULL, '7' FROM (SELECT DISTINCT source FROM documents WHERE doc_id % 3 = 1)",
+)
+
+
+def _mixed_formats(spark, sf_dir):
+    """One folder with JSON Lines, Parquet and delimited files, read without a pattern."""
+    path = scratch(spark)
+    docs = records(spark, sf_dir).select("doc_id", "source", "lang")
+    docs.filter("doc_id % 3 = 0").write.json(f"{path}/a")
+    docs.filter("doc_id % 3 = 1").write.parquet(f"{path}/b")
+    docs.filter("doc_id % 3 = 2").withColumn("doc_id", F.col("doc_id").cast("string")).write.option("header", "true").csv(f"{path}/c")
+    return scan(spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang")
+
+
+_register("s02_mixed_formats", _mixed_formats, "SELECT doc_id, source, lang FROM documents")
+
+
 def _processed(spark, sf_dir):
     """The processed layer written by language; what its files hold and how many languages they cover."""
     path = scratch(spark)
@@ -156,7 +189,7 @@ def _staged(spark, sf_dir):
 
 _register(
     "s08_staged_hub_dataset", _staged,
-    "SELECT doc_id, 'org/set/config=' || source AS _dataset_name, lang AS distribution FROM documents WHERE doc_id % 4 <> 0",
+    "SELECT doc_id, 'org/set/' || source AS _dataset_name, lang AS distribution FROM documents WHERE doc_id % 4 <> 0",
 )
 
 

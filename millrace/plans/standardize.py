@@ -145,7 +145,7 @@ _register(
 
 def _detected(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return docs.select("doc_id", "lang", detect(F.substring("text", 1, C.LANG_SAMPLE_CHARS)).alias("detected"))
+    return docs.select("doc_id", "lang", detect(F.col("text")).alias("detected"))
 
 
 def _detector_agreement(spark, sf_dir):
@@ -158,7 +158,7 @@ def _detector_agreement(spark, sf_dir):
 def _profile_sql():
     from millrace.functions.language import PROFILES
 
-    words = f"string_split_regex(lower(substring(text, 1, {C.LANG_SAMPLE_CHARS})), {quote('[^' + C.WORD_CHAR + ']+')})"
+    words = f"string_split_regex(lower(text), {quote('[^' + C.WORD_CHAR + ']+')})"
     counts = " UNION ALL ".join(
         f"SELECT doc_id, {quote(code)} AS code, len(list_filter(w, lambda x: x IN ({', '.join(map(quote, vocabulary))}))) AS score FROM b"
         for code, vocabulary in sorted(PROFILES.items())

@@ -34,14 +34,20 @@ def format_of(pattern: str) -> str:
     raise ValueError(f"no reader for {pattern!r}")
 
 
-def detect_glob(spark: SparkSession, path: str) -> str:
-    """Pattern of the first file, by path, that a reader exists for."""
-    files = list_files(spark, path).withColumn("ext", extension(F.col("path")))
-    known = F.rlike("ext", F.lit("|".join(part for part, _ in FORMAT_OF)))
-    first = files.filter(known).orderBy("path").select("ext").first()
-    if first is None:
+def detect_globs(spark: SparkSession, path: str) -> list[str]:
+    """One pattern per extension below ``path`` that a reader exists for, in order. Only the
+    distinct extensions reach the driver."""
+    files = list_files(spark, path).select(extension(F.col("path")).alias("ext")).distinct()
+    known = F.rlike("ext", F.lit("(?i)" + "|".join(part for part, _ in FORMAT_OF)))
+    found = sorted(f"*{r.ext}" for r in files.filter(known).collect())
+    if not found:
         raise ValueError(f"no readable file below {path}")
-    return f"*{first.ext}"
+    return found
+
+
+def detect_glob(spark: SparkSession, path: str) -> str:
+    """Pattern of the first extension that a reader exists for."""
+    return detect_globs(spark, path)[0]
 
 
 def scan(
@@ -49,8 +55,12 @@ def scan(
     partitions: int | None = None, path_col: str | None = None,
 ) -> DataFrame:
     """Records below ``path``. ``partitions`` spreads compressed files, which do not split;
-    ``path_col`` names a column for the file each record comes from."""
-    glob = glob or detect_glob(spark, path)
+    ``path_col`` names a column for the file each record comes from. Without a pattern the
+    files of every known format are read, and columns that one of them lacks are null."""
+    if glob is None:
+        parts = [scan(spark, path, g, schema, None, path_col) for g in detect_globs(spark, path)]
+        both = union_by_name(*parts)
+        return both.repartition(partitions) if partitions else both
     kind = format_of(glob)
     if kind == "json":
         df = read_json(spark, path, glob, schema, path_col=path_col)[0]
@@ -80,23 +90,44 @@ def read_json(
 ) -> tuple[DataFrame, DataFrame]:
     """Good records and the quarantine ``(file, value)`` of unreadable lines.
 
-    A line holds one object or an array of objects. Arrays laid out over several lines are
-    recognised by the first line of the first file; such a file is read as one value.
+    A line holds one object or an array of objects. Every file is looked at on its own: one that
+    begins with an array which its first line does not end is laid out over several lines and is
+    read as one value, all others line by line. Items of an array that are no objects go to the
+    quarantine one by one.
     """
+    located = F.col("_metadata.file_path").alias("file")
+    lines = _reader(spark, glob).text(path, wholetext=bool(multi_line)).select(located, "value").filter(F.trim("value") != "")
     if multi_line is None:
-        head = _reader(spark, glob).text(path).limit(1).first()
-        opening = head.value.strip() if head else ""
-        multi_line = opening.startswith("[") and not opening.endswith("]")
-    whole = str(multi_line).lower()
-    found = schema or _reader(spark, glob).option("multiLine", whole).json(path).schema
-    items = t.ArrayType(t.StructType([f for f in found.fields if f.name != CORRUPT]))
-    lines = _reader(spark, glob).text(path, wholetext=multi_line)
-    parsed = lines.select(
-        F.col("_metadata.file_path").alias("file"), "value", F.from_json("value", items, {"mode": "PERMISSIVE"}).alias("items")
-    ).filter(F.trim("value") != "")
-    bad = parsed.filter("items is null").select("file", "value")
+        laid_out = laid_out_files(spark, path, glob)
+        if not laid_out.isEmpty():
+            whole = _reader(spark, glob).text(path, wholetext=True).select(located, "value")
+            lines = lines.join(laid_out, "file", "left_anti").unionByName(whole.join(laid_out, "file", "left_semi"))
+    # Array items are taken as JSON text first, so that one bad item spoils no other.
+    text = F.ltrim(F.regexp_replace("value", r"\A\s+", ""))
+    listed = F.from_json(F.when(F.startswith(text, F.lit("[")), text), t.ArrayType(t.StringType()), {"mode": "PERMISSIVE"})
+    items = F.when(F.startswith(text, F.lit("[")), F.coalesce(listed, F.array("value"))).otherwise(F.array("value"))
+    items = lines.select("file", F.explode(items).alias("value"))
+    found = schema or spark.read.json(items.filter(F.startswith(F.ltrim("value"), F.lit("{"))).select("value").rdd.map(lambda r: r.value)).schema
+    record = t.StructType([*(f for f in found.fields if f.name != CORRUPT), t.StructField(CORRUPT, t.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = items.withColumn("r", F.from_json("value", record, options))
+    sound = F.startswith(F.regexp_replace("value", r"\A\s+", ""), F.lit("{")) & F.col("r").isNotNull() & F.col(f"r.{CORRUPT}").isNull()
+    sound = F.coalesce(sound, F.lit(False))
+    bad = parsed.filter(~sound).select("file", "value")
     kept = [F.col("file").alias(path_col)] if path_col else []
-    return parsed.select("file", F.explode("items").alias("r")).select("r.*", *kept), bad
+    return parsed.filter(sound).select("file", "r.*").drop(CORRUPT).select(*[f"`{f.name}`" for f in record.fields[:-1]], *kept), bad
+
+
+def laid_out_files(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+    """Files that begin with an array which does not end on the first line with text."""
+    lines = _reader(spark, glob).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line")
+    )
+    # Within a block rows come in the order of the file.
+    numbered = lines.withColumn("nth", F.monotonically_increasing_id()).filter("line <> ''")
+    edge = F.struct("block", "nth", F.substring("line", 1, 1).alias("opens"), F.substring("line", -1, 1).alias("ends"))
+    first = numbered.groupBy("file").agg(F.min(edge).alias("first"))
+    return first.filter("first.opens = '[' AND first.ends <> ']' OR first.opens = '[' AND first.ends = '['").select("file")
 
 
 def read_delimited(
@@ -181,17 +212,20 @@ def read_staged(
     distribution_key: str | None = None, limit: int | None = None, seed: int = 42,
 ) -> DataFrame:
     """A hub dataset staged as ``root/repo/config/split/files``: all configurations of one
-    split, the configuration in ``_dataset_name`` when there are several, shuffled by seed."""
+    split, the configuration in ``_dataset_name`` when there are several. A limit takes the
+    records whose seeded hash is smallest; without one the order is left alone."""
     path = f"{root.rstrip('/')}/{repo}/*/{split}"
     located = scan(spark, path, glob, path_col="_path")
-    config = F.element_at(F.split("_path", "/"), -3)
+    config = F.regexp_replace(F.element_at(F.split("_path", "/"), -3), "^[^=]*=", "")
     several = list_files(spark, f"{root.rstrip('/')}/{repo}").select(F.element_at(F.split("path", "/"), -3)).distinct().count() > 1
     name = F.concat_ws("/", F.lit(repo), config) if several else F.lit(repo)
     df = located.withColumns({"_dataset_name": name, "_split": F.lit(split)}).drop("_path")
     if distribution_key and distribution_key in df.columns:
         df = df.withColumn("_distribution", F.col(distribution_key).cast("string"))
-    shuffled = df.orderBy(F.rand(seed))
-    return shuffled.limit(limit) if limit else shuffled
+    if limit is None:
+        return df
+    key = F.xxhash64(F.lit(seed), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    return df.orderBy(key).limit(limit)
 
 
 def window_of_rows(df: DataFrame, order: list, skip: int = 0, limit: int | None = None) -> DataFrame:

@@ -173,3 +173,22 @@ def test_broadcast_hint_depends_on_size(spark):
     large = broadcast_if_small(spark.range(10**9), limit=1000)
     plan = lambda df: df._jdf.queryExecution().logical().toString()
     assert "hint" in plan(small).lower() and "hint" not in plan(large).lower()
+
+
+def test_files_in_folders_below_a_distribution_count(spark):
+    from millrace.operators import catalog as K
+
+    distributions = spark.createDataFrame([(i, f"/d/{i}", True) for i in range(4)], "id int, uri string, materialized boolean")
+    listing = spark.createDataFrame([("/d/0/a.jsonl",), ("/d/1/lang=en/subpath=x/b.jsonl",), ("/d/22/c.jsonl",)], "path string")
+    assert sorted(r.id for r in K.orphans(distributions, listing).collect()) == [2, 3]
+
+
+def test_stray_closing_tags_are_left_in_linear_time(spark):
+    import time
+
+    from millrace.functions.transforms import remove_tag_content
+
+    rows = spark.createDataFrame([("a" + "</t> x" * 8000,), ("a <t>1</t><t>2</t> b",), (None,)], "t string")
+    began = time.time()
+    got = [r[0] for r in rows.select(remove_tag_content("t", F.col("t"))).collect()]
+    assert len(got[0]) == 48001 and got[1:] == ["a b", None] and time.time() - began < 10

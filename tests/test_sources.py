@@ -34,6 +34,17 @@ def test_json_lines_with_bad_lines(spark, tmp_path):
     assert scan(spark, str(tmp_path), partitions=3).rdd.getNumPartitions() == 3
 
 
+def test_every_json_file_has_its_own_shape(spark, tmp_path):
+    write(tmp_path / "a.jsonl", '{"a": 1}\n\n{"a": 2, "b": {"c": [1, {"d": null}]}}\nbroken\n[{"a": 3}, 7]\n')
+    write(tmp_path / "b.json", "\n" + json.dumps([{"a": 10}, 8, {"a": 11}], indent=2) + "\n" + " " * 500)
+    write(tmp_path / "c.json", '[{"a": 20}]')
+    good, bad = read_json(spark, str(tmp_path), "*.json*")
+    assert sorted(r.a for r in good.collect()) == [1, 2, 3, 10, 11, 20]
+    assert sorted(r.value for r in bad.collect()) == ["7", "8", "broken"]
+    spark.createDataFrame([(30,)], "a long").write.parquet(str(tmp_path / "p"))
+    assert sorted(r.a for r in scan(spark, str(tmp_path)).collect()) == [1, 2, 3, 10, 11, 20, 30]
+
+
 def test_json_array_over_lines(spark, tmp_path):
     write(tmp_path / "a.json", json.dumps([{"a": 1}, {"a": 2}], indent=1))
     assert sorted(r.a for r in scan(spark, str(tmp_path)).collect()) == [1, 2]
