@@ -104,6 +104,8 @@ def traverse(edges: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFra
             F.array_append("path", _marker("node_type", "node_id")).alias("path"),
         ).checkpoint()
         levels.append(frontier.drop("path"))
+        if frontier.isEmpty():
+            break
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -121,6 +123,8 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
         here = frontier.select("start_type", "start_id", F.col("node_type").alias("from_type"), F.col("node_id").alias("from_id"))
         found = here.join(steps, ["from_type", "from_id"]).select(*node).distinct()
         frontier = found.join(seen, node, "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
@@ -129,8 +133,11 @@ def min_depth(paths: DataFrame) -> DataFrame:
     return paths.groupBy("node_type", "node_id").agg(F.min("depth").alias("depth"))
 
 
-def undirected(paths: DataFrame) -> DataFrame:
-    """Walked edges without loops, each pair and edge type once, the shallowest kept."""
+def undirected(edges: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
+    """Edges within reach without loops, each pair and edge type once, seen from its nearer end;
+    ``depth`` is the number of edges from the start to the farther one."""
+    near = reach(edges, starts, max_depth - 1).groupBy(F.col("node_type").alias("from_type"), F.col("node_id").alias("from_id"))
+    paths = both_ways(edges).join(near.agg((F.min("depth") + 1).alias("depth")), ["from_type", "from_id"])
     pair = F.array_join(F.array_sort(F.array("from_id", "node_id")), "|")
     walked = paths.filter("from_id <> node_id").withColumn("pair_key", pair)
     return first_per_key(walked, ["pair_key", "via_edge"], ["depth", "from_id", "node_id"])

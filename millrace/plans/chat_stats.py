@@ -43,9 +43,10 @@ def page_messages(spark, sf_dir):
     return pages.select(F.col("page_id").alias("id"), F.lit("en").alias("_lang"), F.array(*full).alias("messages"))
 
 
-def document_messages(spark, sf_dir):
+def document_messages(spark, sf_dir, *more):
     """Documents whose first line is a system prompt, whose text is asked and answered,
-    with the second line as think text and the source as context and call payload."""
+    with the second line as think text and the source as context and call payload; ``more``
+    columns of the documents go along."""
     docs = read_table(spark, sf_dir, "documents")
     first = F.split("text", "\n")[0]
     even = F.col("doc_id") % 2 == 0
@@ -68,6 +69,7 @@ def document_messages(spark, sf_dir):
             message("User", F.col("text"), context=F.when(even, F.col("source"))),
             message("Assistant", F.col("text"), think=F.when(even, F.col("text")), payload=F.when(~even, F.col("source"))),
         ).alias("messages"),
+        *more,
     )
 
 

@@ -121,7 +121,8 @@ _register(
     "JOIN prompt r ON r.id = node_id LEFT JOIN prompt f ON f.id = from_id WHERE depth > 0",
 )
 _register(
-    "g05_min_depth", lambda s, d: L.min_depth(card_paths(s, d)),
+    "g05_min_depth",
+    lambda s, d: L.min_depth(L.reach(edges(s, d), _start(s, "Card", START_CARD), 4).filter("depth > 0")),
     _WALK + "SELECT node_type, node_id, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY 1, 2",
 )
 
@@ -141,7 +142,8 @@ _register(
     "SELECT s AS start_id, n AS node_id, min(depth) AS depth FROM w WHERE s <> n GROUP BY 1, 2",
 )
 _register(
-    "g06_undirected_edges", lambda s, d: L.undirected(card_paths(s, d)).select("pair_key", "via_edge", "from_id", "node_id", "depth"),
+    "g06_undirected_edges",
+    lambda s, d: L.undirected(edges(s, d), _start(s, "Card", START_CARD), 4).select("pair_key", "via_edge", "from_id", "node_id", "depth"),
     _WALK + ", k AS (SELECT *, least(from_id, node_id) || '|' || greatest(from_id, node_id) AS pair_key FROM walk WHERE depth > 0 AND from_id <> node_id) "
     "SELECT pair_key, via_edge, from_id, node_id, depth FROM k QUALIFY row_number() OVER (PARTITION BY pair_key, via_edge ORDER BY depth, from_id, node_id) = 1",
 )

@@ -40,10 +40,9 @@ def silo(spark, sf_dir):
 
 
 def chat_silo(spark, sf_dir):
-    """One conversation-statistics row per content hash."""
-    keyed = document_messages(spark, sf_dir).join(
-        data(spark, sf_dir).select(F.col("doc_id").alias("id"), "_id_hash"), "id"
-    )
+    """One conversation-statistics row per content hash, which is taken from the row itself: no
+    text is joined or shuffled."""
+    keyed = document_messages(spark, sf_dir, F.coalesce(F.sha2("text", 256), F.lit("")).alias("_id_hash"))
     return one_row_per_id(chat_stats_of_messages(keyed, "messages", "_id_hash", "_lang").select("id", "_user_char_count", "_has_context"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as t
 
 from millrace.constants import SUBPATH_LANG_CODES, UNKNOWN_LANG
 from millrace.operators.sampling import hash_sample
+from millrace.session import ensure_checkpoint_dir
 
 QUERY_CHUNK_BYTES = 120 * 1024 * 1024
 ROLLING_FILE_BYTES = 124 * 1024 * 1024
@@ -162,7 +163,10 @@ def chunk_count(size: int, chunk: int = QUERY_CHUNK_BYTES) -> int:
 def write_query_result(df: DataFrame, path: str, chunk: int = QUERY_CHUNK_BYTES) -> int:
     """Save a query result in chunks whose name each record carries; returns the chunks
     written, 0 for an empty result, which is registered without files. An existing
-    destination is an error."""
+    destination is an error. The query runs once; what it returns is kept in the shared
+    checkpoint folder while it is measured and written."""
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()
     rows, size = measure(df)
     if rows == 0:
         return 0
@@ -175,7 +179,10 @@ def write_query_result(df: DataFrame, path: str, chunk: int = QUERY_CHUNK_BYTES)
 
 
 def write_rolling(df: DataFrame, path: str, extension: str = ".parquet", file_bytes: int = ROLLING_FILE_BYTES) -> None:
-    """Files of about ``file_bytes``, by a row limit from the average row."""
+    """Files of about ``file_bytes``, by a row limit from the average row. The frame is computed
+    once and kept in the shared checkpoint folder while it is measured and written."""
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()
     rows, size = measure(df)
     limit = max(1, int(file_bytes * rows / size)) if size else 0
     write_records(df, path, extension, max_rows=limit)
