@@ -17,29 +17,35 @@ def questions(spark):
     return spark.createDataFrame([("1", "Which?", ["x", "y", "z"], "B", "en", HASH), ("2", "Bad", ["x"], "", "english", "no")], schema)
 
 
+# An invented record: a riddle with its choices becomes a talk of two turns.
+RIDDLE = "nr string, riddle string, choices array<string>, solution string, tongue string, level int"
 SPEC = {
-    "template": ["simple_chat"], "_lang": ["_lang"], "_id_hash": ["_id_hash"], "system": [None],
-    "messages[0].role": ["USER"], "messages[0].content": ["ARC_simple_chat", "question", "text"],
-    "messages[1].role": ["ASSISTANT"], "messages[1].content": ["answerKey"],
+    "kind": ["quiz"], "tongue": ["tongue"], "level": ["level"], "note": [None],
+    "talk[0].by": ["asker"], "talk[0].says": ["ARC_simple_chat", "riddle", "choices"],
+    "talk[1].by": ["solver"], "talk[1].says": ["solution"],
 }
 TARGET = {
-    "type": "object", "required": ["messages", "_lang", "_id_hash"], "additionalProperties": False,
+    "type": "object", "required": ["talk", "tongue"], "additionalProperties": False,
     "properties": {
-        "template": {"type": "string"}, "system": {"type": ["string", "null"]}, "_lang": {"type": "string", "maxLength": 2},
-        "_id_hash": {"type": "string", "pattern": "^[a-fA-F0-9]{64}$"},
-        "messages": {"type": "array", "minItems": 1, "items": {"type": "object", "required": ["role", "content"], "properties": {
-            "role": {"enum": ["USER", "ASSISTANT"]}, "content": {"type": "string", "minLength": 1}}}},
+        "kind": {"type": "string"}, "note": {"type": ["string", "null"]}, "level": {"type": "integer"},
+        "tongue": {"type": "string", "maxLength": 3, "pattern": "^[a-z]+$"},
+        "talk": {"type": "array", "minItems": 2, "items": {"type": "object", "required": ["by", "says"], "properties": {
+            "by": {"enum": ["asker", "solver"]}, "says": {"type": "string", "minLength": 1}}}},
     },
 }
 
 
-def test_worked_example(questions):
-    good, bad = run_mapping(questions, Mapping(SPEC, questions.schema, target=TARGET), ["id"])
+@pytest.fixture(scope="module")
+def riddles(spark):
+    return spark.createDataFrame([("7", "What has keys?", ["a piano", "a cloud"], "A", "en", 2), ("8", "Why?", ["so"], "", "Dutch", 1)], RIDDLE)
+
+
+def test_worked_example(riddles):
+    good, bad = run_mapping(riddles, Mapping(SPEC, riddles.schema, target=TARGET), ["nr"])
     row = good.first()
-    assert row.messages[0].content == "Which?\nA: x\nB: y\nC: z" and row.messages[1].content == "B" and good.count() == 1
-    assert set(bad.first().errors) == {
-        "_lang: is too long", "_id_hash: does not match the pattern", "messages[].content: is too short",
-    }
+    assert good.count() == 1 and (row.kind, row.tongue, row.level, row.note) == ("quiz", "en", 2, None)
+    assert [(m.by, m.says) for m in row.talk] == [("asker", "What has keys?\nA: a piano\nB: a cloud"), ("solver", "A")]
+    assert set(bad.first().errors) == {"tongue: is too long", "tongue: does not match the pattern", "talk[].says: is too short"}
 
 
 def test_identity_mapping_is_identity(questions):
@@ -124,11 +130,11 @@ def test_presence_in_nested_lists(spark):
     assert rows == {"s": (1, 1), "s.l": (1, 1), "s.l[].x": (1, 2), "s.l[].m": (1, 2), "s.l[].m[].y": (1, 2)}
 
 
-def test_mapped_and_quarantined_rows_in_one_job(spark, questions, tmp_path):
-    applied = Mapping(SPEC, questions.schema, target=TARGET).apply(questions, ["id"])
+def test_mapped_and_quarantined_rows_in_one_job(spark, riddles, tmp_path):
+    applied = Mapping(SPEC, riddles.schema, target=TARGET).apply(riddles, ["nr"])
     assert write_with_quarantine(applied, str(tmp_path / "m")) == {"read": 2, "mapped": 1, "skipped": 1}
     back = spark.read.json(str(tmp_path / "m"))
-    assert {r.outcome: r.id for r in back.collect()} == {"mapped": "1", "quarantined": "2"}
+    assert {r.outcome: r.nr for r in back.collect()} == {"mapped": "7", "quarantined": "8"}
 
 
 def test_validation_of_types_and_alternatives(spark):
