@@ -11,8 +11,11 @@ needs to fill all coordinates, so a text of n words costs about n + k log k step
 
 Links. Signatures are cut into bands; equal bands make a bucket. A bucket's members are compared
 with its hubs only, the members that share most bands with others, never with each other. Pairs
-that reach the threshold by exact comparison of both texts are links. While links are found, the
-next hubs of buckets that still hold several components are tried.
+whose signatures come near the threshold are compared exactly by their texts; those that reach it
+are links. A second pass tries
+sixteen more hubs in the buckets that still hold several components, against members of other
+components, so small buckets are compared completely. Further passes go on in the buckets in which
+the last one found a link. A large group of copies costs one comparison per member and hub.
 
 Exact copies are folded before the bands are compared, by a hash of the text.
 """
@@ -35,13 +38,14 @@ from millrace.operators.dedup import connected_components
 @dataclass(frozen=True)
 class Settings:
     """``bands * rows`` coordinates; a pair at the threshold misses all bands with probability
-    ``(1 - threshold^rows)^bands``, 3e-6 by default. ``hubs`` are tried per bucket and pass."""
+    ``(1 - threshold^rows)^bands``, 3e-6 by default. One hub is tried per bucket in the first pass
+    and ``hubs`` more in each further one."""
 
     run: int = 5
     threshold: float = 0.8
     bands: int = 32
     rows: int = 5
-    hubs: int = 3
+    hubs: int = 16
 
     @property
     def coordinates(self) -> int:
@@ -108,26 +112,33 @@ def signatures(owner: np.ndarray, cell: np.ndarray, texts: int, k: int) -> tuple
     return out, sizes > 0
 
 
-def band_keys(text: Column, settings: Settings) -> Column:
-    """``array<long>`` of band hashes; empty for null texts and texts without words."""
+SIGNED = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
-    @F.arrow_udf(T.ArrayType(T.LongType()))
+
+def signed(text: Column, settings: Settings) -> Column:
+    """``bands``, the band hashes, and ``sketch``, one byte a coordinate; both empty for null texts
+    and texts without words."""
+
+    @F.arrow_udf(SIGNED)
     def keys(column: pa.Array) -> pa.Array:
-        lengths, values = [], []
+        lengths, values, sketches = [], [], []
         for _, data, bounds in W.slices(column):
             texts = len(bounds) - 1
             owner, cell = cells(*shingles(W.find_words(data, bounds), settings.run))
-            signed, some = signatures(owner, cell, texts, settings.coordinates)
-            grouped = signed.reshape(texts, settings.bands, settings.rows)
+            signature, some = signatures(owner, cell, texts, settings.coordinates)
+            grouped = signature.reshape(texts, settings.bands, settings.rows)
             key = np.broadcast_to(W.mix(np.arange(1, settings.bands + 1, dtype=np.uint64)), (texts, settings.bands)).copy()
             for r in range(settings.rows):
                 key = W.mix(key * np.uint64(0xAF251AF3B0F025B5) + grouped[:, :, r])
             lengths.append(np.where(some, settings.bands, 0))
             values.append(key[some].reshape(-1))
+            low = (signature >> np.uint64(56)).astype(np.uint8)
+            sketches += [low[i].tobytes() if some[i] else b"" for i in range(texts)]
         size = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
         offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
         flat = np.concatenate(values) if values else np.empty(0, np.uint64)
-        return pa.ListArray.from_arrays(pa.array(offsets), W.as_long(flat))
+        bands = pa.ListArray.from_arrays(pa.array(offsets), W.as_long(flat))
+        return pa.StructArray.from_arrays([bands, pa.array(sketches, pa.binary())], names=SIGNED.names)
 
     return keys.asNondeterministic()(text)
 
@@ -153,6 +164,23 @@ def similarity(a: Column, b: Column, run: int) -> Column:
     return compared.asNondeterministic()(a, b)
 
 
+def promising(pairs: DataFrame, sketches: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs whose sketches agree in no fewer coordinates than four standard deviations below
+    the threshold, so that few texts are fetched for pairs that are far from it."""
+    t, k = settings.threshold, settings.coordinates
+    least = k * (t - 4 * (t * (1 - t) / k) ** 0.5)
+
+    @F.arrow_udf(T.BooleanType())
+    def near(left: pa.Array, right: pa.Array) -> pa.Array:
+        a, b = (W.text_buffers(side) for side in (left, right))
+        rows = [x[o[0] : o[-1]].reshape(-1, k) for x, o in (a, b)]
+        return pa.array((rows[0] == rows[1]).sum(axis=1) >= least)
+
+    sides = [sketches.select(F.col("node").alias(n), F.col("sketch").alias(f"{n}_sketch")) for n in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    return both.filter(near.asNondeterministic()(F.col("a_sketch"), F.col("b_sketch"))).select("a", "b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """The pairs ``(a, b)`` whose texts reach the threshold."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
@@ -170,30 +198,46 @@ def labelled(df: DataFrame, components: DataFrame | None, node: str, out: str) -
 
 
 def link_components(nodes: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame | None:
-    """``(node, root)`` of all nodes with links, None if there are none. ``nodes`` has ``node`` and
-    ``bands``; ``texts`` has ``node`` and ``text``, a node in as many rows as it has copies."""
+    """``(node, root)`` of all nodes with links, None if there are none. ``nodes`` has ``node``,
+    ``bands`` and ``sketch``; ``texts`` has ``node`` and ``text``, a node in as many rows as it has copies."""
     members = nodes.select("node", F.explode("bands").alias("band"))
     sizes = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(members.join(sizes, "band"), "buckets")
     degrees = members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"))
     members = stored(members.select("band", "node").join(degrees, "node"), "members")
     own = stored(texts.join(degrees.select("node"), "node", "left_semi").dropDuplicates(["node"]), "candidate-texts")
+    sketches = stored(nodes.select("node", "sketch").join(degrees.select("node"), "node"), "sketches")
     order = Window.partitionBy("band").orderBy(F.desc("degree"), "hub")
-    links, components, tried = None, None, 0
+    components, tried, upto = None, 0, 1
     while True:
-        ranked = members.select("band", "degree", F.col("node").alias("hub"))
-        ranked = ranked.withColumn("place", F.row_number().over(order))
-        hubs = ranked.filter(F.col("place") <= tried + settings.hubs).filter(F.col("place") > tried).select("band", "hub")
-        hubs = labelled(hubs, components, "hub", "hub_root")
-        pairs = labelled(members.select("band", "node"), components, "node", "own_root").join(hubs, "band").filter("own_root <> hub_root")
+        rooted = labelled(members, components, "node", "root")
+        ranked = rooted.select("band", "degree", F.col("node").alias("hub"), F.col("root").alias("hub_root")).withColumn("place", F.row_number().over(order))
+        hubs = ranked.filter(F.col("place") <= upto).filter(F.col("place") > tried).select("band", "hub", "hub_root")
+        pairs = rooted.select("band", "node", "root").join(hubs, "band").filter("root <> hub_root")
         # Either member may be the hub of the other in another bucket.
         pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        found = stored(verified(pairs, own, settings), "links")
+        found = stored(verified(promising(pairs, sketches, settings), own, settings), "links")
         if found.isEmpty():
             return components
-        links = found if links is None else links.unionByName(found)
-        components = stored(connected_components(links), "components")
-        tried += settings.hubs
+        components = merged(components, found)
+        if tried:
+            touched = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            bands = members.join(touched, "node", "left_semi").select("band").distinct()
+            members = stored(members.join(bands, "band", "left_semi"), "members-left")
+        tried, upto = upto, upto + settings.hubs
+
+
+def merged(components: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links; only the roots that the links join are searched again. Roots
+    are in the second column only."""
+    if components is None:
+        return stored(connected_components(links), "components")
+    ends = labelled(labelled(links, components, "a", "a_root"), components, "b", "b_root")
+    ends = ends.filter("a_root <> b_root").select(F.greatest("a_root", "b_root").alias("a"), F.least("a_root", "b_root").alias("b")).distinct()
+    joined = stored(connected_components(ends), "joined-roots")
+    moved = joined.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    old = components.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    return stored(old.unionByName(joined), "components")
 
 
 def with_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
@@ -207,8 +251,9 @@ def with_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """
     slim = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     slim = slim.withColumn("node", F.unhex(F.md5("text")))
-    signed = slim.select("id", "node", band_keys(F.col("text"), settings).alias("bands")).filter(F.size("bands") > 0)
-    nodes = stored(signed.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "signatures")
+    worded = slim.select("id", "node", signed(F.col("text"), settings).alias("signed")).filter(F.size("signed.bands") > 0)
+    nodes = worded.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("signed").alias("signed"))
+    nodes = stored(nodes.select("node", "id", "copies", "signed.*"), "signatures")
     components = link_components(nodes, slim.select("node", "text"), settings)
     roots = labelled(nodes.select("node", "id", "copies"), components, "node", "root")
     # Null ids come last.
