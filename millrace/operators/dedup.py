@@ -89,16 +89,6 @@ def jaccard_estimate(a: Column, b: Column) -> Column:
     return F.aggregate(equal, F.lit(0), lambda acc, x: acc + x) / F.size(a)
 
 
-def shingles(text: Column, n: int = 3) -> Column:
-    """Distinct runs of ``n`` tokens; a shorter text is one shingle."""
-
-    def runs(words: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-
-    return F.array_distinct(T.let(T.tokens(F.lower(text)), runs))
-
-
 def band_keys(signature: Column, bands: int = 16) -> Column:
     rows = NUM_HASHES // bands
     return F.array(*[F.xxhash64(F.lit(i), F.slice(signature, i * rows + 1, rows)) for i in range(bands)])

@@ -144,9 +144,3 @@ def language_counts(records: DataFrame, file_col: str = "_filename", lang_col: s
         F.count_distinct(F.when(good, F.col(file_col))).alias("files"),
         F.count(F.when(~good, 1)).alias("errors"),
     )
-
-
-def describe(df: DataFrame) -> DataFrame:
-    """Field names and types, one row per field."""
-    spark = df.sparkSession
-    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields], "column string, type string")

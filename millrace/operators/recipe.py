@@ -151,9 +151,14 @@ def replace_links(links: DataFrame, edited: DataFrame, new_links: DataFrame) ->
 
 
 def derive_recipes(recipes: DataFrame, convention: str = "derived") -> DataFrame:
+    """New recipes that derive from given ones: marked name and description, scope and tasks kept,
+    the convention added to the tags unless it is among them."""
+    tags, tasks = (F.coalesce(c, F.array().cast("array<string>")) for c in ("tags", "tasks"))
+    label = F.concat(F.lit(f"[{convention.upper()}] "), F.coalesce("description", F.lit("None")))
     return recipes.select(
-        F.concat(F.lit(f"{convention}__"), "name").alias("name"), "description", "scope",
-        F.array_append("tags", F.lit(convention)).alias("tags"), F.col("id").alias("derived_from"),
+        F.concat(F.lit(f"{convention}__"), "name").alias("name"), label.alias("description"), "scope", tasks.alias("tasks"),
+        F.when(F.array_contains(tags, convention), tags).otherwise(F.array_append(tags, F.lit(convention))).alias("tags"),
+        F.col("id").alias("derived_from"),
     )
 
 

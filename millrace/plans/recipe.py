@@ -181,9 +181,21 @@ _register(
     f"WITH {cte('distribution')}, {STRATEGY} SELECT id, distribution_id, CAST(replication_factor + CASE WHEN part % 5 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS replication_factor, "
     "CASE WHEN part % 5 = 0 THEN 'think_chat' ELSE chat_type END AS chat_type FROM strategy WHERE part % 7 <> 0",
 )
+def _derived(spark, sf_dir):
+    """Half of the recipes carry the tag already, as after an earlier derivation; one scope has no tasks."""
+    sft = F.col("scope") == "sft"
+    recipes = frame(spark, sf_dir, "recipe").withColumns({
+        "tags": F.when(sft, F.array_append("tags", F.lit("derived"))).otherwise(F.col("tags")),
+        "tasks": F.when(sft, F.array(F.lit("qa"), F.lit("chat"))),
+    })
+    out = R.derive_recipes(recipes)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("tags", "tasks")})
+
+
 _register(
-    "r08_derive_recipe", lambda s, d: R.derive_recipes(frame(s, d, "recipe")).withColumn("tags", F.array_join("tags", ",")),
-    f"WITH {cte('recipe')} SELECT 'derived__' || name AS name, description, scope, array_to_string(tags, ',') || ',derived' AS tags, id AS derived_from FROM recipe",
+    "r08_derive_recipe", _derived,
+    f"WITH {cte('recipe')} SELECT 'derived__' || name AS name, '[DERIVED] ' || description AS description, scope, "
+    "CASE WHEN scope = 'sft' THEN 'qa,chat' ELSE '' END AS tasks, array_to_string(tags, ',') || ',derived' AS tags, id AS derived_from FROM recipe",
 )
 
 

@@ -235,13 +235,6 @@ _register(
 )
 
 
-def distribution_totals(spark, sf_dir):
-    """Totals per source and language."""
-    docs = read_table(spark, sf_dir, "documents")
-    stats = low_level_stats(docs, "text", "doc_id", "lang").select(F.col("id").alias("doc_id"), "_token_count", "_word_count")
-    return P.totals(docs.select("doc_id", "source", "lang").join(stats, "doc_id"), ["source", "lang"])
-
-
 def _inline_totals(spark, sf_dir, by):
     """Totals without a join: group keys ride along inside the id."""
     docs = read_table(spark, sf_dir, "documents").withColumn("key", F.struct(*by))
