@@ -13,9 +13,11 @@ Links. Signatures are cut into bands; equal bands make a bucket. A bucket's memb
 with its hubs only, the members that share most bands with others, never with each other. Pairs
 whose signatures come near the threshold are compared exactly by their texts; those that reach it
 are links. A second pass tries
-sixteen more hubs in the buckets that still hold several components, against members of other
-components, so small buckets are compared completely. Further passes go on in the buckets in which
-the last one found a link. A large group of copies costs one comparison per member and hub.
+sixteen more hubs against members of other components, so small buckets are compared completely and
+a large group of copies costs one comparison per member and hub. In buckets that still hold several
+components the other members are then compared in blocks, each pair of different components in the
+first bucket it shares, so no pair that shares a band is left out. That step grows with the square
+of the members of such a bucket; it moves members once per block, not once per partner.
 
 Exact copies are folded before the bands are compared, by a hash of the text.
 """
@@ -39,13 +41,16 @@ from millrace.operators.dedup import connected_components
 class Settings:
     """``bands * rows`` coordinates; a pair at the threshold misses all bands with probability
     ``(1 - threshold^rows)^bands``, 3e-6 by default. One hub is tried per bucket in the first pass
-    and ``hubs`` more in each further one."""
+    and ``hubs`` more in the second; the rest goes in blocks of about ``block`` members and
+    ``block_bytes`` of text."""
 
     run: int = 5
     threshold: float = 0.8
     bands: int = 32
     rows: int = 5
     hubs: int = 16
+    block: int = 1024
+    block_bytes: int = 1 << 24
 
     @property
     def coordinates(self) -> int:
@@ -164,11 +169,16 @@ def similarity(a: Column, b: Column, run: int) -> Column:
     return compared.asNondeterministic()(a, b)
 
 
-def promising(pairs: DataFrame, sketches: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs whose sketches agree in no fewer coordinates than four standard deviations below
-    the threshold, so that few texts are fetched for pairs that are far from it."""
+def least_agreement(settings: Settings) -> float:
+    """Coordinates that pairs at the threshold share, less four standard deviations."""
     t, k = settings.threshold, settings.coordinates
-    least = k * (t - 4 * (t * (1 - t) / k) ** 0.5)
+    return k * (t - 4 * (t * (1 - t) / k) ** 0.5)
+
+
+def promising(pairs: DataFrame, sketches: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs whose sketches agree in ``least_agreement`` coordinates or more, so that few texts
+    are fetched for pairs that are far from the threshold."""
+    k, least = settings.coordinates, least_agreement(settings)
 
     @F.arrow_udf(T.BooleanType())
     def near(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -208,8 +218,8 @@ def link_components(nodes: DataFrame, texts: DataFrame, settings: Settings) -> D
     own = stored(texts.join(degrees.select("node"), "node", "left_semi").dropDuplicates(["node"]), "candidate-texts")
     sketches = stored(nodes.select("node", "sketch").join(degrees.select("node"), "node"), "sketches")
     order = Window.partitionBy("band").orderBy(F.desc("degree"), "hub")
-    components, tried, upto = None, 0, 1
-    while True:
+    components = None
+    for tried, upto in ((0, 1), (1, 1 + settings.hubs)):
         rooted = labelled(members, components, "node", "root")
         ranked = rooted.select("band", "degree", F.col("node").alias("hub"), F.col("root").alias("hub_root")).withColumn("place", F.row_number().over(order))
         hubs = ranked.filter(F.col("place") <= upto).filter(F.col("place") > tried).select("band", "hub", "hub_root")
@@ -217,14 +227,76 @@ def link_components(nodes: DataFrame, texts: DataFrame, settings: Settings) -> D
         # Either member may be the hub of the other in another bucket.
         pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         found = stored(verified(promising(pairs, sketches, settings), own, settings), "links")
-        if found.isEmpty():
-            return components
-        components = merged(components, found)
-        if tried:
-            touched = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            bands = members.join(touched, "node", "left_semi").select("band").distinct()
-            members = stored(members.join(bands, "band", "left_semi"), "members-left")
-        tried, upto = upto, upto + settings.hubs
+        if not found.isEmpty():
+            components = merged(components, found)
+    rooted = labelled(members, components, "node", "root")
+    ranked = rooted.select("band", "degree", F.col("node").alias("hub")).withColumn("place", F.row_number().over(order))
+    hubs = ranked.filter(F.col("place") <= 1 + settings.hubs).select("band", F.col("hub").alias("node"))
+    found = stored(links_in_blocks(rooted.join(hubs, ["band", "node"], "left_anti"), nodes, own, settings), "links-in-blocks")
+    return components if found.isEmpty() else merged(components, found)
+
+
+LINKS = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+
+
+def links_in_blocks(rooted: DataFrame, nodes: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Links ``(a, b)`` between members of different roots of all buckets of ``rooted`` (``band``,
+    ``node``, ``root``); of the links of two blocks as many as join their components."""
+    members = rooted.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+    several = F.ceil(F.greatest(F.count("*") / settings.block, F.sum("bytes") / settings.block_bytes)).cast("int")
+    blocks = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), several.alias("blocks")).filter("low <> high")
+    dealt = members.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "root")
+    full = dealt.join(nodes.select("node", "bands", "sketch"), "node").join(texts.select("node", "text"), "node")
+
+    def compared(table: pa.Table) -> pa.Table:
+        pairs = block_links(table, settings)
+        return pa.table({n: pa.array([p[i] for p in pairs], pa.binary()) for i, n in enumerate(LINKS.names)})
+
+    found = full.groupBy("band", "x", "y").applyInArrow(compared, LINKS)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def block_links(table: pa.Table, settings: Settings) -> list[tuple[bytes, bytes]]:
+    """Links that join the components of one block (``x`` = ``y``) or of two, by all pairs."""
+    node, k, least = table["node"].to_pylist(), settings.coordinates, least_agreement(settings)
+    n = len(node)
+    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(n, k)
+    bands = np.array(table["bands"].to_pylist(), dtype=np.int64).reshape(n, settings.bands)
+    here = bands == table["band"][0].as_py()
+    place, own = here.argmax(axis=1), np.array(table["own"].to_pylist())
+    single = table["x"][0] == table["y"][0]
+    label = np.unique(np.array([r.hex() for r in table["root"].to_pylist()]), return_inverse=True)[1]
+    bags: list[np.ndarray | None] = [None] * n
+
+    def bag(i: int) -> np.ndarray:
+        if bags[i] is None:
+            data, bounds = W.text_buffers(table["text"].slice(i, 1).combine_chunks())
+            text = data[bounds[0] : bounds[1]]
+            bags[i] = np.sort(cells(*shingles(W.find_words(text, np.array([0, len(text)])), settings.run))[1])
+        return bags[i]
+
+    out = []
+    for i in range(n - 1):
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if not single:
+            rest = rest[own[rest] != own[i]]
+        rest = rest[(sketch[rest] == sketch[i]).sum(axis=1) >= least]
+        # A pair that shares an earlier band is compared there.
+        rest = rest[(bands[rest] == bands[i]).argmax(axis=1) == place[i]]
+        for j in rest.tolist():
+            if label[j] == label[i]:
+                continue
+            small, large = sorted((bag(i), bag(j)), key=len)
+            if len(small) < settings.threshold * len(large):
+                continue
+            at = np.searchsorted(large, small)
+            both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+            if both / (len(small) + len(large) - both) >= settings.threshold:
+                out.append((node[i], node[j]))
+                label[label == label[j]] = label[i]
+    return out
 
 
 def merged(components: DataFrame | None, links: DataFrame) -> DataFrame:

@@ -41,3 +41,34 @@ def test_null_ids_and_repeated_rows(spark):
     kept = sorted(((r.doc_id, r.text) for r in D.one_per_class(df).collect()), key=str)
     assert kept == sorted([(7, long), (None, "other words"), (None, None), (3, None)], key=str)
     assert D.with_classes(df.limit(0)).count() == 0 and D.one_per_class(df.limit(0)).count() == 0
+
+
+def template_group(rng, singles=60, twins=8):
+    """Texts of one template that miss the threshold, and pairs of texts that match only each other.
+    The single ones are nearer to the template, so they are the hubs."""
+    base = [f"b{i}" for i in range(300)]
+
+    def changed(words, n):
+        out = list(words)
+        for i in rng.sample(range(300), n):
+            out[i] = f"x{rng.randrange(10**9)}"
+        return out
+
+    texts = [changed(base, 6) for _ in range(singles)]
+    for _ in range(twins):
+        common = changed(base, 6)
+        texts += [changed(common, 3), changed(common, 3)]
+    rng.shuffle(texts)
+    return [" ".join(x) for x in texts]
+
+
+def test_members_of_a_large_bucket_that_match_no_hub(spark):
+    texts = template_group(brute.seeded(8))
+    group = brute.near_groups(texts)
+    assert len(set(group)) > 55 and sum(group.count(g) > 1 for g in group) >= 12
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    least = {g: min(i for i, x in enumerate(group) if x == g) for g in group}
+    few = {"bands": 4, "rows": 1, "hubs": 4}
+    for settings in (D.Settings(**few), D.Settings(**few, block=7)):
+        got = {r.doc_id: r.class_id for r in D.with_classes(rows, settings=settings).collect()}
+        assert [got[i] for i in range(len(texts))] == [least[g] for g in group]
