@@ -1,9 +1,11 @@
 """Quality rules: compression bands.
 
 Every text is compressed with zstandard as a whole and in fixed chunks. A ratio of compressed to
-plain bytes below the band is repetitive text, one above it is incompressible (keys, encoded data,
-random letters). The limits depend on the length, because a short text has little to refer back
-to and a frame costs some bytes. Word, symbol, line and repetition counts come from the same pass.
+plain bytes below the band is repetitive text, one above it is incompressible. The limits depend on the
+length, because a short text has little to refer back to and a frame costs some bytes. Upper limits
+lie just above prose in English and other Latin scripts. Base64 and random alphanumeric keys are
+above them from 512 bytes on, random lower-case letters from 16 KiB, hex from 64 KiB; shorter ones, and
+what compresses better, cannot be told from prose by the ratio. Word, symbol, line and repetition counts come from the same pass.
 
 The operator is one projection: no shuffle, no state beyond one slice of a batch or one text.
 """
@@ -32,9 +34,10 @@ class Bands:
     the band of one chunk; more than ``chunk_share`` of the chunked bytes outside rejects."""
 
     whole: tuple[tuple[float, float, float], ...] = (
-        (1 << 10, 0.30, 0.92), (1 << 13, 0.25, 0.80), (1 << 16, 0.20, 0.75), (float("inf"), 0.15, 0.70),
+        (384, 0.30, 0.92), (512, 0.30, 0.84), (640, 0.30, 0.79), (1 << 10, 0.30, 0.76), (1 << 11, 0.25, 0.72), (1 << 12, 0.25, 0.70),
+        (1 << 13, 0.25, 0.66), (1 << 14, 0.20, 0.60), (1 << 16, 0.20, 0.56), (float("inf"), 0.15, 0.50),
     )
-    chunk: tuple[float, float] = (0.20, 0.80)
+    chunk: tuple[float, float] = (0.20, 0.70)
     chunk_bytes: int = 4096
     least_chunk_bytes: int = 1024
     chunk_share: float = 0.30

@@ -1,6 +1,8 @@
+import base64
 import collections
 import os
 import re
+import string
 
 import brute
 import pytest
@@ -60,3 +62,27 @@ def test_filter_keeps_columns_whatever_their_names(spark, texts):
     assert kept.columns == rows.columns and {r._quality for r in kept.collect()} == {2}
     assert Q.keep_good(rows.limit(0)).count() == 0
     assert Q.keep_good(rows.unionAll(rows)).count() == 2 * kept.count()
+
+
+def dump(rng, kind, size, group):
+    """Encoded random data in groups separated by spaces."""
+    if kind == "base64":
+        made = base64.b64encode(rng.randbytes(size)).decode()
+    elif kind == "hex":
+        made = rng.randbytes(size).hex()
+    else:
+        made = "".join(rng.choices(string.ascii_lowercase if kind == "letters" else string.ascii_letters + string.digits, k=size))
+    return " ".join(made[i : i + group] for i in range(0, size, group))[:size]
+
+
+def test_encoded_data_is_incompressible_at_every_length(spark):
+    rng = brute.seeded(3)
+    sizes = [600, 1023, 2000, 2047, 4095, 6000, 8191, 16_383, 20_000, 65_535, 100_000]
+    rows = [(kind, size, dump(rng, kind, size, 8)) for kind in ("base64", "alphanumeric", "letters", "hex") for size in sizes]
+    got = Q.with_quality(spark.createDataFrame(rows, "kind string, size long, text string")).select("kind", "size", "quality.*").collect()
+    assert len(got) == len(rows) and not any(r.base_failed for r in got)
+    # Letters and hex have the ratios of prose in shorter texts.
+    least = {"base64": 0, "alphanumeric": 0, "letters": 1 << 14, "hex": 1 << 16}
+    assert [(r.kind, r.size, r.whole_ratio) for r in got if r.size >= least[r.kind] and r.reason != "incompressible"] == []
+    mixed = brute.prose(rng, 6000, 30_000) + " " + dump(rng, "base64", 40_000, 64)
+    assert Q.with_quality(spark.createDataFrame([(mixed,)], "text string")).first().quality.chunk_outside > 0.3
