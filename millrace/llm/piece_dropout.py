@@ -2,15 +2,15 @@
 
 Encoding follows the merge order of a public BPE piece model: an agenda holds the candidate merges
 of a chunk, best score first and leftmost on ties. With dropout a candidate is skipped for good if
-a keyed hash of the chunk, the variant and the place of the merge falls below the rate; skipped
-merges leave smaller pieces, so equal words are cut in different ways. A rate of 0 gives the
+a keyed hash of the chunk, the row's key, the occurrence's number and the place of the merge falls
+below the rate; skipped merges leave smaller pieces, so equal words are cut in different ways. A rate of 0 gives the
 model's own segmentation.
 
 No piece of the model holds a space after its first character or a line feed, so merges never
-cross from one chunk (spaces with the word after them) into the next. Each occurrence of a chunk
-uses one of ``variants`` segmentations, picked by a hash of the row's key and the occurrence's
-number. The distinct chunks and variants of a slice of texts are processed together: chunks of one
-length are rows of a matrix, and in each round every row takes the best entry of its agenda.
+cross from one chunk (spaces with the word after them) into the next. Each occurrence of a chunk has
+its own draw. The distinct chunks of a slice of texts are cut without dropout first; an occurrence that
+skips none of the merges made there has the same pieces, only the others are cut one by one. Chunks of
+one length are rows of a matrix, and in each round every row takes the best entry of its agenda.
 Characters outside the vocabulary become byte pieces, the model's space mark among them, so
 decoding gives back every text exactly.
 
@@ -36,6 +36,7 @@ SPACE_MARK = "▁"
 LONGEST = 32  # longer chunks are processed one by one
 SLICE_CHARS = 1 << 22
 MASK = (1 << 64) - 1
+OCCURRENCES = 1 << 18  # occurrences whose draws are made at once
 PLACES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -43,7 +44,6 @@ PLACES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint6
 class Dropout:
     rate: float = 0.1
     seed: int = 0
-    variants: int = 8
 
 
 class PieceModel:
@@ -127,9 +127,9 @@ class PieceModel:
             i = end[i]
         return out
 
-    def agendas(self, chars: np.ndarray, key: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def agendas(self, chars: np.ndarray, key: np.ndarray, limit: int, log: list | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Segmentations of chunks of one length (rows of ``chars``): groups of ``(rows, symbols,
-        starts)`` by number of symbols."""
+        starts)`` by number of symbols. ``log`` receives ``(rows, places)`` of the merges made."""
         rows, length = chars.shape
         active, symbols = np.arange(rows), self.symbol_of[chars]
         starts = np.broadcast_to(np.arange(length + 1, dtype=np.int64), (rows, length + 1)).copy()
@@ -149,6 +149,8 @@ class PieceModel:
                     break
             # Columns right of the merge move one to the left.
             new = merged[every, at]
+            if log is not None:
+                log.append((active, places(starts[every, at], starts[every, at + 1], starts[every, at + 2])))
             column = np.arange(width - 1)
             symbols = np.where(column <= at[:, None], symbols[:, :-1], symbols[:, 1:])
             symbols[every, at] = new
@@ -171,12 +173,14 @@ class PieceModel:
         at = np.searchsorted(self.pair_keys, pair)
         found = self.pair_keys[at] == pair
         if limit:
-            place = begin.astype(np.uint64) * PLACES[0] ^ mid.astype(np.uint64) * PLACES[1] ^ stop.astype(np.uint64) * PLACES[2]
-            found &= W.mix(key ^ place) >= np.uint64(limit)
+            found &= W.mix(key ^ places(begin, mid, stop)) >= np.uint64(limit)
         return np.where(found, self.pair_ranks[at], np.inf), self.pair_merged[at]
 
-    def segment(self, chars: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """``(offsets, ids)`` of the chunks ``chars[begin : begin + size]``."""
+    def segment(
+        self, chars: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, limit: int, log: list | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """``(offsets, ids)`` of the chunks ``chars[begin : begin + size]``; ``log`` receives the
+        chunks and places of the merges made in chunks of up to ``LONGEST`` characters."""
         counts, pieces = np.zeros(len(begin), dtype=np.int64), []
         for length in np.unique(size).tolist():
             own = np.flatnonzero(size == length)
@@ -188,7 +192,11 @@ class PieceModel:
             for at in range(0, len(own), 1 << 16):
                 part = own[at : at + (1 << 16)]
                 text = chars[begin[part][:, None] + np.arange(length)]
-                for rows, symbols, starts in self.agendas(text, key[part], limit):
+                own_log = None if log is None else []
+                made = self.agendas(text, key[part], limit, own_log)
+                if log is not None:
+                    log += [(part[rows], where) for rows, where in own_log]
+                for rows, symbols, starts in made:
                     plain = ((symbols >= 0) & (symbols < len(self.bytes_of))).all(axis=1)
                     pieces.append((part[rows[plain]], symbols[plain]))
                     for row, own_symbols, own_starts in zip(rows[~plain].tolist(), symbols[~plain].tolist(), starts[~plain].tolist()):
@@ -229,21 +237,44 @@ class PieceModel:
         begin = np.flatnonzero(start)
         size = np.diff(np.append(begin, len(chars)))
         first = np.searchsorted(begin, bounds)
-        # Hash of the characters of each chunk, then of the variant that its number picks.
         sums, downs = W.prefix_hash(W.mix(chars.astype(np.uint64) + np.uint64(1)), W.SEQUENCE_BASES[1])
         chunk = W.mix((sums[begin + size] - sums[begin]) * downs[begin] + size.astype(np.uint64))
-        nth = np.arange(len(begin)) - np.repeat(first[:-1], np.diff(first))
-        ways = np.uint64(drop.variants if drop.rate > 0 else 1)
-        variant = W.mix(np.repeat(salts, np.diff(first)) + nth.astype(np.uint64)) % ways
-        key = W.mix(chunk ^ W.mix(variant + np.uint64(drop.seed * 1_000_003 & MASK)))
-        _, sample, inverse = np.unique(key, return_index=True, return_inverse=True)
-        offsets, values = self.segment(chars, begin[sample], size[sample], key[sample], int(drop.rate * (1 << 64)))
-        count = np.diff(offsets)[inverse]
+        _, sample, inverse = np.unique(chunk, return_index=True, return_inverse=True)
+        log: list = []
+        offsets, values = self.segment(chars, begin[sample], size[sample], chunk[sample], 0, log)
+        source, count = offsets[inverse], np.diff(offsets)[inverse]
+        if drop.rate > 0:
+            limit = int(drop.rate * (1 << 64))
+            nth = np.arange(len(begin)) - np.repeat(first[:-1], np.diff(first))
+            draw = W.mix(np.repeat(salts, np.diff(first)) + nth.astype(np.uint64))
+            key = W.mix(chunk ^ W.mix(draw + np.uint64(drop.seed * 1_000_003 & MASK)))
+            own = np.flatnonzero(self.skipping(inverse, key, len(sample), log, limit) | (size > LONGEST))
+            more, own_values = self.segment(chars, begin[own], size[own], key[own], limit)
+            source[own], count[own] = len(values) + more[:-1], np.diff(more)
+            values = np.concatenate((values, own_values))
         upto = np.concatenate(([0], np.cumsum(count)))
-        ids = values[np.repeat(offsets[inverse] - upto[:-1], count) + np.arange(upto[-1])]
+        ids = values[np.repeat(source - upto[:-1], count) + np.arange(upto[-1])]
         ends = upto[first]
         return [ids[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
+    def skipping(self, chunk: np.ndarray, key: np.ndarray, chunks: int, log: list, limit: int) -> np.ndarray:
+        """Which occurrences skip a merge that their chunk makes without dropout (``log``)."""
+        out = np.zeros(len(chunk), dtype=bool)
+        if not log:
+            return out
+        rows, where = (np.concatenate(x) for x in zip(*log))
+        where = where[np.argsort(rows, kind="stable")]
+        merges = np.bincount(rows, minlength=chunks)
+        begin = np.cumsum(merges) - merges
+        for at in range(0, len(chunk), OCCURRENCES):
+            part = chunk[at : at + OCCURRENCES]
+            n = merges[part]
+            upto = np.cumsum(n)
+            owner = np.repeat(np.arange(len(part)), n)
+            place = where[np.repeat(begin[part] - upto + n, n) + np.arange(len(owner))]
+            out[at + owner[W.mix(key[at : at + OCCURRENCES][owner] ^ place) < np.uint64(limit)]] = True
+        return out
+
     def decode(self, ids: np.ndarray) -> str:
         table = self.bytes_of
         raw = b"".join([table[i] for i in ids.tolist()])
@@ -251,6 +282,10 @@ class PieceModel:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+def places(begin: np.ndarray, mid: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    return begin.astype(np.uint64) * PLACES[0] ^ mid.astype(np.uint64) * PLACES[1] ^ stop.astype(np.uint64) * PLACES[2]
+
+
 def place_hash(key: int, left: int, mid: int, stop: int) -> int:
     """Keyed hash of the place of a merge in a chunk."""
     x = (key ^ left * int(PLACES[0]) ^ mid * int(PLACES[1]) ^ stop * int(PLACES[2])) & MASK
@@ -272,7 +307,7 @@ def read_model(path: str) -> bytes:
 
 def encode(text: Column, key: Column, drop: Dropout = Dropout(), model_path: str = MODEL_PATH) -> Column:
     """``array<int>`` of piece ids; null for null, empty for empty texts. ``key`` is a long that
-    picks the variants of a row; rows with equal keys and texts get equal ids."""
+    seeds the draws of a row; rows with equal keys and texts get equal ids."""
     proto = read_model(model_path)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))

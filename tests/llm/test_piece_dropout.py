@@ -48,3 +48,28 @@ def test_round_trip_nulls_and_variation(spark):
     assert back.filter("NOT (back <=> text)").count() == 0
     assert sorted(map(str, P.encoded_and_decoded(df.repartition(5)).collect())) == sorted(map(str, got))
     assert P.encoded_and_decoded(df.limit(0)).count() == 0
+
+
+def test_every_occurrence_has_its_own_draw(model):
+    words = ["transformation", "of", "the", "a" * 40]
+    text = " ".join(words * 500)
+    plain = {w: model.agenda_of_chunk(" " + w, 0, 0) for w in words}
+    (ids,) = model.encode([text], np.array([7], np.uint64), P.Dropout(0.1))
+    assert model.decode(ids) == text
+    ends = np.cumsum([len(model.bytes_of[i]) for i in ids])
+    cuts = np.searchsorted(ends, np.cumsum([len(w) + 1 for w in words * 500])) + 1
+    ways = {w: [] for w in words}
+    for w, s, e in zip(words * 500, [0, *cuts[:-1]], cuts):
+        ways[w].append(tuple(ids[s:e].tolist()))
+    assert len(set(ways["transformation"])) > 8 and len(set(ways["a" * 40])) > 8
+    # Two merges make " of"; if the first is skipped, another order of merges may still make it.
+    share = sum(x == tuple(plain["of"]) for x in ways["of"]) / 500
+    assert abs(share - (0.9**2 + 0.1 * 0.9**2)) < 0.05
+
+
+def test_occurrences_match_their_own_agenda(model, monkeypatch):
+    text = " ".join(["transformation of the lexicon"] * 100)
+    (shared,) = model.encode([text], np.array([3], np.uint64), P.Dropout(0.2))
+    monkeypatch.setattr(P.PieceModel, "skipping", lambda self, chunk, *_: np.ones(len(chunk), bool))
+    (single,) = model.encode([text], np.array([3], np.uint64), P.Dropout(0.2))
+    assert shared.tolist() == single.tolist()
