@@ -62,6 +62,4 @@ ELLIPSES = ("...", "…")
 # --- Fixed values: limits of the statistics ----------------------------------------
 SHORT_LINE_CHARS = 20
 LONG_LINE_CHARS = 10000
-MAX_STRING_CHARS = 1_000_000
 LANG_SAMPLE_MIN_CHARS = 64
-LANG_SAMPLE_CHARS = 500

@@ -6,23 +6,21 @@ holding a third of all rows costs one row per member.
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from millrace.functions import text as T
 from millrace.session import ensure_checkpoint_dir
 
 # --- Fixed values: the MinHash family (seed, prime and slot range of the public datasketch library)
 MINHASH_SEED = 1
-MERSENNE_PRIME = np.uint64((1 << 61) - 1)
-MAX_SLOT = np.uint64((1 << 32) - 1)
+MERSENNE_PRIME = (1 << 61) - 1
+MAX_SLOT = (1 << 32) - 1
 NUM_HASHES = 128
-BLOCK = 4096
 
 
 def duplicate_groups(df: DataFrame, key: str, id_col: str) -> DataFrame:
@@ -43,44 +41,64 @@ def drop_exact_duplicates(df: DataFrame, key: str = "_id_hash", id_col: str = "d
     return df.join(surplus_ids(df, key, id_col), id_col, "left_anti")
 
 
-def hash_family(count: int) -> tuple[np.ndarray, np.ndarray]:
+def hash_family(count: int) -> list[tuple[int, int]]:
+    """Factor and summand of each hash."""
     state = np.random.RandomState(MINHASH_SEED)
-    pairs = [
-        (state.randint(1, int(MERSENNE_PRIME), dtype=np.uint64), state.randint(0, int(MERSENNE_PRIME), dtype=np.uint64))
+    return [
+        (int(state.randint(1, MERSENNE_PRIME, dtype=np.uint64)), int(state.randint(0, MERSENNE_PRIME, dtype=np.uint64)))
         for _ in range(count)
     ]
-    a, b = np.array(pairs, dtype=np.uint64).T
-    return a[:, None], b[:, None]
 
 
-def signature_of(items, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Slot minima of one item set, in blocks so that memory stays bounded."""
-    slots = np.full(a.shape[0], MAX_SLOT, dtype=np.uint64)
-    codes = np.fromiter(
-        (int.from_bytes(hashlib.sha1(x.encode("utf-8")).digest()[:4], "little") for x in items), dtype=np.uint64
-    )
-    for at in range(0, len(codes), BLOCK):
-        hashed = ((a * codes[None, at : at + BLOCK] + b) % MERSENNE_PRIME) & MAX_SLOT
-        slots = np.minimum(slots, hashed.min(axis=1))
-    return slots.astype(np.int64)
+def item_code(item: Column) -> Column:
+    """The first four bytes of the item's SHA-1, the lowest first, as a number below 2^32."""
+    digest = F.sha1(item)
+    return F.conv(F.concat(*[F.substring(digest, 7 - 2 * i, 2) for i in range(4)]), 16, 10).cast("long")
+
+
+@contextmanager
+def wrapping_integers(spark: SparkSession) -> Iterator[None]:
+    """Column arithmetic built inside wraps around at 64 bits, as these hashes need; outside it is
+    checked again. The mode is taken when an expression is built, not when it runs."""
+    key = "spark.sql.ansi.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
 
+def slot(code: Column, factor: int, summand: int) -> Column:
+    """``((factor * code + summand) mod 2^64) mod (2^61 - 1)``, cut to 32 bits. The product wraps; the
+    Mersenne prime needs shifts and masks only."""
+    product = code * F.lit(factor) + F.lit(summand)
+    rest = product.bitwiseAND(F.lit(MERSENNE_PRIME)) + F.shiftrightunsigned(product, 61)
+    return (rest + F.shiftrightunsigned(rest + 1, 61)).bitwiseAND(F.lit(MAX_SLOT))
 
-def token_runs_of(words, n: int) -> set[str]:
-    """Distinct runs of ``n`` tokens; fewer tokens are one run."""
-    return {" ".join(words[i : i + n]) for i in range(max(len(words) - n + 1, 1))}
 
+def minhash(df: DataFrame, items: Column, keep: list[str], count: int = NUM_HASHES) -> DataFrame:
+    """``keep`` and ``signature`` (``array<long>``) of an array of strings, one row per row of ``df``.
 
-def minhash(items: Column, count: int = NUM_HASHES, run: int = 1) -> Column:
-    """MinHash signature ``array<long>`` of an array of strings, or of its runs of ``run``
-    neighbours, inside the row."""
-    a, b = hash_family(count)
+    All in column arithmetic: items become rows, the minima of all slots are one aggregate. The items
+    of a row lie in one task, so its partial result is whole and one row is shuffled per record.
+    Null items and nulls in the array add nothing; no items at all leave every slot at its maximum.
+    """
+    numbered = df.select(*keep, items.alias("_items")).withColumn("_row", F.monotonically_increasing_id())
+    coded = numbered.select(*keep, "_row", F.explode_outer("_items").alias("_item")).withColumn("_code", item_code(F.col("_item")))
+    # No column is null and a missing item sets all bits, which keeps the 128 expressions short.
+    missing = F.when(F.col("_code").isNull(), F.lit(MAX_SLOT)).otherwise(F.lit(0).cast("long"))
+    whole = coded.select(*keep, "_row", F.coalesce("_code", F.lit(0).cast("long")).alias("_code"), missing.alias("_missing"))
+    with wrapping_integers(df.sparkSession):
+        minima = [F.min(slot(F.col("_code"), a, b).bitwiseOR(F.col("_missing"))).alias(f"_m{i}") for i, (a, b) in enumerate(hash_family(count))]
+        signed = whole.groupBy("_row", *keep).agg(*minima)
+    return signed.select(*keep, F.array(*[f"_m{i}" for i in range(count)]).alias("signature"))
 
-    @F.pandas_udf(ArrayType(LongType()))
-    def signatures(column: pd.Series) -> pd.Series:
-        with np.errstate(over="ignore"):
-            return column.map(lambda x: None if x is None else signature_of(x if run == 1 else token_runs_of(x, run), a, b))
 
-    return signatures(items)
+def token_runs(tokens: Column, n: int) -> Column:
+    """Distinct runs of ``n`` neighbouring tokens, joined by a space; fewer tokens are one run."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " ")))
 
 
 def jaccard_estimate(a: Column, b: Column) -> Column:
@@ -94,12 +112,30 @@ def band_keys(signature: Column, bands: int = 16) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), F.slice(signature, i * rows + 1, rows)) for i in range(bands)])
 
 
-def band_links(signatures: DataFrame, id_col: str, bands: int = 16) -> DataFrame:
-    """``(a, b)``: every record that shares a whole band with a smaller id is linked to the
-    smallest id of that band."""
-    keyed = signatures.select(F.col(id_col).alias("a"), F.explode(band_keys(F.col("signature"), bands)).alias("band"))
-    first = keyed.groupBy("band").agg(F.min("a").alias("b"), F.count("*").alias("n")).filter("n > 1").select("band", "b")
-    return keyed.join(first, "band").filter("a > b").select("a", "b").distinct()
+def verified_links(signatures: DataFrame, id_col: str, threshold: float, bands: int = 16) -> DataFrame:
+    """``(a, b)``, ``a > b``: records that share a band and whose estimate reaches the threshold.
+
+    A band is worked off in rounds. In round r its ``2^r`` smallest open ids are the leaders; every
+    open record is scored against the leaders with smaller ids. Leaders and records that reach one
+    are done with this band, the rest goes on, until none is left. A band of like records is done
+    after one round whatever its size, one of unlike records after a number of rounds that grows
+    with the logarithm of its size.
+    """
+    own = signatures.select(F.col(id_col).alias("id"), "signature").checkpoint()
+    keyed = own.select("id", F.explode(band_keys(F.col("signature"), bands)).alias("band"))
+    shared = keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    still, links, leaders = keyed.join(shared, "band").checkpoint(), None, 1
+    while not still.isEmpty():
+        lead = still.withColumn("k", F.row_number().over(Window.partitionBy("band").orderBy("id"))).filter(F.col("k") <= leaders)
+        met = still.withColumnRenamed("id", "a").join(lead.select("band", F.col("id").alias("b")), "band").filter("a > b")
+        pairs = met.select("a", "b").distinct()
+        left, right = (own.select(F.col("id").alias(x), F.col("signature").alias(f"{x}_signature")) for x in "ab")
+        scored = pairs.join(left, "a").join(right, "b").filter(jaccard_estimate(F.col("a_signature"), F.col("b_signature")) >= threshold)
+        found = scored.select("a", "b").checkpoint()
+        links = found if links is None else links.unionByName(found)
+        done = met.join(found, ["a", "b"], "left_semi").select("band", F.col("a").alias("id")).unionByName(lead.select("band", "id")).distinct()
+        still, leaders = still.join(done, ["band", "id"], "left_anti").checkpoint(), 2 * leaders
+    return links.distinct() if links is not None else own.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -122,9 +158,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(df: DataFrame, text_col: str, id_col: str, bands: int = 16) -> DataFrame:
+def near_duplicates(df: DataFrame, text_col: str, id_col: str, threshold: float = 0.8, bands: int = 16) -> DataFrame:
     """``(id, cluster, similarity)`` of records in clusters of more than one.
 
+    Records are linked if their signatures share a band and agree in ``threshold`` of their slots
+    (see :func:`verified_links`); a cluster is a connected component of links and is named by its
+    smallest id. ``similarity`` is the estimate against that record.
+
     Exact copies are folded into their first record before the bands are compared and are
     handed back at the end with that record's cluster. Signatures are computed where the
     texts lie, so only signatures and ids are ever shuffled.
@@ -134,9 +174,10 @@ def near_duplicates(df: DataFrame, text_col: str, id_col: str, bands: int = 16)
     hashed = df.select(F.col(id_col).alias("id"), F.sha2(text_col, 256).alias("h"))
     groups = duplicate_groups(hashed, "h", "id").select("h", F.col("keep").alias("first"))
     copies = hashed.join(groups, "h").select("id", "first").filter("id <> first").checkpoint()
-    signed = df.select(F.col(id_col).alias("id"), minhash(T.tokens(F.lower(text_col)), run=3).alias("signature")).checkpoint()
+    split = df.select(F.col(id_col).alias("id"), T.tokens(F.lower(text_col)).alias("tokens"))
+    signed = minhash(split, token_runs(F.col("tokens"), 3), ["id"]).checkpoint()
     signatures = signed.join(copies.select("id"), "id", "left_anti").checkpoint()
-    components = connected_components(band_links(signatures, "id", bands))
+    components = connected_components(verified_links(signatures, "id", threshold, bands))
     # A first record without near duplicates still heads the cluster of its exact copies.
     heads = copies.select(F.col("first").alias("node")).distinct().join(components, "node", "left_anti")
     rooted = components.unionByName(heads.select("node", F.col("node").alias("root")))

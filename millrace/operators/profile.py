@@ -1,34 +1,91 @@
 """Column profiles, histograms and totals.
 
-Exact percentiles do not hold a column's values in one task: sketched bounds around
-each wanted rank cut the column down to a narrow band, ranks inside the band are
-exact, and rows below the band are only counted.
+Exact percentiles do not hold a column's values in one task: the wanted ranks of all
+columns are narrowed together by counting passes, and a pass moves one row per piece
+of an interval, whatever the number of values.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.session import broadcast_if_small
-
-SKETCH_ACCURACY = 10_000
-RANK_MARGIN = 0.001
+#: Counting passes cut an interval of values into so many pieces.
+PIECES = 256
 FRACTIONS = (0.05, 0.5, 0.95)
 
 
 def to_long(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column, value)`` rows of the non-null values."""
+    """``(column, value)`` rows of the values; nulls and NaN are no values."""
     pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
-    return df.selectExpr(f"stack({len(columns)}, {pairs}) as (column, value)").filter("value is not null")
+    return df.selectExpr(f"stack({len(columns)}, {pairs}) as (column, value)").filter("value is not null and not isnan(value)")
+
+
+@dataclass
+class Wanted:
+    """A rank of a column, counted from 0 within the values between ``lo`` and ``hi``."""
+
+    column: str
+    rank: int
+    lo: float
+    hi: float
+
+
+def piece(value: Column, lo: Column, hi: Column) -> Column:
+    """Number of the piece of ``lo`` to ``hi`` a value falls into, never falling as values rise.
+    Both ends have a piece of their own, so every pass narrows an interval."""
+    share = (value / 2 - lo / 2) / (hi / 2 - lo / 2)
+    inner = F.greatest(F.lit(1.0), F.least(F.lit(PIECES - 2.0), F.floor(F.nanvl(share, F.lit(0.5)) * PIECES).cast("double")))
+    return F.when(value <= lo, 0).when(value >= hi, PIECES - 1).otherwise(inner.cast("int"))
+
+
+def select_ranks(values: DataFrame, wanted: list[Wanted]) -> None:
+    """Narrow every wanted rank until its interval holds one distinct value.
+
+    All intervals are counted in one pass over ``values``. What comes to the driver is bounded by
+    the number of ranks times the number of pieces.
+    """
+    spark = values.sparkSession
+    while todo := sorted({(w.column, w.lo, w.hi) for w in wanted if w.lo < w.hi}):
+        number = {interval: i for i, interval in enumerate(todo)}
+        intervals = spark.createDataFrame([(i, *x) for x, i in number.items()], "interval int, column string, lo double, hi double")
+        inside = values.join(F.broadcast(intervals), "column").filter(F.col("value").between(F.col("lo"), F.col("hi")))
+        counted = inside.groupBy("interval", piece(F.col("value"), F.col("lo"), F.col("hi")).alias("piece")).agg(
+            F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+        )
+        pieces: dict[int, list] = {}
+        for row in sorted(counted.collect(), key=lambda r: r.piece):
+            pieces.setdefault(row.interval, []).append(row)
+        for w in wanted:
+            for row in pieces.get(number.get((w.column, w.lo, w.hi), -1), []):
+                if w.rank < row.n:
+                    w.lo, w.hi = row.lo, row.hi
+                    break
+                w.rank -= row.n
+
+
+def percentiles(values: DataFrame, summary: list, fractions=FRACTIONS) -> dict[str, list[float]]:
+    """Per column the values at the fractions, between two ranks by linear interpolation.
+    ``summary`` has the rows ``column, count, min, max``."""
+    ends = {}
+    for s in summary:
+        for f in fractions:
+            position = f * (s["count"] - 1)
+            ends[s.column, f] = [Wanted(s.column, r, s["min"], s["max"]) for r in (math.floor(position), math.ceil(position))], position % 1
+    select_ranks(values, [w for pair, _ in ends.values() for w in pair])
+    return {s.column: [a.lo + (b.lo - a.lo) * part if a.lo != b.lo else a.lo for (a, b), part in (ends[s.column, f] for f in fractions)] for s in summary}
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """min, max, mean, median, p05, p95, sample deviation, count, skew and excess kurtosis per column."""
+    """min, max, mean, median, p05, p95, sample deviation, count, skew and excess kurtosis per column.
+
+    The table is read once for the moments and once per counting pass; store it before if it is
+    costly to compute. Columns without values have no row.
+    """
     values = to_long(df, columns)
-    low = [f - RANK_MARGIN for f in FRACTIONS]
-    high = [f + RANK_MARGIN for f in FRACTIONS]
     summary = values.groupBy("column").agg(
         F.min("value").alias("min"),
         F.max("value").alias("max"),
@@ -37,49 +94,11 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
         F.count("value").alias("count"),
         F.skewness("value").alias("skewness"),
         F.kurtosis("value").alias("kurtosis"),
-        F.percentile_approx("value", low, SKETCH_ACCURACY).alias("lows"),
-        F.percentile_approx("value", high, SKETCH_ACCURACY).alias("highs"),
-    )
-    # A column shorter than the sketch is kept whole.
-    whole = F.col("count") <= SKETCH_ACCURACY
-    bands = summary.select(
-        "column", "count",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(f).alias("fraction"),
-                        F.when(whole, F.col("min")).otherwise(F.col("lows")[i]).alias("lo"),
-                        F.when(whole, F.col("max")).otherwise(F.col("highs")[i]).alias("hi"),
-                    )
-                    for i, f in enumerate(FRACTIONS)
-                ]
-            )
-        ).alias("band"),
-    ).select("column", "count", "band.*")
-    # Three rows per column: bounded by the schema, not by the data.
-    placed = values.join(F.broadcast(bands), "column")
-    inside = F.col("value").between(F.col("lo"), F.col("hi"))
-    counted = (
-        placed.filter(F.col("value") <= F.col("hi"))
-        .groupBy("column", "fraction", "count", F.when(inside, F.col("value")).alias("value"))
-        .agg(F.count("*").alias("rows"))
-    )
-    order = W.partitionBy("column", "fraction").orderBy(F.col("value").asc_nulls_first())
-    ranked = counted.withColumn("upto", F.sum("rows").over(order)).withColumn("position", F.col("fraction") * (F.col("count") - 1))
-    first = F.floor("position")
-
-    def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("upto") > rank, F.col("value")))
-
-    exact = ranked.groupBy("column", "fraction").agg(
-        at(first).alias("a"), at(F.ceil("position")).alias("b"), F.max(F.col("position") - first).alias("part")
-    ).select("column", "fraction", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("quantile"))
-    wide = exact.groupBy("column").agg(
-        *[F.max(F.when(F.col("fraction") == f, F.col("quantile"))).alias(n) for f, n in zip(FRACTIONS, ("p05", "median", "p95"))]
-    )
-    return summary.drop("lows", "highs").join(wide, "column", "left").select(
-        "column", "min", "max", "mean", "median", "p05", "p95", "std", "count", "skewness", "kurtosis"
+    ).collect()  # one row per column
+    found = percentiles(values, summary)
+    rows = [(s.column, s.min, s.max, s.mean, found[s.column][1], found[s.column][0], found[s.column][2], s.std, s["count"], s.skewness, s.kurtosis) for s in summary]
+    return df.sparkSession.createDataFrame(
+        rows, "column string, min double, max double, mean double, median double, p05 double, p95 double, std double, count long, skewness double, kurtosis double"
     )
 
 

@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 def containment_join(left: DataFrame, left_text: str, right: DataFrame, right_text: str) -> DataFrame:
     """Left join on ``right_text`` being a substring of ``left_text``.
 
-    Right values are keyed by their first q characters, q being the length of the shortest
-    one; left values are cut into their runs of q characters. The join of runs is an
-    equi-join, linear in the length of the left values, and is verified in place.
+    Left values are cut into their substrings of exactly the lengths that occur on the right, and
+    the join is on whole values. Nothing is left to verify and a prefix that all right values share
+    is no key. The work is the length of the left values times the number of distinct lengths.
+    Empty and null right values match nothing.
     """
     rights = right.filter(F.length(right_text) > 0)
-    q = rights.agg(F.min(F.length(right_text))).first()[0] or 1
-    keyed = rights.withColumn("_run", F.substring(right_text, 1, q))
-    values = left.select(left_text).distinct().filter(F.length(left_text) >= q)
-    starts = F.sequence(F.lit(1), F.length(left_text) - q + 1)
-    runs = values.select(left_text, F.explode(starts).alias("_at")).withColumn("_run", F.substr(F.col(left_text), F.col("_at"), F.lit(q)))
-    holds = F.substr(F.col(left_text), F.col("_at"), F.length(right_text)) == F.col(right_text)
-    found = runs.join(keyed.select(right_text, "_run").distinct(), "_run").filter(holds).select(left_text, right_text).distinct()
+    # Never more numbers than the longest right value has characters.
+    lengths = rights.agg(F.array_sort(F.collect_set(F.length(right_text)))).first()[0]
+    size = F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("_size")
+    values = left.select(left_text).distinct().select(left_text, size).filter(F.col("_size") <= F.length(left_text))
+    starts = F.explode(F.sequence(F.lit(1), F.length(left_text) - F.col("_size") + 1)).alias("_at")
+    pieces = values.select(left_text, "_size", starts).select(left_text, F.substr(left_text, "_at", "_size").alias(right_text))
+    found = pieces.join(rights.select(right_text).distinct(), right_text, "left_semi").distinct()
     return left.join(found.join(rights, right_text), left_text, "left")
 
 

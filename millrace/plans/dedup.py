@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import dedup as D
+from millrace.plans.sql_text import sql_tokens
 from millrace.plans.stats_query import data
 from millrace.session import read_table
 from millrace.sources.scan import union_by_name
@@ -41,10 +42,66 @@ ORACLES["s10_union_by_name"] = (
 
 
 def _signatures(spark, sf_dir):
-    records = both_sources(spark, sf_dir)
-    signed = records.select("id", D.minhash(F.array_distinct(T.tokens(F.col("text")))).alias("signature"))
+    signed = D.minhash(both_sources(spark, sf_dir), F.array_distinct(T.tokens(F.col("text"))), ["id"])
     return signed.select("id", F.size("signature").alias("slots"), F.md5(F.array_join(F.col("signature").cast("array<string>"), ",")).alias("signature_md5"))
 
 
+_BOTH = (
+    "records AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION ALL SELECT 'b' || CAST(item_id AS VARCHAR), text FROM benchmark)"
+)
+
+
+def _minhash_sql(items: str) -> str:
+    """CTEs up to ``signed(id, signature)``; ``items`` has ``id`` and ``item``. The arithmetic is in
+    128-bit integers."""
+    family = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(D.hash_family(D.NUM_HASHES)))
+    code = " || ".join(f"substr(h, {7 - 2 * i}, 2)" for i in range(4))
+    return (
+        f"family(slot, a, b) AS (VALUES {family}), items AS ({items}), "
+        f"codes AS (SELECT id, CAST('0x' || {code} AS HUGEINT) AS code FROM (SELECT DISTINCT id, sha1(item) AS h FROM items)), "
+        "minima AS (SELECT id, slot, min((((a::HUGEINT * code + b) % 18446744073709551616) % 2305843009213693951) % 4294967296)::BIGINT AS m FROM codes, family GROUP BY id, slot), "
+        "signed AS (SELECT id, list(m ORDER BY slot) AS signature FROM minima GROUP BY id)"
+    )
+
+
 QUERIES["w04_minhash_signature"] = _signatures
+ORACLES["w04_minhash_signature"] = (
+    f"WITH {_BOTH}, {_minhash_sql(f'SELECT id, unnest({sql_tokens("text")}) AS item FROM records')} "
+    "SELECT id, CAST(coalesce(len(signature), 128) AS INTEGER) AS slots, "
+    "md5(array_to_string(coalesce(signature, list_transform(range(128), lambda i: 4294967295)), ',')) AS signature_md5 FROM records LEFT JOIN signed USING (id)"
+)
+
 QUERIES["w05_near_duplicates"] = lambda s, d: D.near_duplicates(both_sources(s, d), "text", "id")
+_RUNS = (
+    "SELECT id, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS item "
+    f"FROM (SELECT id, {sql_tokens('lower(text)')} AS w FROM firsts)"
+)
+# The rounds of a band: leaders are its 2^r smallest open ids, whoever reaches an earlier leader is done.
+ORACLES["w05_near_duplicates"] = f"""
+WITH RECURSIVE {_BOTH}, firsts AS MATERIALIZED (SELECT min(id) AS id, text FROM records WHERE text IS NOT NULL GROUP BY text),
+{_minhash_sql(_RUNS).replace("signed AS (", "signed AS MATERIALIZED (")},
+banded AS MATERIALIZED (SELECT id, band, signature[band * 8 + 1 : band * 8 + 8] AS key FROM signed, range(16) t(band)),
+near AS MATERIALIZED (
+    SELECT a, b FROM (SELECT DISTINCT x.id AS a, y.id AS b FROM banded x JOIN banded y ON x.band = y.band AND x.key = y.key AND x.id > y.id)
+    JOIN signed s ON s.id = a JOIN signed t ON t.id = b
+    WHERE len(list_filter(list_zip(s.signature, t.signature), lambda z: z[1] = z[2])) >= 0.8 * 128
+), rounds AS (
+    SELECT 0 AS r, band, key, id FROM banded
+    UNION ALL
+    SELECT r + 1, band, key, id FROM (
+        SELECT *, list(id) FILTER (k <= power(2, r)) OVER (PARTITION BY band, key) AS leaders
+        FROM (SELECT *, row_number() OVER (PARTITION BY band, key ORDER BY id) AS k FROM rounds)) o
+    WHERE k > power(2, r) AND NOT EXISTS (SELECT 1 FROM near WHERE a = o.id AND list_contains(leaders, b))
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY r, band, key ORDER BY id) AS k FROM rounds),
+links AS MATERIALIZED (
+    SELECT DISTINCT a, b FROM ranked m JOIN ranked l ON m.r = l.r AND m.band = l.band AND m.key = l.key AND l.k <= power(2, l.r) JOIN near ON a = m.id AND b = l.id
+), edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reached r JOIN edges e ON r.b = e.a),
+roots AS (SELECT a AS id, least(a, min(b)) AS root FROM reached GROUP BY a),
+grown AS (
+    SELECT f.id, coalesce(root, f.id) AS cluster, text FROM firsts f LEFT JOIN roots ON roots.id = f.id
+), members AS (SELECT x.id, g.id AS first, cluster FROM records x JOIN grown g ON x.text = g.text)
+SELECT m.id, m.cluster, len(list_filter(list_zip(s.signature, t.signature), lambda z: z[1] = z[2])) / 128.0::DOUBLE AS similarity
+FROM members m JOIN signed s ON s.id = m.first JOIN signed t ON t.id = m.cluster
+WHERE m.cluster IN (SELECT cluster FROM members GROUP BY cluster HAVING count(*) > 1)
+"""

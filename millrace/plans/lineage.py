@@ -150,16 +150,15 @@ _register(
 
 
 def _named(spark, sf_dir):
-    names = L.entity_names(frame(spark, sf_dir, "card"), frame(spark, sf_dir, "dataset"), frame(spark, sf_dir, "distribution"))
-    walked = L.both_ways(edges(spark, sf_dir)).filter("from_type = 'Dataset'")
-    return L.with_names(walked, names).select("from_id", "from_name", "via_edge", "node_id", "node_name")
+    names = L.entity_names(*[frame(spark, sf_dir, n) for n in ("card", "dataset", "distribution")])
+    return L.with_names(L.both_ways(edges(spark, sf_dir)), names).select("from_id", "from_name", "via_edge", "node_id", "node_name")
 
 
 _register(
     "g07_node_names", _named,
     f"WITH {_EDGES}, names AS (SELECT 'Card' AS t, id, dataset_name AS name FROM card UNION ALL SELECT 'Dataset', id, name FROM dataset UNION ALL SELECT 'Distribution', id, name FROM distribution), "
     "b AS (SELECT source_type AS ft, source_id AS fi, edge_type AS e, target_type AS nt, target_id AS ni FROM edges UNION ALL SELECT target_type, target_id, edge_type, source_type, source_id FROM edges) "
-    "SELECT fi AS from_id, f.name AS from_name, e AS via_edge, ni AS node_id, n.name AS node_name FROM b LEFT JOIN names f ON f.t = ft AND f.id = fi LEFT JOIN names n ON n.t = nt AND n.id = ni WHERE ft = 'Dataset'",
+    "SELECT fi AS from_id, f.name AS from_name, e AS via_edge, ni AS node_id, n.name AS node_name FROM b LEFT JOIN names f ON f.t = ft AND f.id = fi LEFT JOIN names n ON n.t = nt AND n.id = ni",
 )
 
 

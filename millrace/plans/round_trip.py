@@ -12,7 +12,7 @@ from millrace.plans.mapping import BAD_RECORD, CHOICES, chat_mapping
 from millrace.session import ensure_checkpoint_dir, read_table
 from millrace.sources import sinks as K
 from millrace.sources.listing import list_files, verify_output
-from millrace.sources.scan import read_json, read_staged, scan
+from millrace.sources.scan import read_delimited, read_json, read_staged, scan
 
 QUERIES, ORACLES = {}, {}
 
@@ -52,10 +52,13 @@ def _parquet(spark, sf_dir):
     return _digest(scan(spark, path))
 
 
-def _delimited(separator, glob):
+def _delimited(separator, glob, encoding="UTF-8"):
     def run(spark, sf_dir):
         path = scratch(spark)
-        writer = records(spark, sf_dir).write.option("header", "true").option("sep", separator)
+        docs = records(spark, sf_dir)
+        if encoding != "UTF-8":
+            docs = docs.withColumn("text", F.regexp_replace("text", r"[^\x00-\xFF]", "?"))
+        writer = docs.write.option("header", "true").option("sep", separator).option("extension", glob[2:]).option("encoding", encoding)
         writer.option("quoteAll", "true").option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option(
             "ignoreTrailingWhiteSpace", "false"
         ).csv(path)
@@ -67,6 +70,64 @@ def _delimited(separator, glob):
 _register("s03_k04_json_lines", _json, _TABLE)
 _register("s02_k04_parquet_detected", _parquet, _TABLE)
 _register("s04_csv", _delimited(",", "*.csv"), _TABLE)
+_register("s04_tsv", _delimited("\t", "*.tsv"), _TABLE)
+_register(
+    "s04_latin1", _delimited(",", "*.csv", "ISO-8859-1"),
+    "SELECT doc_id, md5(regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g')) AS text_md5, lang, source FROM documents",
+)
+
+
+def _with_outcome(good, bad):
+    return good.withColumn("outcome", F.lit("good")).unionByName(bad.select(F.col("value").alias("outcome")), allowMissingColumns=True)
+
+
+def _json_field(name):
+    """``"name":value`` as JSON text."""
+    whole = F.to_json(F.struct(name), {"ignoreNullFields": "false"})
+    return F.substr(whole, F.lit(2), F.length(whole) - 2)
+
+
+def _one_large_array(spark, sf_dir):
+    """Files that hold one array each, laid out over many lines; a bare number is its last item."""
+    path = scratch(spark)
+    docs = records(spark, sf_dir).withColumn("of", F.col("doc_id") % 4)
+    item = F.concat(F.lit("{\n  "), F.concat_ws(",\n  ", *[_json_field(c) for c in ("doc_id", "text", "lang", "source")]), F.lit("\n},"))
+    parts = docs.select("of").distinct()
+    lines = docs.select("of", F.lit(1).alias("place"), "doc_id", item.alias("value"))
+    for place, text in ((0, "["), (2, "7\n]")):
+        lines = lines.unionByName(parts.select("of", F.lit(place).alias("place"), F.lit(0).cast("long").alias("doc_id"), F.lit(text).alias("value")))
+    lines.repartition(4, "of").sortWithinPartitions("of", "place", "doc_id").select("value").write.text(path)
+    good, bad = read_json(spark, path, "*.txt")
+    return _with_outcome(_digest(good), bad)
+
+
+_register(
+    "s03_one_large_array", _one_large_array,
+    "SELECT doc_id, md5(text) AS text_md5, lang, source, 'good' AS outcome FROM documents UNION ALL "
+    "SELECT NULL, NULL, NULL, NULL, '7' FROM (SELECT DISTINCT doc_id % 4 FROM documents)",
+)
+
+
+def _quoted_breaks(spark, sf_dir):
+    """Quoted fields with line breaks, quotes and separators; rows that lack fields are handed out."""
+    path = scratch(spark)
+    docs = records(spark, sf_dir)
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('\nlast "" line, end"'))
+    row = F.concat_ws(",", F.col("doc_id").cast("string"), quoted, "lang", "source")
+    value = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("short,"), F.col("doc_id").cast("string"))).otherwise(row)
+    rows = docs.select((F.col("doc_id") % 4).alias("of"), F.lit(1).alias("place"), value.alias("value"))
+    headers = rows.select("of").distinct().select("of", F.lit(0).alias("place"), F.lit("doc_id,text,lang,source").alias("value"))
+    whole = rows.unionByName(headers).repartition(4, "of").sortWithinPartitions("of", "place")
+    whole.select("of", "value").write.partitionBy("of").text(path)
+    good, bad = read_delimited(spark, path, "*.txt")
+    return _with_outcome(_digest(good), bad)
+
+
+_register(
+    "s04_quoted_breaks", _quoted_breaks,
+    "SELECT doc_id, md5(text || chr(10) || 'last \" line, end') AS text_md5, lang, source, 'good' AS outcome FROM documents WHERE doc_id % 7 <> 0 UNION ALL "
+    "SELECT NULL, NULL, NULL, NULL, 'short,' || doc_id FROM documents WHERE doc_id % 7 = 0",
+)
 
 
 def _bad_lines(spark, sf_dir):

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from millrace.functions.chat_stats import chat_stats_of_messages
 from millrace.functions.low_stats import low_level_stats
 from millrace.operators import profile as P
 from millrace.operators.sampling import hash_sample
-from millrace.operators.stats_query import enrich, join_stats, one_row_per_id
+from millrace.operators.silo_store import Store, join_store, write_store
+from millrace.operators.stats_query import enrich, one_row_per_id
 from millrace.plans.chat_stats import CHAT_SQL, _DOC, document_messages
 from millrace.plans.low_stats import stats_cte
 from millrace.session import ensure_checkpoint_dir, read_table
@@ -43,7 +48,35 @@ def chat_silo(spark, sf_dir):
     """One conversation-statistics row per content hash, which is taken from the row itself: no
     text is joined or shuffled."""
     keyed = document_messages(spark, sf_dir, F.coalesce(F.sha2("text", 256), F.lit("")).alias("_id_hash"))
-    return one_row_per_id(chat_stats_of_messages(keyed, "messages", "_id_hash", "_lang").select("id", "_user_char_count", "_has_context"))
+    return one_row_per_id(chat_stats_of_messages(keyed, "messages", "_id_hash", "_lang"))
+
+
+def write_stored_silo(spark, sf_dir):
+    """The documents and their two silos as a new store."""
+    # A store belongs to a session and to the folder its tables were read from.
+    store = silo_name(sf_dir)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/silo-{uuid.uuid4().hex}"
+    write_store(store, folder, data(spark, sf_dir), silo(spark, sf_dir), chat_silo(spark, sf_dir))
+    return store
+
+
+def silo_name(sf_dir):
+    return Store(f"silo_{hashlib.sha256(sf_dir.rstrip('/').encode()).hexdigest()[:16]}")
+
+
+def stored_silo(spark, sf_dir):
+    """The store of these tables, written at first use in a session."""
+    store = silo_name(sf_dir)
+    return store if store.exists(spark) else write_stored_silo(spark, sf_dir)
+
+
+def _stored_rows(spark, sf_dir):
+    """What the store holds: every record once, one row of either silo per content."""
+    store = stored_silo(spark, sf_dir)
+    data_rows = [spark.table(store.table("data", hot)).select(F.lit("data").alias("part"), F.col("_id_hash").alias("id")) for hot in (False, True)]
+    silo_rows = [spark.table(store.table(part)).select(F.lit(part).alias("part"), "id") for part in ("low", "chat")]
+    rows = reduce(lambda a, b: a.unionByName(b), data_rows + silo_rows)
+    return rows.groupBy("part").agg(F.count("*").alias("records"), F.count_distinct("id").alias("contents"))
 
 
 _DATA = (
@@ -61,11 +94,17 @@ def _silo_sql(*names):
     )
 
 
+_register(
+    "j01_stored_silo", _stored_rows,
+    "SELECT part, CASE part WHEN 'data' THEN records ELSE contents END AS records, contents FROM "
+    "(SELECT count(*) AS records, count(DISTINCT coalesce(sha256(text), '')) AS contents FROM documents), (VALUES ('data'), ('low'), ('chat')) p(part)",
+)
+
 FLAGSHIP_FILTERS = [("d._lang", "=", "en"), ("_word_count", ">=", 50), ("s._unigram_entropy", "range", (3.0, 5.5))]
 
 
 def _flagship(spark, sf_dir):
-    joined = join_stats(data(spark, sf_dir), silo(spark, sf_dir), filters=FLAGSHIP_FILTERS)
+    joined = join_store(spark, stored_silo(spark, sf_dir), FLAGSHIP_FILTERS)
     return joined.select("doc_id", "_id_hash", "_lang", "_dataset_name", F.length("text").alias("chars"))
 
 
@@ -79,7 +118,7 @@ _register(
 
 def _filtered(filters, custom=None):
     def run(spark, sf_dir):
-        return join_stats(data(spark, sf_dir), silo(spark, sf_dir), filters=filters, custom=custom).select("doc_id")
+        return join_store(spark, stored_silo(spark, sf_dir), filters, custom).select("doc_id")
 
     return run
 
@@ -109,10 +148,8 @@ _register(
 
 
 def _triple(spark, sf_dir):
-    out = join_stats(
-        data(spark, sf_dir), silo(spark, sf_dir), chat_silo(spark, sf_dir),
-        filters=[("_word_count", ">", 50), ("c._user_char_count", "<", 8000), ("c._has_context", "=", 1)],
-    )
+    wanted = [("_word_count", ">", 50), ("c._user_char_count", "<", 8000), ("c._has_context", "=", 1)]
+    out = join_store(spark, stored_silo(spark, sf_dir), wanted, chat=True)
     return out.select("doc_id", "_id_hash", "_lang")
 
 
@@ -131,10 +168,8 @@ _register(
 
 def _alias_default(spark, sf_dir):
     """A bare column means the low-level silo, ``c.`` the conversation silo."""
-    out = join_stats(
-        data(spark, sf_dir), silo(spark, sf_dir), chat_silo(spark, sf_dir),
-        filters=[("_word_count", ">", 50), ("c._user_char_count", ">", 500)], keep=["_word_count", "c._user_char_count"],
-    )
+    wanted = [("_word_count", ">", 50), ("c._user_char_count", ">", 500)]
+    out = join_store(spark, stored_silo(spark, sf_dir), wanted, keep=["_word_count", "c._user_char_count"], chat=True)
     return out.select("doc_id", "_word_count", "_user_char_count")
 
 
@@ -146,7 +181,7 @@ _register(
 
 
 def _projected(spark, sf_dir):
-    out = join_stats(data(spark, sf_dir), silo(spark, sf_dir), filters=[("_token_count", ">", 1000)], keep=["_token_count"])
+    out = join_store(spark, stored_silo(spark, sf_dir), [("_token_count", ">", 1000)], keep=["_token_count"])
     return out.select("doc_id", "_lang", F.round("_token_count", 4).alias("_token_count"))
 
 
@@ -169,7 +204,7 @@ _register(
 
 
 def _saved(spark, sf_dir):
-    out = join_stats(data(spark, sf_dir), silo(spark, sf_dir), filters=[("_word_count", ">", 200)], folder="long_ones")
+    out = join_store(spark, stored_silo(spark, sf_dir), [("_word_count", ">", 200)], folder="long_ones")
     return out.select("doc_id", "_subpath")
 
 

@@ -8,8 +8,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SMALL_SHARE_BYTES = 8 * 1024 * 1024
-TEXT_TABLES = ("documents", "pages")
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -32,19 +30,14 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread(df) if name in TEXT_TABLES else df
-
+    """A table of the folder, as it is split.
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a scan that is small or has fewer splits than cores.
-
-    Text work is bound by CPU, and a row group is one task however it is split. A scan that
-    fills the cluster already is returned as is, so large inputs never move.
+    ``spark.millrace.scanPartitions`` deals every table to that many partitions after its scan, for
+    files that have fewer row groups than the machine has cores; nothing is moved unless it is set.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    small = plan_bytes(df) < cores * SMALL_SHARE_BYTES
-    return df.repartition(cores) if small or df.rdd.getNumPartitions() < cores else df
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    partitions = spark.conf.get("spark.millrace.scanPartitions", None)
+    return df.repartition(int(partitions)) if partitions else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:

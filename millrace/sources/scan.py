@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import base64
+import csv
 import io
+import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import batched
 
 import pandas as pd
@@ -15,10 +18,13 @@ from pyspark.sql import types as t
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from millrace.operators.standardize import truncate_and_flatten
+from millrace.session import broadcast_if_small, ensure_checkpoint_dir
 from millrace.sources.listing import extension, list_files
+from millrace.sources.stitch import array_items, delimited_records, text_lines
 from millrace.sources.webpages import warc_responses
 
 CORRUPT = "_corrupt_record"
+QUARANTINE = "file string, value string"
 PAGES_PER_BLOCK = 200
 # Checked in this order, as parts of a file pattern.
 FORMAT_OF = [
@@ -54,16 +60,28 @@ def scan(
     spark: SparkSession, path: str, glob: str | None = None, schema: t.StructType | None = None,
     partitions: int | None = None, path_col: str | None = None,
 ) -> DataFrame:
-    """Records below ``path``. ``partitions`` spreads compressed files, which do not split;
-    ``path_col`` names a column for the file each record comes from. Without a pattern the
-    files of every known format are read, and columns that one of them lacks are null."""
+    """Records below ``path``; :func:`scan_checked` also hands out what could not be read.
+
+    ``partitions`` spreads compressed files, which do not split; ``path_col`` names a column for the
+    file each record comes from. Without a pattern the files of every known format are read, and
+    columns that one of them lacks are null."""
+    return scan_checked(spark, path, glob, schema, partitions, path_col)[0]
+
+
+def scan_checked(
+    spark: SparkSession, path: str, glob: str | None = None, schema: t.StructType | None = None,
+    partitions: int | None = None, path_col: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Records below ``path`` and the quarantine ``(file, value)`` of unreadable ones. Binary formats
+    are checked by their readers, which fail; they add nothing to the quarantine."""
     if glob is None:
-        parts = [scan(spark, path, g, schema, None, path_col) for g in detect_globs(spark, path)]
-        both = union_by_name(*parts)
-        return both.repartition(partitions) if partitions else both
+        parts = [scan_checked(spark, path, g, schema, None, path_col) for g in detect_globs(spark, path)]
+        good, bad = union_by_name(*[p[0] for p in parts]), reduce(DataFrame.unionByName, [p[1] for p in parts])
+        return (good.repartition(partitions) if partitions else good), bad
     kind = format_of(glob)
+    bad = spark.createDataFrame([], QUARANTINE)
     if kind == "json":
-        df = read_json(spark, path, glob, schema, path_col=path_col)[0]
+        df, bad = read_json(spark, path, glob, schema, path_col=path_col)
     elif kind == "parquet":
         df = _located(_reader(spark, glob).option("mergeSchema", "true").parquet(path), path_col)
     elif kind == "arrow":
@@ -71,8 +89,8 @@ def scan(
     elif kind == "warc":
         df = read_warc(spark, path, glob)
     else:
-        df = read_delimited(spark, path, glob, "\t" if kind == "tsv" else ",", schema, path_col=path_col)
-    return df.repartition(partitions) if partitions else df
+        df, bad = read_delimited(spark, path, glob, "\t" if kind == "tsv" else ",", schema, path_col=path_col)
+    return (df.repartition(partitions) if partitions else df), bad
 
 
 def _located(df: DataFrame, path_col: str | None) -> DataFrame:
@@ -92,22 +110,27 @@ def read_json(
 
     A line holds one object or an array of objects. Every file is looked at on its own: one that
     begins with an array which its first line does not end is laid out over several lines and is
-    read as one value, all others line by line. Items of an array that are no objects go to the
-    quarantine one by one.
+    cut into its items by splits (:mod:`millrace.sources.stitch`), all others are read line by line.
+    Items of an array that are no objects go to the quarantine one by one. ``multi_line=True`` takes
+    every file as one value.
     """
+    ensure_checkpoint_dir(spark)
     located = F.col("_metadata.file_path").alias("file")
     lines = _reader(spark, glob).text(path, wholetext=bool(multi_line)).select(located, "value").filter(F.trim("value") != "")
+    listed = None
     if multi_line is None:
-        laid_out = laid_out_files(spark, path, glob)
+        laid_out = laid_out_files(spark, path, glob).checkpoint()
         if not laid_out.isEmpty():
-            whole = _reader(spark, glob).text(path, wholetext=True).select(located, "value")
-            lines = lines.join(laid_out, "file", "left_anti").unionByName(whole.join(laid_out, "file", "left_semi"))
+            listed = text_lines(spark, path, glob).join(broadcast_if_small(laid_out), "file", "left_semi")
+            lines = lines.join(broadcast_if_small(laid_out), "file", "left_anti")
     # Array items are taken as JSON text first, so that one bad item spoils no other.
     text = F.ltrim(F.regexp_replace("value", r"\A\s+", ""))
-    listed = F.from_json(F.when(F.startswith(text, F.lit("[")), text), t.ArrayType(t.StringType()), {"mode": "PERMISSIVE"})
-    items = F.when(F.startswith(text, F.lit("[")), F.coalesce(listed, F.array("value"))).otherwise(F.array("value"))
+    parts = F.from_json(F.when(F.startswith(text, F.lit("[")), text), t.ArrayType(t.StringType()), {"mode": "PERMISSIVE"})
+    items = F.when(F.startswith(text, F.lit("[")), F.coalesce(parts, F.array("value"))).otherwise(F.array("value"))
     items = lines.select("file", F.explode(items).alias("value"))
-    found = schema or spark.read.json(items.filter(F.startswith(F.ltrim("value"), F.lit("{"))).select("value").rdd.map(lambda r: r.value)).schema
+    if listed is not None:
+        items = items.unionByName(array_items(listed).select("file", "value"))
+    found = schema or json_schema(items)
     record = t.StructType([*(f for f in found.fields if f.name != CORRUPT), t.StructField(CORRUPT, t.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = items.withColumn("r", F.from_json("value", record, options))
@@ -118,6 +141,42 @@ def read_json(
     return parsed.filter(sound).select("file", "r.*").drop(CORRUPT).select(*[f"`{f.name}`" for f in record.fields[:-1]], *kept), bad
 
 
+def json_schema(items: DataFrame, column: str = "value") -> t.StructType:
+    """The schema that fits all JSON objects of a column, merged in one aggregate.
+
+    Values of unlike types and objects without any field become strings, whole numbers longs, others
+    doubles. Text that is no object does not count; without any there are no fields."""
+    merged = items.agg(F.schema_of_variant_agg(F.when(F.startswith(F.ltrim(column), F.lit("{")), F.try_parse_json(column)))).first()[0]
+    return spark_type(merged) if merged and merged.startswith("OBJECT<") else t.StructType()
+
+
+def spark_type(variant: str) -> t.DataType:
+    """The Spark type for a variant's schema text, such as ``OBJECT<a: ARRAY<BIGINT>>``."""
+    if variant.startswith("ARRAY<"):
+        return t.ArrayType(spark_type(variant[6:-1]))
+    if variant.startswith("OBJECT<") and variant != "OBJECT<>":
+        fields, depth, at, quoted = [], 0, 7, False
+        for i in range(7, len(variant)):
+            c = variant[i]
+            quoted ^= c == "`"
+            depth += 0 if quoted else (c in "<(") - (c in ">)")
+            if not quoted and (c == "," and depth == 0 or i == len(variant) - 1):
+                name, kind = field_of(variant[at:i].strip())
+                fields.append(t.StructField(name, spark_type(kind)))
+                at = i + 1
+        return t.StructType(fields)
+    return {"BIGINT": t.LongType(), "DOUBLE": t.DoubleType(), "FLOAT": t.DoubleType(), "BOOLEAN": t.BooleanType()}.get(variant, t.DoubleType() if variant.startswith("DECIMAL") else t.StringType())
+
+
+def field_of(text: str) -> tuple[str, str]:
+    """Name and type text of a field; a name with special characters stands in back-quotes."""
+    if text.startswith("`"):
+        end = re.match(r"`(?:[^`]|``)*`", text).end()
+        return text[1 : end - 1].replace("``", "`"), text[end + 1 :].strip()
+    name, kind = text.split(":", 1)
+    return name, kind.strip()
+
+
 def laid_out_files(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
     """Files that begin with an array which does not end on the first line with text."""
     lines = _reader(spark, glob).text(path).select(
@@ -133,27 +192,44 @@ def laid_out_files(spark: SparkSession, path: str, glob: str | None) -> DataFram
 def read_delimited(
     spark: SparkSession, path: str, glob: str, separator: str = ",", schema: t.StructType | None = None,
     text_col: str = "text", path_col: str | None = None,
-) -> DataFrame:
-    """Delimited files with a header. Files that are not valid UTF-8 are read as Latin-1.
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of delimited files with a header, and the quarantine ``(file, value)``.
 
-    The check is a distributed pass over the lines. Only when it finds such files is the
-    folder read a second time; each read keeps its own files by a join on the file name,
-    so no list of files passes through the driver. Rows with a blank text are skipped.
+    Files are cut into records by splits, so a large one is many tasks although quoted fields may hold
+    line breaks. Files that are not valid UTF-8 are read as Latin-1. Every file has its own header;
+    files with different ones are united by name. Rows with a wrong number of fields or with a blank
+    ``text_col`` go to the quarantine. Values are strings unless a schema, by position, says otherwise.
     """
-    lines = _reader(spark, glob).text(path).select("value", F.col("_metadata.file_path").alias("_file"))
-    other = lines.filter(~F.is_valid_utf8("value")).select("_file").distinct()
-    reader = _reader(spark, glob).option("header", "true").option("sep", separator).option("multiLine", "true").option("escape", '"')
-    reader = reader.schema(schema) if schema else reader
-
-    def read(encoding: str) -> DataFrame:
-        return _located(reader.option("encoding", encoding).csv(path), "_file")
-
-    df = read("UTF-8")
-    if not other.isEmpty():
-        latin = read("ISO-8859-1").join(other, "_file", "left_semi")
-        df = df.join(other, "_file", "left_anti").unionByName(latin, allowMissingColumns=True)
-    df = df.withColumnRenamed("_file", path_col) if path_col else df.drop("_file")
-    return df.filter(F.trim(text_col) != "") if text_col in df.columns else df
+    ensure_checkpoint_dir(spark)
+    lines = delimited_records(text_lines(spark, path, glob), separator)
+    value = F.regexp_replace("value", r"\r\z", "")
+    rows = lines.select("file", "item", F.when(F.col("item") == 1, F.regexp_replace(value, "\\A\ufeff", "")).otherwise(value).alias("value"))
+    headers = rows.filter("item = 1").select("file", F.col("value").alias("header")).checkpoint()
+    kept = [F.col("file").alias(path_col)] if path_col else []
+    good, bad = [], []
+    # As many as there are different headers.
+    for header in sorted(r.header for r in headers.select("header").distinct().collect()):
+        own = headers.filter(F.col("header") == header).select("file")
+        body = rows.filter("item > 1 AND value <> ''").join(broadcast_if_small(own), "file", "left_semi")
+        fields = list(schema.fields) if schema else [t.StructField(n, t.StringType()) for n in header_names(header, separator)]
+        kind = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in [*fields, t.StructField(CORRUPT, t.StringType())])
+        options = {"sep": separator, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "multiLine": "true"}
+        parsed = body.select("file", "value", F.from_csv("value", kind, options).alias("r"))
+        sound = F.col("r").isNotNull() & F.col(f"r.{CORRUPT}").isNull()
+        if any(f.name == text_col for f in fields):
+            sound = sound & (F.trim(F.col("r")[text_col].cast("string")) != "")
+        sound = F.coalesce(sound, F.lit(False))
+        good.append(parsed.filter(sound).select(*[F.col("r")[f.name].alias(f.name) for f in fields], *kept))
+        bad.append(parsed.filter(~sound).select("file", "value"))
+    if not good:
+        return spark.createDataFrame([], schema or t.StructType()), spark.createDataFrame([], QUARANTINE)
+    return union_by_name(*good), reduce(DataFrame.unionByName, bad)
+
+
+def header_names(header: str, separator: str) -> list[str]:
+    """Field names; a blank one is named by its place, a repeated one gets its place appended."""
+    names = next(csv.reader([header], delimiter=separator), [])
+    return [f"_c{i}" if not n else f"{n}{i}" if names.count(n) > 1 else n for i, n in enumerate(names)]
 
 
 def _open_arrow(content: bytes):

@@ -188,9 +188,11 @@ def write_rolling(df: DataFrame, path: str, extension: str = ".parquet", file_by
     write_records(df, path, extension, max_rows=limit)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str = "errorifexists") -> None:
-    """A table bucketed and sorted by key: two such tables join on it without a shuffle."""
-    df.repartition(buckets, key).write.mode(mode).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str = "errorifexists", path: str | None = None) -> None:
+    """A table bucketed and sorted by key: two such tables join on it without a shuffle. With a
+    ``path`` the files lie there, else in the warehouse."""
+    writer = df.repartition(buckets, key).write.mode(mode).bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def write_export(entries: DataFrame, path: str, fmt: str = "json") -> None:

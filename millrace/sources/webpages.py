@@ -13,8 +13,6 @@ from pyspark.sql.types import StringType
 
 from millrace.functions.language import choose_language
 
-MIN_PAGE_CHARS = 10
-LANGUAGE_CHARS = 250
 HIDDEN = {"head", "script", "style", "noscript", "template", "svg", "iframe"}
 BLOCKS = {"p", "div", "section", "article", "main", "header", "footer", "nav", "ul", "ol", "table", "form", "figure", "aside", "dl", "body"}
 MARKS = {"b": "**", "strong": "**", "i": "_", "em": "_", "code": "`", "del": "~~", "s": "~~"}
@@ -116,10 +114,10 @@ def html_to_markdown(html: pd.Series) -> pd.Series:
 
 
 def markdown_pages(pages: DataFrame, langs: list[str], html_col: str = "html") -> DataFrame:
-    """Pages with Markdown ``text`` and ``_lang`` from its beginning; very short pages are dropped."""
-    kept = pages.filter(F.length(html_col) >= MIN_PAGE_CHARS)
-    texts = kept.withColumn("text", html_to_markdown(html_col)).drop(html_col)
-    return texts.withColumn("_lang", choose_language(F.substring("text", 1, LANGUAGE_CHARS), langs))
+    """All pages with Markdown ``text`` and the ``_lang`` of the whole text. A page without html has a
+    null text; it and pages too short for the detector fall back to the first language."""
+    texts = pages.withColumn("text", html_to_markdown(html_col)).drop(html_col)
+    return texts.withColumn("_lang", choose_language(F.col("text"), langs))
 
 
 def gzip_members(content: bytes) -> Iterator[bytes]:

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -79,16 +80,34 @@ def test_components_match_union_find(spark, seed):
     assert got == brute_components(links)
 
 
-def test_minhash_estimates_jaccard(spark):
+def plain_signature(items):
+    codes = [int.from_bytes(hashlib.sha1(x.encode()).digest()[:4], "little") for x in items if x is not None]
+    return [min([(a * c + b) % 2**64 % (2**61 - 1) & 0xFFFFFFFF for c in codes], default=0xFFFFFFFF) for a, b in D.hash_family(128)]
+
+
+def test_minhash_in_columns_equals_whole_integers_and_estimates_jaccard(spark):
     base = [f"w{i}" for i in range(400)]
-    sets = [base, base[:300] + [f"v{i}" for i in range(100)], base[:100] + [f"u{i}" for i in range(300)]]
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "id int, items array<string>")
-    signed = {r.id: np.array(r.s) for r in df.select("id", D.minhash(F.col("items")).alias("s")).collect()}
+    sets = [base, base[:300] + [f"v{i}" for i in range(100)], base[:100] + [f"u{i}" for i in range(300)], [], None, [""], ["é" * 5000, None, "a"]]
+    df = spark.createDataFrame([(i % 6, s, "x") for i, s in enumerate(sets)], "id int, items array<string>, signature string").repartition(3)
+    out = D.minhash(df, F.col("items"), ["id"])
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r.id, r.signature) for r in out.collect())
+    assert rows == sorted((i % 6, plain_signature(s or [])) for i, s in enumerate(sets))
+    signed = {i: np.array(s) for i, s in enumerate(map(plain_signature, sets[:3]))}
     for i, j in itertools.combinations(range(3), 2):
         exact = len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j]))
         assert abs((signed[i] == signed[j]).mean() - exact) < 3 / 128**0.5
-    a, b = D.hash_family(128)
-    assert (D.signature_of(sets[0][::-1], a, b) == signed[0]).all()
+
+
+def test_links_are_verified_and_second_leaders_found(spark):
+    """One band for all: two groups of like records and loners meet in it, only like ones are linked."""
+    rng = random.Random(8)
+    kinds = [[rng.randrange(2**32) for _ in range(120)] for _ in range(2)]
+    rows = [(i, [7] * 8 + kinds[i % 2]) for i in range(0, 400)] + [(i, [7] * 8 + [rng.randrange(2**32) for _ in range(120)]) for i in range(400, 430)]
+    links = {(r.a, r.b) for r in D.verified_links(spark.createDataFrame(rows, "id long, signature array<long>"), "id", 0.8).collect()}
+    assert links and all(a % 2 == b % 2 and a < 400 for a, b in links)
+    assert len(brute_components([tuple(x) for x in links])) == 398
+    assert D.verified_links(spark.createDataFrame([], "id long, signature array<long>"), "id", 0.8).count() == 0
 
 
 def test_near_duplicates_find_edited_copies(spark):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from millrace.functions.chat_stats import chat_stats_of_turns
 from millrace.operators import catalog as K
 from millrace.operators import dedup as D
+from millrace.operators import relate as R
 from millrace.operators.recipe import training_table
 
 ROWS = 90_000
@@ -37,10 +38,18 @@ def test_a_huge_conversation_is_aggregated_not_collected(spark):
 
 def test_near_duplicate_links_stay_linear(spark):
     signatures = spark.range(3000).select("id", F.array_repeat(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")), 128).alias("signature"))
-    links = D.band_links(signatures, "id")
+    links = D.verified_links(signatures, "id", 0.8)
     assert links.count() == 999 and links.select("b").distinct().count() == 1
 
 
+def test_containment_with_a_prefix_common_to_all(spark):
+    """All right values begin alike; only whole ones that occur are joined."""
+    right = spark.range(2000).select(F.concat(F.lit("a-long-common-prefix-"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("name"), "id")
+    left = spark.range(3000).select(F.concat(F.lit("x/a-long-common-prefix-"), F.lpad((F.col("id") % 1500 * 2).cast("string"), 6, "0"), F.lit("/y")).alias("listed"))
+    joined = R.containment_join(left, "listed", right, "name")
+    assert joined.count() == 3000 and joined.filter("id is not null").count() == 2000
+
+
 def test_a_hot_source_is_sampled_and_repeated_whole(spark):
     rows = hot(spark).select("id", F.when(F.col("k") == 0, "big").otherwise("rest").alias("source"))
     mix = spark.createDataFrame([("big", 2.0), ("rest", 1.0)], "source string, replica double")

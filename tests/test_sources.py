@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators.standardize import standardize
+from millrace.operators.silo_store import Store, join_store, write_store
 from millrace.operators.stats_query import join_stats
 from millrace.sources import sinks as K
 from millrace.sources.listing import check_written, list_files
@@ -153,6 +154,25 @@ def test_bucketed_tables_join_without_moving_data(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_stored_silo_moves_no_text_and_splits_hot_ids(spark, tmp_path):
+    """A third of the records share one id: they lie in plain splits, the others in buckets."""
+    data = spark.range(900).selectExpr("sha2(cast(if(id % 3 = 0, 0, id) as string), 256) as _id_hash", "concat('text ', id) as text", "'d' as _subpath")
+    silo = data.select(F.col("_id_hash").alias("id")).distinct().select("id", F.length("id").alias("_length"), (F.crc32("id") % 100 - 30).alias("_word_count"))
+    store = Store("tried")
+    write_store(store, str(tmp_path), data, silo, buckets=4)
+    assert store.exists(spark) and spark.table("tried_data_hot").count() == 300 and spark.table("tried_data").count() == 600
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = join_store(spark, store, [("_word_count", ">", 0)], folder="x", keep=["_length"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "PushedFilters: [IsNotNull(_word_count), GreaterThan(_word_count,0)" in plan
+        want = join_stats(data, silo, filters=[("_word_count", ">", 0)], folder="x", keep=["_length"])
+        assert sorted(map(str, joined.collect())) == sorted(map(str, want.select(*joined.columns).collect())) and joined.count() > 400
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_json_safe_nested(spark):
     df = spark.sql("select array(cast('nan' as double), 1.5D) as a, named_struct('d', date'2024-01-02', 'n', 1.50) as s, map(1, X'41') as m")
     row = K.json_safe(df).first()
