@@ -1,12 +1,18 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every source gets a target number of words; a row of it should be taken ``target / size of its
-source`` times. The whole part of that is certain. The fractional parts are rounded together: two
-rows of a source exchange mass so that the words they stand for stay the same, in a random
-direction that keeps each row's expectation, until one of them is 0 or 1. What is left of each
-block of rows is one fractional row; these go on to the next level of the tree, until one row a
-source is left, which is rounded alone. So a source is off its target by less than the size of one
-row, and each row is taken whole-part or whole-part plus one times.
+source`` times. The whole part of that is certain. The fractional parts are rounded together:
+rows exchange mass so that the words they stand for stay the same, in a random direction that keeps
+each row's expectation, until one of them is 0 or 1.
+
+Rows are settled from the largest to the smallest, each against a pool of the next smaller ones
+that move together, so what stays fractional at the end is a small row and a source comes near its
+target. What is left of each block of rows is one fractional row; these go on to the next level of
+the tree, until one row a source is left, which is rounded alone. Rows that are larger than what the
+pool of a block can move are settled before, against the whole rest of their source: only one
+number comes back to the blocks, how far all fractions of the source are shifted. Where the words of a
+large row cannot be made up for in one of the two directions, it goes the other way: the target
+comes before the odds. Each row is taken whole-part or whole-part plus one times.
 
 Blocks are dealt by a hash of the row, so a source with a third of all rows is as many blocks as
 others of its size together; every task holds one block of bounded size. All random draws are
@@ -16,6 +22,7 @@ hashes of row keys and the seed: reruns and recomputed partitions agree.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +35,14 @@ from millrace.llm.stage import stored
 WEIGHTS = (5, 2, 1)
 CAP = 3.0
 BLOCK_ROWS = 4096
-STATE = "source string, key long, tie long, row long, size long, p double, chosen long"
+#: A source has no more shares of its pool than this; rows beyond a share are settled before.
+POOL_SHARES = 256
+POOL_ROWS = 64
+#: The number that the draws of large rows take in place of a level of the tree.
+LARGE_LEVEL = 999_999
+COLUMNS = ["source", "key", "tie", "row", "size"]
+STATE = "source string, key long, tie long, row long, size long, blocks long, p double, chosen long"
+LARGE = "source string, key long, tie long, row long, chosen long, shift double"
 
 
 def word_count(text: Column) -> Column:
@@ -69,53 +83,89 @@ def draws(key: np.ndarray, level: int, seed: int) -> np.ndarray:
     return (W.mix(np.ascontiguousarray(key).view(np.uint64) ^ salt) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def exchange(p: list[float], size: list[float], u: list[float]) -> int | None:
-    """Round ``p`` in place by pairs; the place of the row that stays fractional, or None.
+def exchange(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> int | None:
+    """Round ``p`` in place, rows by falling size; the place of a row that stays fractional, or None.
 
-    ``size * p`` of a pair is kept, and so is each expectation: of the two ends of the possible
-    move one is drawn with odds inverse to its distance.
+    A row goes to 1 with odds ``p``, else to 0, and the pool of the next fractional rows takes or
+    gives its words: every pool row moves by the same share of its distance to the nearer end, so
+    words and all expectations are kept. If all later rows together cannot move that far, they move
+    by what they have in the direction that is possible, or that comes closer.
     """
-    left = None
     for i in range(len(p)):
-        if not 0.0 < p[i] < 1.0:
+        a, s = p[i], size[i]
+        if not 0.0 < a < 1.0:
             continue
-        if left is None:
-            left = i
-            continue
-        a, b, sa, sb = p[left], p[i], size[left], size[i]
-        to_one, to_zero = (1.0 - a) * sa, a * sa  # words until the left row is integral
-        from_zero, from_one = b * sb, (1.0 - b) * sb  # and until the right one is
-        up, down = min(to_one, from_zero), min(to_zero, from_one)
-        if u[i] * (up + down) < down:
-            p[left] = 1.0 if up == to_one else a + up / sa
-            p[i] = 0.0 if up == from_zero else b - up / sb
+        gain, loss = (1.0 - a) * s, a * s  # words of the row at 1 and at 0
+        pool, moved, reach = np.empty(0, np.int64), 0.0, i + 1
+        while moved < max(gain, loss) and reach < len(p):
+            later = np.arange(reach, min(reach + POOL_ROWS, len(p)))
+            later = later[(p[later] > 0.0) & (p[later] < 1.0)]
+            pool, reach = np.concatenate((pool, later)), reach + POOL_ROWS
+            moved = float((size[pool] * np.minimum(p[pool], 1.0 - p[pool])).sum())
+        if not len(pool):
+            return i
+        own, words = p[pool], size[pool]
+        if moved >= max(gain, loss):
+            up = u[i] < a
+            step = -gain / moved if up else loss / moved
+            p[pool] = own + step * np.minimum(own, 1.0 - own)
         else:
-            p[left] = 0.0 if down == to_zero else a - down / sa
-            p[i] = 1.0 if down == from_one else b + down / sb
-        if not 0.0 < p[left] < 1.0:
-            left = i if 0.0 < p[i] < 1.0 else None
-    return left
+            give, take = float((words * own).sum()), float((words * (1.0 - own)).sum())
+            possible = give >= gain, take >= loss
+            up = u[i] < a if all(possible) else possible[0] if any(possible) else gain - give < loss - take
+            p[pool] = own * (1.0 - min(1.0, gain / give)) if up else own + (1.0 - own) * min(1.0, loss / take)
+        p[i] = float(up)
+        np.clip(p, 0.0, 1.0, out=p)
+    return None
+
+
+def row_keys(block: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """One key a row; the rows of equal key, tie and row do not occur."""
+    key, tie, row = (np.asarray(block[c]) for c in ("key", "tie", "row"))
+    return key ^ tie ^ W.mix(row).view(np.int64)
 
 
-def rounding_step(level: int, last: bool, seed: int):
+def rounding_step(level: int, seed: int):
     """Arrow function over one block: settled rows get ``chosen`` 0 or 1, the residual none."""
 
     def step(block: pa.Table) -> pa.Table:
-        # Neighbours of like size exchange mass, so moves stay small. Equal rows are interchangeable.
         block = block.sort_by([("size", "descending"), ("key", "ascending"), ("tie", "ascending"), ("row", "ascending")])
-        p = block["p"].to_pylist()
-        keys = block["key"].to_numpy() ^ block["tie"].to_numpy() ^ W.mix(block["row"].to_numpy()).view(np.int64)
-        left = exchange(p, [float(x) for x in block["size"].to_pylist()], draws(keys, 2 * level, seed).tolist())
-        if left is not None and last:
-            p[left] = 1.0 if draws(keys[left : left + 1], 2 * level + 1, seed)[0] < p[left] else 0.0
+        p, keys = block["p"].to_numpy().copy(), row_keys(block)
+        left = exchange(p, block["size"].to_numpy().astype(np.float64), draws(keys, 2 * level, seed))
+        if left is not None and block["blocks"][0].as_py() == 1:
+            p[left] = float(draws(keys[left : left + 1], 2 * level + 1, seed)[0] < p[left])
             left = None
-        chosen = [int(x) if i != left else None for i, x in enumerate(p)]
-        columns = [block[c] for c in ("source", "key", "tie", "row", "size")]
-        return pa.table([*columns, pa.array(p, pa.float64()), pa.array(chosen, pa.int64())], names=["source", "key", "tie", "row", "size", "p", "chosen"])
+        chosen = [int(x) if i != left else None for i, x in enumerate(p.tolist())]
+        columns = [block[c] for c in (*COLUMNS, "blocks")]
+        return pa.table([*columns, pa.array(p, pa.float64()), pa.array(chosen, pa.int64())], names=[*COLUMNS, "blocks", "p", "chosen"])
 
     return step
 
 
+def settle_large(seed: int):
+    """Arrow function over the large rows of whole sources, by falling size: ``chosen`` of each, and
+    the shift of the source's pool so far. A shift of 1 moves every pool row by its distance to the
+    nearer end. Nothing is held but the words that are owed."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, owed = object(), 0.0
+        for batch in batches:
+            sources, size, p, moved = (batch[c].to_pylist() for c in ("source", "size", "p", "moved"))
+            chosen, shifts = [], []
+            for s, n, a, w, u in zip(sources, size, p, moved, draws(row_keys(batch), LARGE_LEVEL, seed).tolist()):
+                if s != source:
+                    source, owed = s, 0.0
+                up, down = owed + (1.0 - a) * n, owed - a * n
+                taken = u < a if max(abs(up), abs(down)) <= w else abs(up) < abs(down)
+                owed = up if taken else down
+                chosen.append(int(taken))
+                shifts.append(-max(-1.0, min(1.0, owed / w)) if w > 0 else 0.0)
+            columns = [batch[c] for c in COLUMNS[:-1]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(chosen, pa.int64()), pa.array(shifts, pa.float64())], names=[*COLUMNS[:-1], "chosen", "shift"])
+
+    return go
+
+
 def numbered(df: DataFrame, count: str, row: str, span: int = 1 << 16) -> DataFrame:
     """Each row ``count`` times with the numbers from 1 in ``row``; arrays stay below ``span``."""
     high = df.withColumn("_high", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / span))))
@@ -123,22 +173,50 @@ def numbered(df: DataFrame, count: str, row: str, span: int = 1 << 16) -> DataFr
     return high.withColumn(row, F.explode(F.sequence(first, end))).drop("_high")
 
 
+def distance() -> Column:
+    """Words a row can move in either direction."""
+    return F.col("size") * F.least(F.col("p"), 1 - F.col("p"))
+
+
+def without_large(rows: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Fractional rows less the large ones of sources of several blocks, with their fractions shifted;
+    and ``(key, tie, row, chosen)`` of the large ones."""
+    per_source = rows.filter("blocks > 1").groupBy("source").agg((F.sum(distance()) / F.least(F.max("blocks"), F.lit(POOL_SHARES))).alias("share"))
+    of = per_source.withColumnRenamed("source", "of")
+    marked = rows.join(of, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("large", F.coalesce(F.col("size") > F.col("share"), F.lit(False)))
+    marked = stored(marked.drop("of", "share"), "marked")
+    pools = marked.filter("NOT large").groupBy(F.col("source").alias("of")).agg(F.sum(distance()).alias("moved"))
+    large = marked.filter("large").join(pools, F.col("source").eqNullSafe(F.col("of")), "left").select(*COLUMNS, "p", F.coalesce("moved", F.lit(0.0)).alias("moved"))
+    in_order = large.repartition("source").sortWithinPartitions("source", F.desc("size"), "key", "tie", "row")
+    settled = stored(in_order.select(*COLUMNS, "p", "moved").mapInArrow(settle_large(seed), LARGE), "large")
+    # The last shift of a source is that of its smallest large row, which came last.
+    ends = settled.join(large.select("key", "tie", "row", "size"), ["key", "tie", "row"])
+    least = F.struct((-F.col("size")).alias("size"), "key", "tie", "row")
+    shifts = ends.groupBy(F.col("source").alias("of")).agg(F.max_by("shift", least).alias("shift"))
+    near = F.least(F.col("p"), 1 - F.col("p"))
+    rest = marked.filter("NOT large").join(shifts, F.col("source").eqNullSafe(F.col("of")), "left")
+    moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") + F.coalesce("shift", F.lit(0.0)) * near))
+    return rest.withColumn("p", moved).select(*COLUMNS, "blocks", "p"), settled.select("key", "tie", "row", "chosen")
+
+
 def rounded(rows: DataFrame, most: int, block_rows: int = BLOCK_ROWS, seed: int = 0) -> DataFrame:
-    """``(key, tie, row, chosen)`` of fractional rows (``source, key, tie, row, size, p``); ``most``
-    is the number of rows of the largest source."""
+    """``(key, tie, row, chosen)`` of fractional rows (``source, key, tie, row, size, blocks, p``);
+    ``blocks`` is the number of blocks of the row's source, ``most`` that of the largest one."""
     done, level = None, 0
+    if most > 1:
+        rows, done = without_large(rows, seed)
     rows = rows.withColumn("chosen", F.lit(None).cast("long"))
     while True:
-        blocks = max(1, math.ceil(most / block_rows))
-        last = blocks == 1
-        dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "key", "tie", "row"), F.lit(blocks)))
-        step = dealt.groupBy("source", "block").applyInArrow(rounding_step(level, last, seed), STATE)
-        settled = step if last else stored(step, f"rounding-{level}")
+        dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "key", "tie", "row"), F.col("blocks")))
+        step = dealt.groupBy("source", "block").applyInArrow(rounding_step(level, seed), STATE)
+        settled = step if most == 1 else stored(step, f"rounding-{level}")
         part = settled.filter("chosen IS NOT NULL").select("key", "tie", "row", "chosen")
         done = part if done is None else done.unionByName(part)
-        if last:
+        if most == 1:
             return done
-        rows, most, level = settled.filter("chosen IS NULL"), blocks, level + 1
+        # A block leaves one row at most.
+        rows = settled.filter("chosen IS NULL").withColumn("blocks", F.ceil(F.col("blocks") / block_rows))
+        most, level = math.ceil(most / block_rows), level + 1
 
 
 def mix(
@@ -162,15 +240,16 @@ def mix(
     sized = stored(slim.groupBy("id", "source", "key", "tie").agg(F.first("size").alias("size"), F.count("*").alias("same")), "sizes")
     totals = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("same")).alias("source_size"), F.sum("same").alias("rows"))
     targets = source_targets(totals.select("source", "source_size"), weights, cap)
-    largest = totals.agg(F.max("rows")).first()[0] or 0
+    targets = targets.join(totals.select(F.col("source").alias("of"), F.ceil(F.col("rows") / block_rows).alias("blocks")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    most = totals.agg(F.ceil(F.max("rows") / block_rows)).first()[0] or 1
     rows = numbered(sized, "same", "row")
     # One row a source; whether it is small enough to broadcast is left to adaptive execution.
     renamed = targets.withColumnRenamed("source", "target_source")
     rows = rows.join(renamed, F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source")
     rate = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = stored(rows.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole")), "rates")
-    part = rows.filter("p > 0").select("source", "key", "tie", "row", "size", "p")
-    extra = rounded(part, largest, block_rows, seed).withColumnRenamed("chosen", "extra")
+    part = rows.filter("p > 0").select(*COLUMNS, "blocks", "p")
+    extra = rounded(part, most, block_rows, seed).withColumnRenamed("chosen", "extra")
     out = rows.join(extra, ["key", "tie", "row"], "left")
     copies = F.col("whole") + F.coalesce("extra", F.lit(0))
     return out.select(
