@@ -13,7 +13,6 @@ Records are rows; the work is one projection without a shuffle.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import json
 import re
@@ -31,6 +30,10 @@ from millrace.llm.wrapper_induction import NO_TEXT
 
 END = b"\r\n\r\n"
 CHARSET = re.compile(r"""charset\s*=\s*["']?([A-Za-z0-9_.:\-]+)""", re.I)
+HEXADECIMAL = re.compile(rb"[0-9A-Fa-f]+")
+GZIP_MAGIC = b"\x1f\x8b"
+#: Compressed content beyond so many bytes is not unpacked.
+CONTENT_BYTES = 1 << 28
 LINK_ATTRIBUTES = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "source": "src", "form": "action"}
 
 FIELDS = ("type", "record_id", "refers_to", "concurrent_to", "target_uri", "date", "content_type", "block_digest", "source_payload_digest")
@@ -71,29 +74,54 @@ def derived_id(source: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{source} {kind}')}>"
 
 
-def unpacked(body: bytes, http: list[tuple[str, str]]) -> tuple[bytes, bytes]:
-    """The payload as sent (chunks joined) and as decoded content."""
+def joined_chunks(body: bytes) -> bytes:
+    """The data of a chunked body, as far as its chunk sizes are hexadecimal numbers; a body that
+    does not begin with one is taken as it is."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        if not HEXADECIMAL.fullmatch(size):
+            break
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out) or body
+
+
+class TooLarge(ValueError):
+    pass
+
+
+def inflated(data: bytes, wbits: int, limit: int) -> bytes:
+    """Decompressed members one after the other, never more than ``limit`` bytes."""
+    out, room, first = [], limit, True
+    while data and (first or data[:2] == GZIP_MAGIC):
+        stream = zlib.decompressobj(wbits)
+        out.append(stream.decompress(data, room + 1))
+        room -= len(out[-1])
+        if room < 0:
+            raise TooLarge
+        if not stream.eof:
+            raise EOFError
+        data, first = stream.unused_data, False
+    return b"".join(out)
+
+
+def unpacked(body: bytes, http: list[tuple[str, str]], limit: int) -> tuple[bytes, bytes]:
+    """The payload as sent (chunks joined) and as decoded content, which is empty if it is broken.
+    :class:`TooLarge` if the content has more than ``limit`` bytes."""
     if "chunked" in (get(http, "transfer-encoding") or "").lower():
-        out, at = [], 0
-        while (end := body.find(b"\r\n", at)) >= 0:
-            try:
-                size = int(body[at:end].split(b";")[0], 16)
-            except ValueError:
-                break
-            if not size:
-                break
-            out.append(body[end + 2 : end + 2 + size])
-            at = end + 2 + size + 2
-        body = b"".join(out) or body
+        body = joined_chunks(body)
     coding = (get(http, "content-encoding") or "").lower()
+    wbits = 31 if "gzip" in coding else 15 if "deflate" in coding else None
+    if wbits is None:
+        return body, body
     try:
-        if "gzip" in coding:
-            return body, gzip.decompress(body)
-        if "deflate" in coding:
-            return body, zlib.decompress(body)
-    except (OSError, EOFError, zlib.error):
+        return body, inflated(body, wbits, limit)
+    except (EOFError, zlib.error):
         return body, b""
-    return body, body
 
 
 def decoded(content: bytes, content_type: str) -> tuple[str, str]:
@@ -126,7 +154,7 @@ def page_facts(source: str, target: str | None) -> tuple[str, str | None, list[d
     return "\n".join(line for line in lines if line), title or None, links
 
 
-def derivatives_of(record: bytes | None) -> list[dict]:
+def derivatives_of(record: bytes | None, content_bytes: int = CONTENT_BYTES) -> list[dict]:
     """Metadata and conversion record of one response; nothing for other record types; one row with
     the ``problem`` for bytes that are no record."""
     problem = dict.fromkeys(DERIVATIVE.names)
@@ -146,7 +174,10 @@ def derivatives_of(record: bytes | None) -> list[dict]:
         return [problem | {"problem": "truncated", "refers_to": source_id, "target_uri": target}]
     http_head, _, body = block[: int(length)].partition(END)
     http, status = headers_of(http_head), http_head.split(b"\r\n")[0].decode("latin-1")
-    sent, content = unpacked(body, http)
+    try:
+        sent, content = unpacked(body, http, content_bytes)
+    except TooLarge:
+        return [problem | {"problem": "content too large", "refers_to": source_id, "target_uri": target}]
     content_type = get(http, "content-type") or ""
     digest = get(source, "WARC-Payload-Digest")
     # Digests of other algorithms or spellings cannot be compared.
@@ -186,21 +217,23 @@ ARROW = pa.list_(pa.struct(
 ))
 
 
-def derivatives(record: Column) -> Column:
+def derivatives(record: Column, content_bytes: int = CONTENT_BYTES) -> Column:
     """``array<struct>`` of the records derived from one record (see ``DERIVATIVE``)."""
 
     @F.arrow_udf(T.ArrayType(DERIVATIVE))
     def built(column: pa.Array) -> pa.Array:
-        return pa.array([derivatives_of(x.as_py()) for x in column], ARROW)
+        return pa.array([derivatives_of(x.as_py(), content_bytes) for x in column], ARROW)
 
     return built(record)
 
 
-def build_derivatives(records: DataFrame, record_col: str = "record") -> DataFrame:
-    """One row per derived record of a frame of WARC records. Null and unreadable records give a row
-    with a ``problem`` and no type; records that are no responses give none. Equal records give
+def build_derivatives(records: DataFrame, record_col: str = "record", content_bytes: int = CONTENT_BYTES) -> DataFrame:
+    """One row per derived record of a frame of WARC records. Null and unreadable records, and those
+    whose compressed content has more than ``content_bytes`` bytes, give a row with a ``problem`` and
+    no type; records that are no responses give none. Chunks count up to the first size that is no
+    hexadecimal number. Equal records give
     equal derivatives; an empty frame gives an empty one; other columns are not read."""
-    return records.select(F.explode(derivatives(F.col(f"`{record_col}`"))).alias("d")).select("d.*")
+    return records.select(F.explode(derivatives(F.col(f"`{record_col}`"), content_bytes)).alias("d")).select("d.*")
 
 
 def responses(key: Column, url: Column, page: Column, seconds: Column) -> Column:

@@ -1,6 +1,7 @@
 import glob
 import gzip
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -43,6 +44,39 @@ def test_codings_types_and_broken_records():
     assert D.derivatives_of(b"WARC/1.0\r\nWARC-Type: request\r\nWARC-Record-ID: <a>\r\nContent-Length: 0\r\n\r\n") == []
 
 
+def plain_chunks(body):
+    """Byte by byte: a size line, that many bytes, two bytes of line end, and so on."""
+    out, rest, any_chunk = b"", body, False
+    while True:
+        line, sep, after = rest.partition(b"\r\n")
+        digits = line.split(b";")[0].strip().decode("latin-1")
+        if not sep or not digits or any(c not in "0123456789abcdefABCDEF" for c in digits):
+            return out if out else body
+        n = int(digits, 16)
+        if n == 0:
+            return out
+        out, rest = out + after[:n], after[n + 2 :]
+
+
+def test_chunks_match_a_plain_reader():
+    rng = random.Random(6)
+    sizes = [b"-6", b"+5", b"1_0", b"", b"0", b"5", b"A", b"1;x=y", b" 3 ", b"ffffffffff", b"0x5", b"\xd9\xa3"]
+    for _ in range(3000):
+        body = b"".join(rng.choice(sizes) + rng.choice([b"\r\n", b"\n"]) + b"abcdefghij"[: rng.randrange(11)] + b"\r\n" for _ in range(rng.randrange(5)))
+        assert D.joined_chunks(body) == plain_chunks(body)
+
+
+def test_content_is_unpacked_up_to_a_bound():
+    several = gzip.compress(b"one ") + gzip.compress(b"two") + b"\0\0"
+    head = b"Content-Type: text/plain\r\nContent-Encoding: gzip"
+    assert D.derivatives_of(response(several, head))[1]["record"].endswith(b"\r\n\r\none two")
+    assert D.derivatives_of(response(several, head), 7)[1]["problem"] is None
+    (row,) = D.derivatives_of(response(gzip.compress(bytes(10_000_000)), head), 1000)
+    assert (row["problem"], row["refers_to"], row["type"]) == ("content too large", "<urn:uuid:1>", None)
+    for broken in (several[:20], b"no gzip", b""):
+        assert D.derivatives_of(response(broken, head))[1]["content_length"] == 0
+
+
 def test_pages_to_files_and_back(spark, tmp_path):
     rows = [(1, "http://a/", PAGE), (1, "http://a/", PAGE), (None, None, None), (2, "x", "")]
     made = D.build_derivatives(D.page_responses(spark.createDataFrame(rows, "page_id long, url string, html string")))
