@@ -5,8 +5,9 @@ searched for the keywords; only the rules of keywords that occur are run. Detect
 in order of priority: one that lies inside the interval of a stronger one is dropped. Phrases of
 the base rule are found apart from that and always stay.
 
-Rules are built from short tables by a few templates (tag, address, grant, named version, name),
-so that a new license is one line.
+Rules are written as short tables; names, versions and identifiers go through a few templates (tag,
+address, grant, named version, name), so that a new license is one line. A version is always spelled
+with its minor number in labels. Identifiers are found anywhere in a compound SPDX expression.
 """
 
 from __future__ import annotations
@@ -44,11 +45,11 @@ BASE_WEIGHT = 0.7
 # label, keyword, name pattern, versions ("" for none), tag stem
 FAMILIES = (
     ("gpl", "general public", r"(?:gnu )?general public licen[cs]e", "1.0 2.0 3.0", "gpl"),
-    ("gpl", "gpl", r"(?:gnu )?gpl", "1 2 3", ""),
+    ("gpl", "gpl", r"(?:gnu )?gpl", "1.0 2.0 3.0", ""),
     ("lgpl", "general public", r"(?:gnu )?(?:lesser|library) general public licen[cs]e", "2.0 2.1 3.0", "lgpl"),
-    ("lgpl", "lgpl", r"(?:gnu )?lgpl", "2 2.1 3", ""),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl", "2.0 2.1 3.0", ""),
     ("agpl", "affero", r"(?:gnu )?affero general public licen[cs]e", "1.0 3.0", "agpl"),
-    ("agpl", "agpl", r"(?:gnu )?agpl", "3", ""),
+    ("agpl", "agpl", r"(?:gnu )?agpl", "3.0", ""),
     ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[cs]e", "1.1 1.2 1.3", "gfdl"),
     ("apache", "apache", r"apache (?:software )?licen[cs]e", "1.0 1.1 2.0", "apache"),
     ("mit", "mit", r"mit licen[cs]e", "", "mit"),
@@ -69,7 +70,7 @@ FAMILIES = (
     ("zlib", "zlib", r"zlib(?:/libpng)? licen[cs]e", "", "zlib"),
     ("boost", "boost software", r"boost software licen[cs]e", "1.0", "bsl"),
     ("unlicense", "unlicense", r"the unlicense", "", "unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl", "2", "wtfpl"),
+    ("wtfpl", "wtfpl", r"wtfpl", "2.0", "wtfpl"),
     ("ofl", "open font", r"(?:sil )?open font licen[cs]e", "1.0 1.1", "ofl"),
     ("osl", "open software", r"open software licen[cs]e", "1.0 2.0 2.1 3.0", "osl"),
     ("afl", "academic free", r"academic free licen[cs]e", "1.1 1.2 2.0 2.1 3.0", "afl"),
@@ -88,9 +89,9 @@ FAMILIES = (
     ("vim", "vim", r"vim licen[cs]e", "", "vim"),
     ("qpl", "q public", r"q public licen[cs]e", "1.0", "qpl"),
     ("upl", "universal permissive", r"universal permissive licen[cs]e", "1.0", "upl"),
-    ("mulan", "mulan", r"mulan permissive software licen[cs]e", "1 2", "mulanpsl"),
+    ("mulan", "mulan", r"mulan permissive software licen[cs]e", "1.0 2.0", "mulanpsl"),
     ("cecill", "cecill", r"cecill(?:-[bc])?(?: licen[cs]e)?", "1.0 2.0 2.1", "cecill"),
-    ("ssl-sspl", "server side public", r"server side public licen[cs]e", "1", "sspl"),
+    ("sspl", "server side public", r"server side public licen[cs]e", "1.0", "sspl"),
     ("busl", "business source", r"business source licen[cs]e", "1.1", "busl"),
     ("elastic", "elastic", r"elastic licen[cs]e", "2.0", "elastic"),
     ("openrail", "openrail", r"(?:bigscience )?openrail(?:-m)?(?: licen[cs]e)?", "", ""),
@@ -100,14 +101,50 @@ CC_PARTS = ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")
 CC_WORDS = {"by": "attribution", "sa": "share-?alike", "nd": "no-?deriv(?:ative)?s", "nc": "non-?commercial"}
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 
+# Short spellings that name a license only together with a version.
+# label, keyword, name pattern, versions
+SHORT_NAMES = (
+    ("apache", "apache", r"apache", "1.0 1.1 2.0"),
+    ("mpl", "mpl", r"mpl", "1.0 1.1 2.0"),
+    ("epl", "epl", r"epl", "1.0 2.0"),
+    ("cddl", "cddl", r"cddl", "1.0 1.1"),
+    ("eupl", "eupl", r"eupl", "1.0 1.1 1.2"),
+    ("gfdl", "gfdl", r"(?:gnu )?g?fdl", "1.1 1.2 1.3"),
+    ("ofl", "ofl", r"(?:sil )?ofl", "1.0 1.1"),
+    ("boost", "bsl", r"bsl", "1.0"),
+    ("busl", "bsl", r"bu?sl", "1.1"),
+)
+
 # label, keyword, characteristic sentence
 TEXTS = (
     ("mit", "permission is hereby granted", r"permission is hereby granted,? free of charge,? to any person obtaining a copy of this software"),
     ("isc", "permission to use", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee"),
+    ("mit", "without restriction", r"to deal in the software without restriction,? including without limitation the rights to use"),
+    ("mit", "substantial portions", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("isc", "permission to use", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice"),
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms,? with or without modification"),
-    ("gpl", "free software", r"you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e"),
-    ("lgpl", "free software", r"you can redistribute it and/or modify it under the terms of the gnu lesser general public licen[cs]e"),
-    ("agpl", "free software", r"you can redistribute it and/or modify it under the terms of the gnu affero general public licen[cs]e"),
+    ("bsd", "redistributions of source", r"redistributions of source code must retain the (?:above )?copyright notice,? this list of conditions"),
+    ("bsd", "redistributions in binary", r"redistributions in binary form must reproduce the (?:above )?copyright notice,? this list of conditions"),
+    ("bsd-3-clause", "endorse or promote", r"may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd", "copyright holders and contributors", r"this software is provided by the copyright holders and contributors (?:\"as is\"|''as is''|``as is'')"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("epl", "eclipse public", r"made available under the terms of the eclipse public licen[cs]e"),
+    ("epl", "acceptance of this agreement", r"any use, reproduction or distribution of the program constitutes recipient's acceptance of this agreement"),
+    ("mpl", "source code form", r"this source code form is subject to the terms of the mozilla public licen[cs]e"),
+    ("mpl", "mpl was not", r"if a copy of the mpl was not distributed with this file"),
+    ("cddl", "common development", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("gpl", "general public", r"everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document"),
+    ("gfdl", "free documentation", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation licen[cs]e"),
+    ("apache", "apache", r"terms and conditions for use, reproduction,? and distribution"),
+    ("cc", "creative commons", r"creative commons corporation is not a law firm"),
+    ("cc", "licensed rights", r"by exercising the licensed rights \(defined below\),? you accept and agree to be bound"),
+    ("odbl", "open database", r"this database is made available under the open database licen[cs]e"),
+    ("ofl", "reserved font", r"no modified version of the font software may use the reserved font name"),
+    ("wtfpl", "do what the", r"you just do what the f\W?\w+ you want to"),
+    ("gpl", "redistribute it", r"you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e"),
+    ("lgpl", "redistribute it", r"you can redistribute it and/or modify it under the terms of the gnu lesser general public licen[cs]e"),
+    ("agpl", "redistribute it", r"you can redistribute it and/or modify it under the terms of the gnu affero general public licen[cs]e"),
     ("apache", "you may not use this file", r"you may not use this file except in compliance with the licen[cs]e"),
     ("mpl", "mozilla public", r"subject to the terms of the mozilla public licen[cs]e"),
     ("zlib", "altered source", r"altered source versions must be plainly marked as such"),
@@ -161,30 +198,39 @@ class Rule:
         return PRIORITY[self.kind]
 
 
+#: What a blank in a pattern stands for: white space, hyphens and the frames of comments.
+BLANK = r"(?:[\s\-*/#;%>|]{1,24})"
+
+
 def rule(label: str, kind: str, keyword: str, pattern: str) -> Rule:
-    """Spaces in a pattern stand for bounded white space; a match begins and ends at word limits."""
-    body = pattern.replace(" ", r"[\s\-]{1,8}")
+    """A match begins and ends at word limits. A group named ``id`` is what counts as the place."""
+    body = pattern.replace(" ", BLANK)
     return Rule(label, kind, keyword.encode(), re.compile(rf"(?<!{WORD}){body}(?!{WORD})".encode("latin-1")))
 
 
 def version_pattern(version: str) -> str:
     number = re.escape(version).replace(r"\.0", r"(?:\.0)?") if version.endswith(".0") else re.escape(version)
-    return rf"(?:,? ?(?:version|ver\.?|v\.?))? ?{number}(?:\+| or later)?"
+    return rf"(?:,? ?(?:version|ver\.?|v\.?))? ?{number}(?:\+| or later)?(?!\.?[0-9])"
+
+
+def tag(identifier: str) -> str:
+    """An identifier anywhere in the expression after an SPDX label; at most eight stand before it."""
+    return rf"spdx-licen[cs]e-identifier: ?(?:\(*[\w.+\-]+\)* (?:or|and|with) ){{0,8}}\(*(?P<id>{identifier})"
 
 
 @lru_cache(maxsize=1)
 def default_rules() -> tuple[Rule, ...]:
     """The expanded rules, strongest first; equal priorities keep the order of the tables."""
     out = []
-    for label, keyword, name, versions, tag in FAMILIES:
+    for label, keyword, name, versions, stem in FAMILIES:
         for version in versions.split():
             named = f"{label}-{version}"
             out.append(rule(named, "version", keyword, name + version_pattern(version)))
             out.append(rule(named, "grant", keyword, rf"licen[cs]ed under (?:the )?(?:terms of the )?{name}{version_pattern(version)}"))
-            if tag:
-                out.append(rule(named, "tag", "spdx-licen", rf"spdx-licen[cs]e-identifier: {tag}-{re.escape(version)}(?:-only|-or-later)?"))
-        if tag and not versions:
-            out.append(rule(label, "tag", "spdx-licen", rf"spdx-licen[cs]e-identifier: {tag}"))
+            if stem:
+                out.append(rule(named, "tag", "spdx-licen", tag(rf"{stem}-{re.escape(version)}(?:-only|-or-later|\+)?")))
+        if stem and not versions:
+            out.append(rule(label, "tag", "spdx-licen", tag(stem)))
         out.append(rule(label, "grant", keyword, rf"licen[cs]ed under (?:the )?(?:terms of the )?{name}"))
         out.append(rule(label, "name", keyword, name))
     for parts in CC_PARTS:
@@ -192,13 +238,15 @@ def default_rules() -> tuple[Rule, ...]:
         short = r"[\s\-]?".join(parts.split("-"))
         for version in CC_VERSIONS:
             label = f"cc-{parts}-{version}"
-            out.append(rule(label, "tag", "spdx-licen", rf"spdx-licen[cs]e-identifier: cc-{parts}-{re.escape(version)}"))
+            out.append(rule(label, "tag", "spdx-licen", tag(rf"cc-{parts}-{re.escape(version)}")))
             out.append(rule(label, "address", "creativecommons.org", rf"creativecommons\.org/licen[cs]es/{parts}/{re.escape(version)}"))
             out.append(rule(label, "version", "cc", rf"cc[\s\-]{short}[\s\-]{re.escape(version)}"))
             out.append(rule(label, "version", "creative commons", rf"creative commons {spelled} {re.escape(version)}"))
         out.append(rule(f"cc-{parts}", "address", "creativecommons.org", rf"creativecommons\.org/licen[cs]es/{parts}"))
         out.append(rule(f"cc-{parts}", "name", "cc", rf"cc[\s\-]{short}"))
         out.append(rule(f"cc-{parts}", "name", "creative commons", rf"creative commons {spelled}"))
+    for label, keyword, name, versions in SHORT_NAMES:
+        out += [rule(f"{label}-{v}", "version", keyword, name + version_pattern(v)) for v in versions.split()]
     out += [rule(label, "text", keyword, pattern) for label, keyword, pattern in TEXTS]
     out += [rule(label, "address", keyword, pattern) for label, keyword, pattern in ADDRESSES]
     out += [rule(label, "notice", keyword, pattern) for label, keyword, pattern in NOTICES]
@@ -217,7 +265,7 @@ def detections(text: bytes, rules: tuple[Rule, ...], by_keyword: dict[tuple[byte
     """``(start, end, rule)`` that no stronger detection contains. Of equal priorities the longer
     one counts as stronger, then the earlier rule."""
     wanted = sorted(i for words, own in by_keyword.items() if all(w in text for w in words) for i in own)
-    found = [(m.start(), m.end(), i) for i in wanted for m in rules[i].pattern.finditer(text)]
+    found = [(*m.span("id" if rules[i].kind == "tag" else 0), i) for i in wanted for m in rules[i].pattern.finditer(text)]
     found.sort(key=lambda x: (-rules[x[2]].priority, x[0] - x[1], x[0], x[2]))
     kept: list[tuple[int, int, Rule]] = []
     for start, end, i in suppressed(found):
@@ -299,4 +347,4 @@ def licenses(text: Column, rules: tuple[Rule, ...] | None = None) -> Column:
 
 def with_licenses(df: DataFrame, text_col: str = "text", out: str = "license", rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """All rows and columns of ``df`` and the struct ``out``; a column of that name is replaced."""
-    return df.withColumn(out, licenses(F.col(text_col), rules))
+    return df.withColumn(out, licenses(F.col(f"`{text_col}`"), rules))

@@ -35,6 +35,35 @@ def test_base_places_match_plain_search(spark):
     assert got[13].labels == "cc-by-sa-4.0" and got[14].labels == "mit" and got[0].score == 0
 
 
+FOUND = [
+    ("GPLv3", "gpl-3.0"), ("GPL3", "gpl-3.0"), ("GPL v3.0", "gpl-3.0"), ("gpl 2.1", "gpl"), ("LGPL-2.1+", "lgpl-2.1"), ("GNU GPL, version 2 or later", "gpl-2.0"),
+    ("Apache 2.0", "apache-2.0"), ("Apache License version2.0", "apache,apache-2.0"), ("Apache kafka 2.0", ""), ("MPL 2.0", "mpl-2.0"),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "apache-2.0,mit"), ("SPDX-License-Identifier: (GPL-2.0-only WITH x) AND (BSD-3-Clause OR MIT)", "bsd-3-clause,gpl-2.0,mit"),
+    ("# Permission is hereby granted, free of charge, to any\n# person obtaining a copy of\n#   this software", "mit"),
+    (" * you can redistribute it and/or modify\n * it under the terms of the GNU General\n * Public License", "gpl"),
+    ("// Redistribution and use in source\n// and binary forms, with or without\n// modification", "bsd"), ("SSPL, Server Side Public License v1", "sspl-1.0"),
+]
+
+
+def test_spellings_frames_and_expressions():
+    rules = L.default_rules()
+    for text, labels in FOUND:
+        kept = {r.label for _, _, r in L.detections(text.lower().encode(), rules, L.gates(rules))} | {x for _, x in places(text)[1]}
+        assert ",".join(sorted(kept)) == labels, text
+
+
+def test_detections_match_all_rules_without_gate_or_suppression_order():
+    """Every rule on every text, then containment by comparing all pairs in order of strength."""
+    rules, rng = L.default_rules(), random.Random(4)
+    parts = [t for t, _ in FOUND] + ["words between", "licensed under the terms of the MIT license", "cc-by-sa 4.0", "CC0 1.0 universal", "https://creativecommons.org/licenses/by-nc/4.0/", "all rights reserved"]
+    for _ in range(40):
+        text = " \n".join(rng.choices(parts, k=6)).lower().encode()
+        found = [(*m.span("id" if r.kind == "tag" else 0), i) for i, r in enumerate(rules) for m in r.pattern.finditer(text)]
+        found.sort(key=lambda x: (-rules[x[2]].priority, x[0] - x[1], x[0], x[2]))
+        kept = [x for k, x in enumerate(found) if not any(y[0] <= x[0] and x[1] <= y[1] for y in found[:k])]
+        assert [(a, b, r) for a, b, r in L.detections(text, rules, L.gates(rules))] == [(a, b, rules[i]) for a, b, i in sorted(kept, key=lambda x: (x[0], x[1]))]
+
+
 def test_there_are_hundreds_of_rules_in_order():
     rules = L.default_rules()
     assert len(rules) > 300 and [r.priority for r in rules] == sorted((r.priority for r in rules), reverse=True)
