@@ -244,7 +244,7 @@ class PieceModel:
         offsets, values = self.segment(chars, begin[sample], size[sample], chunk[sample], 0, log)
         source, count = offsets[inverse], np.diff(offsets)[inverse]
         if drop.rate > 0:
-            limit = int(drop.rate * (1 << 64))
+            limit = min(int(drop.rate * (1 << 64)), MASK)
             nth = np.arange(len(begin)) - np.repeat(first[:-1], np.diff(first))
             draw = W.mix(np.repeat(salts, np.diff(first)) + nth.astype(np.uint64))
             key = W.mix(chunk ^ W.mix(draw + np.uint64(drop.seed * 1_000_003 & MASK)))

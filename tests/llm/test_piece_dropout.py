@@ -73,3 +73,8 @@ def test_occurrences_match_their_own_agenda(model, monkeypatch):
     monkeypatch.setattr(P.PieceModel, "skipping", lambda self, chunk, *_: np.ones(len(chunk), bool))
     (single,) = model.encode([text], np.array([3], np.uint64), P.Dropout(0.2))
     assert shared.tolist() == single.tolist()
+
+
+def test_rate_one_skips_every_merge(model):
+    (ids,) = model.encode(["some words, and more words"], np.zeros(1, np.uint64), P.Dropout(1.0))
+    assert len(ids) == len(" some words, and more words")
