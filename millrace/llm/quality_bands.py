@@ -154,7 +154,7 @@ def quality(text: Column, bands: Bands = Bands()) -> Column:
 
 def with_quality(df: DataFrame, text_col: str = "text", out: str = "quality", bands: Bands = Bands()) -> DataFrame:
     """All rows and columns of ``df`` and the struct ``out``; a column of that name is replaced."""
-    return df.withColumn(out, quality(F.col(text_col), bands))
+    return df.withColumn(out, quality(F.col(f"`{text_col}`"), bands))
 
 
 def keep_good(df: DataFrame, text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
