@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 TOKEN = re.compile(
     r"<(?:!--(?:.*?(?:-->|$))|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*>|.*$)|[!?/][^>]*(?:>|$))", re.S
@@ -42,6 +43,7 @@ class Page:
 
     def read(self, source: str) -> None:
         stack, at, broken, length = [0], 0, True, len(source)
+        self.open: Counter[str] = Counter()
         tags = self.tag
         while at < length:
             found = TOKEN.search(source, at)
@@ -78,26 +80,37 @@ class Page:
                 at = end.end() if end else length
                 continue
             stack.append(len(tags) - 1)
+            self.open[tag] += 1
+
+    def cut(self, stack: list[int], at: int) -> None:
+        for e in stack[at:]:
+            self.open[self.tag[e]] -= 1
+        del stack[at:]
 
     def imply_ends(self, stack: list[int], tag: str) -> None:
         if tag in CLOSES_PARAGRAPH:
             self.close(stack, "p", limits=("table", "button", "td", "th", "caption", "body", "html"))
         if tag in IMPLIED_ENDS:
             ended, limits = IMPLIED_ENDS[tag]
+            if not any(self.open[t] for t in ended):
+                return
             for i in range(len(stack) - 1, 0, -1):
                 if self.tag[stack[i]] in limits:
                     break
                 if self.tag[stack[i]] in ended:
-                    del stack[i:]
+                    self.cut(stack, i)
                     break
 
     def close(self, stack: list[int], tag: str, limits: tuple[str, ...] = ()) -> None:
         """End the nearest open element of a name; an end tag without one is ignored. An inline end
-        tag does not reach beyond the block it stands in."""
+        tag does not reach beyond the block it stands in. Without an open element of the name the
+        stack is not searched."""
+        if not self.open[tag]:
+            return
         for i in range(len(stack) - 1, 0, -1):
             own = self.tag[stack[i]]
             if own == tag:
-                del stack[i:]
+                self.cut(stack, i)
                 return
             if own in limits or (tag in INLINE and own not in INLINE):
                 return
