@@ -16,6 +16,7 @@ meets at most ``query_rows`` queries in one task, more queries are dealt over co
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -68,28 +69,31 @@ class Tree:
             todo.append((rows[order[:half]], node, 0))
             todo.append((rows[order[half:]], node, 1))
         self.low, self.high = np.array(low), np.array(high)
-        self.leaves = np.array([i for i, r in enumerate(self.rows) if r is not None])
-
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Upper bounds ``[query, node]`` of the score with any vector below a node."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
     def search(self, queries: np.ndarray, ids: np.ndarray, kth: np.ndarray, own: np.ndarray, copies: np.ndarray, k: int):
         """``(query row, point row, score)`` of all points that can be among the k best.
 
         ``kth`` is the kth score known so far, -inf if fewer are known; ties may win by id, so a
-        node is left out only if its bound is below. Inner nodes are pruned with the bound the
-        query brings; the leaves left over are visited best bound first.
+        node is left out only if its bound is below. Nodes are opened best bound first; bounds of
+        children are computed when their node is opened, and the search ends when the best open
+        node is below the kth score.
         """
-        bound = self.bounds(queries)
+        positive, negative = np.maximum(queries, 0), np.minimum(queries, 0)
         out = []
         for q in range(len(queries)):
             best = kth[q]
             have_score, have_row = np.empty(0, self.points.dtype), np.empty(0, np.int64)
-            for leaf in self.descend(bound[q], best):
-                if bound[q, leaf] < best:
-                    break
-                rows = self.rows[leaf]
+            # Open nodes by falling bound; the second entry only keeps equal bounds apart.
+            heap = [(-self.bound([0], positive[q], negative[q])[0], 0)]
+            while heap and -heap[0][0] >= best:
+                node = heapq.heappop(heap)[1]
+                if self.rows[node] is None:
+                    kids = self.kids[node]
+                    for bound, kid in zip(self.bound(kids, positive[q], negative[q]), kids):
+                        if bound >= best:
+                            heapq.heappush(heap, (-bound, kid))
+                    continue
+                rows = self.rows[node]
                 score = self.points[rows] @ queries[q]
                 near = (score >= best) & (ids[rows] != own[q])
                 if not near.any():
@@ -104,22 +108,10 @@ class Tree:
             out.append((np.full(len(have_row), q), have_row, have_score))
         return [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 3
 
-    def descend(self, bound: np.ndarray, best: float) -> np.ndarray:
-        """Leaves whose ancestors all reach ``best``, in falling order of their bounds."""
-        level, leaves = np.array([0]), []
-        kids = self.kid_array()
-        while len(level):
-            level = level[bound[level] >= best]
-            end = kids[level, 0] < 0
-            leaves.append(level[end])
-            level = kids[level[~end]].reshape(-1)
-        found = np.concatenate(leaves)
-        return found[np.argsort(-bound[found], kind="stable")]
-
-    def kid_array(self) -> np.ndarray:
-        if not isinstance(self.kids, np.ndarray):
-            self.kids = np.array(self.kids)
-        return self.kids
+    def bound(self, nodes: list[int], positive: np.ndarray, negative: np.ndarray) -> list:
+        """Upper bounds of the score with any vector below each node, of a query by its positive and
+        its negative components."""
+        return (self.high[nodes] @ positive + self.low[nodes] @ negative).tolist()
 
 
 def by_score(score: np.ndarray, ids: np.ndarray) -> np.ndarray:

@@ -83,7 +83,7 @@ FROM scored QUALIFY rank <= 5
 
 
 def _tokens(spark, sf_dir):
-    return token_scan.count_tokens(table(spark, sf_dir, "documents").select("text"))
+    return token_scan.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES["op1_separator_scan"] = _tokens

@@ -6,6 +6,10 @@ finds the separators of a block with one vectorised comparison. A document may s
 block summaries (tokens, separators, place of the last separator) are stitched by a prefix scan:
 the carry of a block is the place of the last separator and the number of separators before it.
 
+Files written here have a side table with the id of each document by file and number, made in the same
+pass; it holds no places. Counts are joined to it by file and number, so they carry document ids and
+do not depend on how the files are called.
+
 The scan has two levels. Spans of ``fan`` blocks are scanned first, then their totals; a file that
 holds a third of all tokens is still as many spans as it needs, and no task sees more than ``fan``
 blocks or a file's spans.
@@ -13,6 +17,7 @@ blocks or a file's spans.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -84,6 +89,40 @@ def write_token_files(df: DataFrame, tokens: Column, path: str, layout: Layout =
     flat.write.option("encoding", "ISO-8859-1").option("lineSep", end).text(path)
 
 
+def write_identified_files(df: DataFrame, id_col: str, text_col: str, path: str, vocabulary_path: str = VOCABULARY_PATH, layout: Layout = Layout()) -> DataFrame:
+    """One flat token file per partition below ``path``, and the stored side table ``name, doc,
+    doc_id``: which document is the nth of which file. A task that is run again writes another file;
+    only files that the side table names count."""
+    with open(vocabulary_path, "rb") as f:
+        vocabulary = f.read()
+    end = np.array([layout.end], dtype=layout.dtype).tobytes()
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("doc", T.LongType()), T.StructField("doc_id", df.schema[id_col].dataType)])
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        encode, name, done, out = encoder(vocabulary), f"{uuid.uuid4().hex}.bin", 0, None
+        for batch in batches:
+            if out is None:
+                system, inner = fs.FileSystem.from_uri(path)
+                system.create_dir(inner, recursive=True)
+                out = system.open_output_stream(f"{inner}/{name}")
+            for text in batch["text"]:
+                out.write(np.array(encode(text.as_py() or ""), dtype=layout.dtype).tobytes() + end)
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(done, done + n)), batch["doc_id"]], names=schema.names)
+            done += n
+        if out is not None:
+            out.close()
+
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return stored(rows.mapInArrow(written, schema), "token-ids")
+
+
+def file_name(path: str = "path") -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
 def file_blocks(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
     """``(path, block, size)``: the blocks of all files below a path, from their listed sizes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
@@ -135,16 +174,18 @@ def carries(blocks: DataFrame, layout: Layout) -> DataFrame:
     return both.select("path", "block", F.coalesce(last + 1, F.lit(0)).alias("start"), count.alias("first"))
 
 
-def document_tokens(spark: SparkSession, path: str, layout: Layout = Layout()) -> DataFrame:
+def document_tokens(spark: SparkSession, path: str, layout: Layout = Layout(), names: DataFrame | None = None) -> DataFrame:
     """``path``, ``doc`` (from 0 within the file), ``start``, ``n_tokens`` and ``ended`` of every
     document in the token files below ``path``.
 
     Adjacent separators hold an empty document. Tokens after the last separator of a file are a
     last document that has not ``ended``; nothing is added if a file ends with a separator. Empty
     files give no rows; a file that does not hold whole tokens is an error. Files are read in any
-    store that pyarrow opens by address.
+    store that pyarrow opens by address. With ``names`` (``name``) only the files so called are read.
     """
     listed = file_blocks(spark, path, layout)
+    if names is not None:
+        listed = listed.join(names.select("name").distinct(), file_name() == F.col("name"), "left_semi")
     tasks = spark.sparkContext.defaultParallelism
     # Neighbouring blocks of a file go to one task, which keeps the file open.
     dealt = listed.repartitionByRange(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path", "block").sortWithinPartitions("path", "block")
@@ -170,9 +211,15 @@ def document_tokens(spark: SparkSession, path: str, layout: Layout = Layout()) -
     return closed.unionByName(tails)
 
 
-def count_tokens(df: DataFrame, text_col: str = "text", vocabulary_path: str = VOCABULARY_PATH, layout: Layout = Layout()) -> DataFrame:
-    """Writes the texts of ``df`` as flat token files to the shared folder and scans them. Null and
-    empty texts are documents of no tokens; the order of rows within a partition is kept."""
+def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = VOCABULARY_PATH, layout: Layout = Layout()) -> DataFrame:
+    """``doc_id``, ``n_tokens`` and ``ended`` of every row of ``df``: writes the texts as flat token
+    files to the shared folder, scans these and joins the ids back by file and number.
+
+    Null and empty texts are documents of no tokens. Ids may be null or repeat; every row is counted.
+    An empty table gives an empty result; other columns are not read."""
     path = folder(df.sparkSession, "tokens")
-    write_token_files(df, token_bytes(F.col(f"`{text_col}`"), vocabulary_path, layout), path, layout)
-    return document_tokens(df.sparkSession, path, layout)
+    names = write_identified_files(df, id_col, text_col, path, vocabulary_path, layout)
+    if names.isEmpty():
+        return names.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(True).alias("ended"))
+    found = document_tokens(df.sparkSession, path, layout, names).select(file_name().alias("name"), "doc", "n_tokens", "ended")
+    return names.join(found, ["name", "doc"], "left").select("doc_id", "n_tokens", "ended")
