@@ -129,6 +129,51 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
     return seen
 
 
+def ancestors_within(parents: DataFrame, max_depth: int) -> DataFrame:
+    """``(node, ancestor, distance)`` up to ``max_depth`` steps, each node being its own at 0, from
+    ``(node, parent)`` with one parent at most.
+
+    Pointer doubling: the ancestors within 2^k steps, looked up again from the one exactly 2^k steps
+    away, are those within 2^(k+1). The rounds grow with the logarithm of the depth and a hub with
+    many children is looked up, never paired. A node on a cycle is no ancestor of itself.
+    """
+    ensure_checkpoint_dir(parents.sparkSession)
+    one = parents.filter("parent IS NOT NULL AND parent <> node").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct()
+    up, reached = one.checkpoint(), 1
+    while reached < max_depth:
+        jump = up.filter(F.col("distance") == reached).select("node", F.col("ancestor").alias("via"))
+        if jump.isEmpty():
+            break
+        beyond = up.select(F.col("node").alias("via"), "ancestor", (F.col("distance") + reached).alias("distance"))
+        more = jump.join(beyond, "via").filter(F.col("distance") <= max_depth).select("node", "ancestor", "distance")
+        up, reached = up.unionByName(more).checkpoint(), 2 * reached
+    own = parents.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
+    shortest = up.filter("node <> ancestor").unionByName(own).groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
+    return shortest
+
+
+def forest_lineage(parents: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
+    """``(start_id, depth, from_id, node_id)``: all nodes within ``max_depth`` edges of each of
+    ``starts(node)``, edges walked in both directions, in a forest ``(node, parent)``.
+
+    Between two nodes of a tree there is one simple path, up to their nearest common ancestor and
+    down again, so no path is kept: the ancestors of the starts meet the ancestors of all nodes.
+    ``from_id`` is the node before on the path.
+    """
+    up = ancestors_within(parents, max_depth).checkpoint()
+    own = starts.select("node").distinct().join(up, "node").select(F.col("node").alias("start_id"), "ancestor", F.col("distance").alias("rise"))
+    met = own.join(up.select(F.col("node").alias("node_id"), "ancestor", F.col("distance").alias("fall")), "ancestor")
+    met = met.filter((F.col("rise") + F.col("fall")).between(1, max_depth) | (F.col("start_id") == F.col("node_id")))
+    # The nearest common ancestor gives the shortest way.
+    best = met.groupBy("start_id", "node_id").agg(F.min(F.col("rise") + F.col("fall")).alias("depth"), F.min_by("rise", F.col("rise") + F.col("fall")).alias("rise"))
+    best = best.filter("start_id <> node_id AND depth > 0")
+    below = own.select("start_id", (F.col("rise") + 1).alias("rise"), F.col("ancestor").alias("below"))
+    of = parents.select(F.col("node").alias("node_id"), F.col("parent").alias("above"))
+    placed = best.join(of, "node_id").join(below, ["start_id", "rise"], "left")
+    came = F.when(F.col("depth") == F.col("rise"), F.col("below")).otherwise(F.col("above"))
+    return placed.select("start_id", "depth", came.alias("from_id"), "node_id")
+
+
 def min_depth(paths: DataFrame) -> DataFrame:
     return paths.groupBy("node_type", "node_id").agg(F.min("depth").alias("depth"))
 

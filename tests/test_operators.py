@@ -211,3 +211,16 @@ def test_stray_closing_tags_are_left_in_linear_time(spark):
     began = time.time()
     got = [r[0] for r in rows.select(remove_tag_content("t", F.col("t"))).collect()]
     assert len(got[0]) == 48001 and got[1:] == ["a b", None] and time.time() - began < 10
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 5, 8])
+def test_forest_lineage_equals_walked_paths(spark, depth):
+    rng = random.Random(depth)
+    parent = {i: rng.randrange(i) if i and rng.random() < 0.9 else None for i in range(40)}
+    nodes = spark.createDataFrame([(str(i), None if p is None else str(p)) for i, p in parent.items()], "node string, parent string")
+    edges = spark.createDataFrame([("N", str(i), "e", "N", str(p)) for i, p in parent.items() if p is not None], "source_type string, source_id string, edge_type string, target_type string, target_id string")
+    starts = ["0", "7", "39", "12"]
+    walked = L.traverse(edges, spark.createDataFrame([("N", s) for s in starts], "node_type string, node_id string"), depth)
+    want = sorted((r.start_id, r.depth, r.from_id, r.node_id) for r in walked.collect())
+    got = L.forest_lineage(nodes, spark.createDataFrame([(s,) for s in starts], "node string"), depth)
+    assert sorted((r.start_id, r.depth, r.from_id, r.node_id) for r in got.collect()) == want

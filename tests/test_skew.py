@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from millrace.functions.chat_stats import chat_stats_of_turns
 from millrace.operators import catalog as K
 from millrace.operators import dedup as D
+from millrace.operators import lineage as L
 from millrace.operators import relate as R
 from millrace.operators.recipe import training_table
 
@@ -55,3 +56,12 @@ def test_a_hot_source_is_sampled_and_repeated_whole(spark):
     mix = spark.createDataFrame([("big", 2.0), ("rest", 1.0)], "source string, replica double")
     counts = {r.source: r["count"] for r in training_table(rows, mix, ["source"], "id").groupBy("source").count().collect()}
     assert counts == {"big": 2 * ROWS // 3, "rest": ROWS - ROWS // 3}
+
+
+def test_a_hub_of_the_lineage_is_looked_up_not_paired(spark):
+    """A third of all nodes have one parent; the ancestors stay one row per node and step."""
+    parents = spark.range(ROWS // 3).selectExpr("id AS node", "IF(id = 0, NULL, IF(id % 3 = 0, 0, id - 1)) AS parent")
+    up = L.ancestors_within(parents, 5)
+    assert up.count() <= 6 * ROWS // 3
+    near = L.forest_lineage(parents, spark.createDataFrame([(7,)], "node long"), 2)
+    assert sorted((r.depth, r.node_id) for r in near.collect()) == [(1, 6), (1, 8), (2, 0)]
