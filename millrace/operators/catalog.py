@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 from millrace.functions.naming import entity_name, match_code, next_version
 from millrace.functions import text as T
 from millrace.operators.relate import ancestors
+from millrace.operators.standardize import rebase_path
 
 
 # ---- keyed snapshots -------------------------------------------------------------------
@@ -270,16 +271,64 @@ def orphans(distributions: DataFrame, listing: DataFrame, path_col: str = "path"
     return distributions.filter("materialized").join(folders, "uri", "left_anti")
 
 
-def register_raw(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Raw datasets upserted by address first and by name second, languages default to English."""
-    filled = incoming.withColumns(
+def register_raw(
+    incoming: DataFrame, existing: DataFrame, prefixes: list[tuple[str, str]] = (), globs: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The snapshot with raw datasets upserted by address first and by name second, and the conflicts
+    ``(uri, name, reason)`` of rows that could not be registered.
+
+    ``incoming`` and ``existing`` have ``uri`` and ``name``; columns of ``existing`` that ``incoming``
+    lacks stay as they are, or null in new rows. Addresses are rebased by ``prefixes`` first, languages
+    default to English, the step is 1. ``globs(uri, globs)`` are the patterns found below an address;
+    a known address keeps its own.
+
+    A known address takes all other columns, the name included. A new address with a known name takes
+    over that row, its address included. Names and addresses stay unique: a row is refused with
+
+    * ``repeated``: an earlier row (by address, then name) of the same batch has its address or name,
+    * ``name_taken``: its name belongs to another row, or to several, and
+    * ``row_taken``: another row of the batch was registered as the row it would take over.
+    """
+    base = incoming.withColumn("uri", rebase_path(F.col("uri"), list(prefixes)) if prefixes else F.col("uri"))
+    base = base.withColumns(
         {"languages": F.coalesce(F.when(F.size("languages") > 0, F.col("languages")), F.array(F.lit("en"))), "step": F.lit(1)}
     )
-    by_uri = filled.join(existing.select("uri"), "uri", "left_semi")
-    fresh = filled.join(existing.select("uri"), "uri", "left_anti")
-    columns = [c for c in existing.columns if c in filled.columns]
-    first = upsert(existing, by_uri.select(*columns).drop("name"), "uri")
-    return upsert(first, fresh.select(*columns), "name")
+    if globs is not None:
+        base = base.drop("globs").join(globs.select("uri", F.col("globs").alias("_found")), "uri", "left")
+        base = base.withColumn("globs", F.coalesce("_found", F.array().cast("array<string>"))).drop("_found")
+    given = [c for c in existing.columns if c in base.columns]
+    # The first row of an address and of a name; both keep one row per key and task.
+    first = F.struct("uri", "name", F.xxhash64(*given).alias("h"))
+    by_uri = base.groupBy("uri").agg(F.min(first).alias("_first_uri"))
+    by_name = base.groupBy("name").agg(F.min(first).alias("_first_name"))
+    ranked = base.join(by_uri, "uri").join(by_name, "name").withColumn("_self", first)
+    fresh = (F.col("_self") == F.col("_first_uri")) & (F.col("_self") == F.col("_first_name"))
+    known = existing.select(F.col("uri").alias("_uri"), F.lit(True).alias("_known")).distinct()
+    owners = existing.groupBy(F.col("name").alias("_name")).agg(F.count("*").alias("_owners"), F.min("uri").alias("_owner"))
+    placed = ranked.join(known, F.col("uri") == F.col("_uri"), "left").join(owners, F.col("name") == F.col("_name"), "left")
+    alone = F.coalesce(F.col("_owners"), F.lit(0)) == 0
+    only = F.coalesce(F.col("_owners"), F.lit(0)) == 1
+    at_home = F.col("_known") & (alone | (only & (F.col("_owner") == F.col("uri"))))
+    reason = F.when(~fresh, "repeated").when(F.col("_known").isNotNull() & ~F.coalesce(at_home, F.lit(False)), "name_taken")
+    reason = reason.when(F.col("_known").isNull() & ~alone & ~only, "name_taken")
+    target = F.when(F.col("_known").isNotNull(), F.col("uri")).when(only, F.col("_owner"))
+    decided = placed.select(*given, reason.alias("reason"), target.alias("_target"))
+    # A row that is updated by its address cannot be taken over by its old name as well.
+    taken = decided.filter("reason IS NULL AND _target = uri").select(F.col("_target").alias("_held")).distinct()
+    decided = decided.join(taken, (F.col("_target") == F.col("_held")) & (F.col("_target") != F.col("uri")), "left")
+    decided = decided.withColumn("reason", F.coalesce("reason", F.when(F.col("_held").isNotNull(), F.lit("row_taken"))))
+    accepted = decided.filter("reason IS NULL")
+    updates = accepted.filter("_target IS NOT NULL").select(F.col("_target").alias("_at"), *[F.col(c).alias(f"_new_{c}") for c in given])
+    joined = existing.join(updates, F.col("uri") == F.col("_at"), "left")
+    hit = F.col("_at").isNotNull()
+
+    def value(c: str) -> Column:
+        new = F.when(F.col("_new_uri") == F.col("_at"), F.col(c)).otherwise(F.col(f"_new_{c}")) if c == "globs" else F.col(f"_new_{c}")
+        return F.when(hit, new).otherwise(F.col(c)).alias(c)
+
+    kept = joined.select(*[value(c) if c in given else F.col(c) for c in existing.columns])
+    inserts = accepted.filter("_target IS NULL").select(*given)
+    return kept.unionByName(inserts, allowMissingColumns=True), decided.filter("reason IS NOT NULL").select("uri", "name", "reason")
 
 
 # ---- fuzzy vocabulary match ---------------------------------------------------------------

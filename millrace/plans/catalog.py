@@ -640,25 +640,39 @@ _register(
 
 
 _KEY = "CAST(substring(id, 6) AS BIGINT)"
+_RAW_ROWS = {
+    "uri": "CASE WHEN k % 2 = 0 THEN replace(uri, 'file:///data/', 'file:///app/') ELSE uri || '/raw' END",
+    "name": "CASE WHEN k % 4 < 2 THEN name WHEN k % 8 = 6 THEN 'dataset_' || CAST(k + 1 AS STRING) ELSE 'raw_' || CAST(k AS STRING) END",
+    "languages": "CASE WHEN k % 5 = 0 THEN NULL ELSE split('pt,ro', ',') END",
+}
 
 
 def _raw_registered(spark, sf_dir):
-    known = frame(spark, sf_dir, "dataset").withColumn("k", F.expr(_KEY)).filter("k % 37 <> 1")
-    incoming = known.filter("k % 3 = 0").selectExpr(
-        "CASE WHEN k % 2 = 0 THEN uri ELSE uri || '/raw' END AS uri",
-        "CASE WHEN k % 4 < 2 THEN name ELSE 'raw_' || CAST(k AS STRING) END AS name",
-        "CASE WHEN k % 5 = 0 THEN NULL ELSE split('pt,ro', ',') END AS languages",
-    )
-    out = K.register_raw(incoming, known.select("uri", "name", "languages", "step"))
-    return out.select("uri", "name", "step", F.array_join("languages", ",").alias("languages"))
+    """Every third dataset registered again: by address with its own, a new or another's name, and at
+    a new address with a known or a new name. Some names of the catalog are held by two datasets."""
+    known = frame(spark, sf_dir, "dataset").withColumn("k", F.expr(_KEY))
+    existing = known.select("uri", "name", "languages", "step", F.array(F.lit("*.old")).alias("globs"))
+    incoming = known.filter("k % 3 = 0").selectExpr(*[f"{expr} AS {name}" for name, expr in _RAW_ROWS.items()])
+    globs = known.select(F.concat("uri", F.lit("/raw")).alias("uri"), F.array(F.lit("*.json")).alias("globs"))
+    snapshot, conflicts = K.register_raw(incoming, existing, [("/app/", "/data/")], globs)
+    rows = snapshot.select("uri", "name", "step", F.array_join("languages", ",").alias("languages"), F.array_join("globs", ",").alias("globs"), F.lit("ok").alias("state"))
+    return rows.unionByName(conflicts.select("uri", "name", F.col("reason").alias("state")), allowMissingColumns=True)
 
 
-_NEW_LANGS = "CASE WHEN k % 5 = 0 THEN 'en' ELSE 'pt,ro' END"
 _register(
     "i22_register_raw", _raw_registered,
-    _with("dataset") + f", e AS (SELECT *, {_KEY} AS k FROM dataset WHERE {_KEY} % 37 <> 1) "
-    "SELECT CASE WHEN k % 3 = 0 AND k % 4 = 1 THEN uri || '/raw' ELSE uri END AS uri, name, "
-    "CASE WHEN k % 3 = 0 AND (k % 2 = 0 OR k % 4 = 1) THEN 1 ELSE step END AS step, "
-    f"CASE WHEN k % 3 = 0 AND (k % 2 = 0 OR k % 4 = 1) THEN {_NEW_LANGS} ELSE array_to_string(languages, ',') END AS languages FROM e UNION ALL "
-    f"SELECT uri || '/raw', 'raw_' || CAST(k AS STRING), 1, {_NEW_LANGS} FROM e WHERE k % 3 = 0 AND k % 4 = 3",
+    _with("dataset") + f""", e AS (SELECT uri, name, array_to_string(languages, ',') AS languages, step, '*.old' AS globs, {_KEY} AS k FROM dataset),
+    i AS (SELECT CASE WHEN k % 2 = 0 THEN uri ELSE uri || '/raw' END AS uri, CASE WHEN k % 4 < 2 THEN name WHEN k % 8 = 6 THEN 'dataset_' || CAST(k + 1 AS STRING) ELSE 'raw_' || CAST(k AS STRING) END AS name,
+        CASE WHEN k % 5 = 0 THEN 'en' ELSE 'pt,ro' END AS languages FROM e WHERE k % 3 = 0),
+    j AS (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY uri, name) AS nu, row_number() OVER (PARTITION BY name ORDER BY uri, name) AS nn FROM i),
+    o AS (SELECT name AS oname, count(*) AS n, min(uri) AS owner FROM e GROUP BY name),
+    d AS (SELECT j.*, x.uri IS NOT NULL AS known, coalesce(n, 0) AS n, owner FROM j LEFT JOIN (SELECT DISTINCT uri FROM e) x ON x.uri = j.uri LEFT JOIN o ON oname = j.name),
+    r AS (SELECT *, CASE WHEN nu > 1 OR nn > 1 THEN 'repeated' WHEN known AND NOT (n = 0 OR (n = 1 AND owner = uri)) THEN 'name_taken' WHEN NOT known AND n > 1 THEN 'name_taken' END AS reason,
+        CASE WHEN known THEN uri WHEN n = 1 THEN owner END AS target FROM d),
+    f AS (SELECT r.*, CASE WHEN reason IS NOT NULL THEN reason WHEN target <> uri AND target IN (SELECT target FROM r WHERE reason IS NULL AND target = uri) THEN 'row_taken' END AS state FROM r),
+    a AS (SELECT * FROM f WHERE state IS NULL)
+    SELECT coalesce(a.uri, e.uri) AS uri, coalesce(a.name, e.name) AS name, CASE WHEN a.uri IS NULL THEN e.step ELSE 1 END AS step, coalesce(a.languages, e.languages) AS languages,
+        CASE WHEN a.uri <> e.uri THEN '*.json' ELSE e.globs END AS globs, 'ok' AS state FROM e LEFT JOIN a ON a.target = e.uri
+    UNION ALL SELECT uri, name, 1, languages, '*.json', 'ok' FROM a WHERE target IS NULL
+    UNION ALL SELECT uri, name, NULL, NULL, NULL, state FROM f WHERE state IS NOT NULL""",
 )
