@@ -30,6 +30,7 @@ IMPLIED_ENDS = {
 CLOSES_PARAGRAPH = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
+MAY_END_OTHERS = CLOSES_PARAGRAPH | IMPLIED_ENDS.keys()
 
 
 class Page:
@@ -44,43 +45,50 @@ class Page:
     def read(self, source: str) -> None:
         stack, at, broken, length = [0], 0, True, len(source)
         self.open: Counter[str] = Counter()
-        tags = self.tag
+        tags, parents, attributes, segments, opened = self.tag, self.parent, self.attrs, self.segments, self.open
+        search, unescape = TOKEN.search, html.unescape
         while at < length:
-            found = TOKEN.search(source, at)
+            found = search(source, at)
             upto = found.start() if found else length
             if upto > at:
-                self.segments.append((stack[-1], html.unescape(source[at:upto]), broken))
+                text = source[at:upto]
+                segments.append((stack[-1], unescape(text) if "&" in text else text, broken))
                 broken = False
             if not found:
                 break
             at = found.end()
-            tag = found["tag"]
-            if tag is None or found["attrs"][-1:] != ">":
+            end, tag, attrs = found.groups()
+            if tag is None or attrs[-1:] != ">":
                 continue  # a comment or declaration, or a tag that the page's end cuts off
             tag = tag.lower()
             if tag not in INLINE and tag not in SILENT:
                 broken = True
-            if found["end"]:
-                self.close(stack, tag)
+            if end:
+                if tags[stack[-1]] == tag and len(stack) > 1:
+                    stack.pop()
+                    opened[tag] -= 1
+                else:
+                    self.close(stack, tag)
                 continue
-            self.imply_ends(stack, tag)
+            if tag in MAY_END_OTHERS:
+                self.imply_ends(stack, tag)
             tags.append(tag)
-            self.parent.append(stack[-1])
-            self.attrs.append(found["attrs"][:-1])
+            parents.append(stack[-1])
+            attributes.append(attrs[:-1])
             if tag in VOID:
                 continue
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*>?", re.I).search(source, at)
                 inner = source[at : end.start() if end else length]
                 if inner and tag in ("title", "textarea"):
-                    inner = html.unescape(inner)
+                    inner = unescape(inner)
                 if inner:
-                    self.segments.append((len(tags) - 1, inner, broken))
+                    segments.append((len(tags) - 1, inner, broken))
                     broken = tag not in SILENT
                 at = end.end() if end else length
                 continue
             stack.append(len(tags) - 1)
-            self.open[tag] += 1
+            opened[tag] += 1
 
     def cut(self, stack: list[int], at: int) -> None:
         for e in stack[at:]:

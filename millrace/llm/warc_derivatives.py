@@ -31,6 +31,8 @@ from millrace.llm.wrapper_induction import NO_TEXT
 END = b"\r\n\r\n"
 CHARSET = re.compile(r"""charset\s*=\s*["']?([A-Za-z0-9_.:\-]+)""", re.I)
 HEXADECIMAL = re.compile(rb"[0-9A-Fa-f]+")
+SITE = re.compile(r"https?://[A-Za-z0-9.\-]+(?::\d+)?(?=/|$)")
+PLAIN_PATH = re.compile(r"/(?:[^/.?#;\s\\][^/?#;\s\\]*(?:/(?=[^/.?#;\s\\])|$))*")
 GZIP_MAGIC = b"\x1f\x8b"
 #: Compressed content beyond so many bytes is not unpacked.
 CONTENT_BYTES = 1 << 28
@@ -133,6 +135,17 @@ def decoded(content: bytes, content_type: str) -> tuple[str, str]:
         return content.decode("utf-8", "replace"), "utf-8"
 
 
+def joined(site: str | None, base: str, value: str) -> str:
+    """A link's address; plain paths from the root of a ``site`` need no parsing."""
+    value = value.strip()
+    if site and PLAIN_PATH.fullmatch(value):
+        return site + value
+    try:
+        return urljoin(base, value)
+    except ValueError:
+        return value
+
+
 def page_facts(source: str, target: str | None) -> tuple[str, str | None, list[dict]]:
     """Visible text with one line a block, title and links of a page."""
     page = Page(source)
@@ -142,15 +155,13 @@ def page_facts(source: str, target: str | None) -> tuple[str, str | None, list[d
     parts = [("\n" if starts else "") + " ".join(f"|{text}|".split())[1:-1] for e, text, starts in page.segments if not hidden[e]]
     lines = [line.strip() for line in "".join(parts).split("\n")]
     title = " ".join("".join(text for e, text, _ in page.segments if page.tag[e] == "title").split())
-    links = []
+    links, found = [], SITE.match(target or "")
+    site = found[0] if found else None
     for e, tag in enumerate(page.tag):
         name = LINK_ATTRIBUTES.get(tag)
         value = page.attributes(e).get(name) if name and page.attrs[e] else None
         if value:
-            try:
-                links.append({"path": f"{tag}@/{name}", "url": urljoin(target or "", value.strip())})
-            except ValueError:
-                links.append({"path": f"{tag}@/{name}", "url": value})
+            links.append({"path": f"{tag}@/{name}", "url": joined(site, target or "", value)})
     return "\n".join(line for line in lines if line), title or None, links
 
 
@@ -180,8 +191,11 @@ def derivatives_of(record: bytes | None, content_bytes: int = CONTENT_BYTES) ->
         return [problem | {"problem": "content too large", "refers_to": source_id, "target_uri": target}]
     content_type = get(http, "content-type") or ""
     digest = get(source, "WARC-Payload-Digest")
+    computed = sha1_label(sent)
     # Digests of other algorithms or spellings cannot be compared.
-    digest_ok = digest.upper() in (sha1_label(sent).upper(), sha1_label(body).upper()) if digest and digest.lower().startswith("sha1:") else None
+    digest_ok = None
+    if digest and digest.lower().startswith("sha1:"):
+        digest_ok = digest.upper() == computed.upper() or (sent is not body and digest.upper() == sha1_label(body).upper())
     text, charset = decoded(content, content_type)
     title, links = None, []
     if not content_type or "html" in content_type.lower():
@@ -190,7 +204,7 @@ def derivatives_of(record: bytes | None, content_bytes: int = CONTENT_BYTES) ->
         text = ""
     envelope = {
         "source": {"headers": [list(h) for h in source]}, "http": {"status": status, "headers": [list(h) for h in http]},
-        "payload": {"digest": digest, "computed": sha1_label(sent), "length": len(sent), "charset": charset},
+        "payload": {"digest": digest, "computed": computed, "length": len(sent), "charset": charset},
         "html": {"title": title, "links": links},
     }
     common = {"refers_to": source_id, "target_uri": target, "date": date, "source_payload_digest": digest, "digest_ok": digest_ok, "problem": None}
