@@ -271,16 +271,10 @@ def orphans(distributions: DataFrame, listing: DataFrame, path_col: str = "path"
     return distributions.filter("materialized").join(folders, "uri", "left_anti")
 
 
-def register_raw(
-    incoming: DataFrame, existing: DataFrame, prefixes: list[tuple[str, str]] = (), globs: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """The snapshot with raw datasets upserted by address first and by name second, and the conflicts
-    ``(uri, name, reason)`` of rows that could not be registered.
-
-    ``incoming`` and ``existing`` have ``uri`` and ``name``; columns of ``existing`` that ``incoming``
-    lacks stay as they are, or null in new rows. Addresses are rebased by ``prefixes`` first, languages
-    default to English, the step is 1. ``globs(uri, globs)`` are the patterns found below an address;
-    a known address keeps its own.
+def upsert_by_address(base: DataFrame, existing: DataFrame, own: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The snapshot with the rows of ``base`` upserted by ``uri`` first and by ``name`` second, and the
+    conflicts ``(uri, name, reason)`` of rows that could not be registered. Columns that ``base``
+    lacks stay as they are, or null in new rows; a known address keeps its ``own`` columns.
 
     A known address takes all other columns, the name included. A new address with a known name takes
     over that row, its address included. Names and addresses stay unique: a row is refused with
@@ -289,13 +283,6 @@ def register_raw(
     * ``name_taken``: its name belongs to another row, or to several, and
     * ``row_taken``: another row of the batch was registered as the row it would take over.
     """
-    base = incoming.withColumn("uri", rebase_path(F.col("uri"), list(prefixes)) if prefixes else F.col("uri"))
-    base = base.withColumns(
-        {"languages": F.coalesce(F.when(F.size("languages") > 0, F.col("languages")), F.array(F.lit("en"))), "step": F.lit(1)}
-    )
-    if globs is not None:
-        base = base.drop("globs").join(globs.select("uri", F.col("globs").alias("_found")), "uri", "left")
-        base = base.withColumn("globs", F.coalesce("_found", F.array().cast("array<string>"))).drop("_found")
     given = [c for c in existing.columns if c in base.columns]
     # The first row of an address and of a name; both keep one row per key and task.
     first = F.struct("uri", "name", F.xxhash64(*given).alias("h"))
@@ -323,7 +310,7 @@ def register_raw(
     hit = F.col("_at").isNotNull()
 
     def value(c: str) -> Column:
-        new = F.when(F.col("_new_uri") == F.col("_at"), F.col(c)).otherwise(F.col(f"_new_{c}")) if c == "globs" else F.col(f"_new_{c}")
+        new = F.when(F.col("_new_uri") == F.col("_at"), F.col(c)).otherwise(F.col(f"_new_{c}")) if c in own else F.col(f"_new_{c}")
         return F.when(hit, new).otherwise(F.col(c)).alias(c)
 
     kept = joined.select(*[value(c) if c in given else F.col(c) for c in existing.columns])
@@ -331,6 +318,45 @@ def register_raw(
     return kept.unionByName(inserts, allowMissingColumns=True), decided.filter("reason IS NOT NULL").select("uri", "name", "reason")
 
 
+def register_raw(
+    incoming: DataFrame, existing: DataFrame, prefixes: list[tuple[str, str]] = (), globs: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Raw datasets registered by :func:`upsert_by_address`. Addresses are rebased by ``prefixes``
+    first, languages default to English, the step is 1. ``globs(uri, globs)`` are the patterns found
+    below an address; a known address keeps its own."""
+    base = incoming.withColumn("uri", rebase_path(F.col("uri"), list(prefixes)) if prefixes else F.col("uri"))
+    base = base.withColumns(
+        {"languages": F.coalesce(F.when(F.size("languages") > 0, F.col("languages")), F.array(F.lit("en"))), "step": F.lit(1)}
+    )
+    if globs is not None:
+        base = base.drop("globs").join(globs.select("uri", F.col("globs").alias("_found")), "uri", "left")
+        base = base.withColumn("globs", F.coalesce("_found", F.array().cast("array<string>"))).drop("_found")
+    return upsert_by_address(base, existing, ("globs",))
+
+
+def mapped_layer(distributions: DataFrame, datasets: DataFrame, extension: str = ".jsonl.gz") -> tuple[DataFrame, DataFrame]:
+    """The datasets and distributions that a mapping of ``distributions`` leaves behind, step 3: named
+    after their sources, below the mapped folder, derived from them, with the languages, versions,
+    splits and licenses of the sources or what stands for missing ones. Both go through
+    :func:`upsert_by_address`, so a mapping that is run again updates what it made before."""
+    def moved(uri: Column) -> Column:
+        return F.regexp_replace(uri, r"/data/[a-z]+/", "/data/mapped/")
+
+    sources = datasets.join(distributions.select(F.col("dataset_id").alias("id")).distinct(), "id", "left_semi")
+    new_datasets = sources.select(
+        moved(F.col("uri")).alias("uri"), F.concat(F.lit("mapped__"), "name").alias("name"),
+        F.coalesce(F.when(F.size("languages") > 0, F.col("languages")), F.array(F.lit("un"))).alias("languages"),
+        "derived_card", F.col("id").alias("derived_dataset"), F.concat(F.lit("Mapped version of "), "name").alias("description"),
+        F.coalesce("version", F.lit("1.0")).alias("version"), F.coalesce("license", F.lit("unknown")).alias("license"), F.lit(3).alias("step"),
+    )
+    new_distributions = distributions.select(
+        moved(F.col("uri")).alias("uri"), F.concat(F.lit("mapped__"), "name").alias("name"), F.lit(f"*{extension}").alias("glob"),
+        F.coalesce("split", F.lit("unknown")).alias("split"), F.coalesce("license", F.lit("unknown")).alias("license"),
+        F.coalesce("lang", F.lit("un")).alias("lang"), F.col("id").alias("derived_from"), F.lit(True).alias("materialized"), F.lit(3).alias("step"),
+    )
+    return new_datasets, new_distributions
+
+
 # ---- fuzzy vocabulary match ---------------------------------------------------------------
 MATCH_THRESHOLD = 0.65
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.catalog import upsert
+from millrace.operators.profile import scaled_totals
 from millrace.operators.relate import ancestors
 from millrace.operators.sampling import hash_number, sampled
 from millrace.session import broadcast_if_small
@@ -174,6 +175,42 @@ def recipe_bag(strategies: DataFrame, distributions: DataFrame, datasets: DataFr
     return joined.withColumn("card_name", card).drop("_card_by_id", "_card_by_name")
 
 
+def prefilled(bag: DataFrame) -> DataFrame:
+    """``(recipe_id, dist_uri, replication_factor, template_strategy)``: what the entries of a recipe
+    are filled with when it is taken up again."""
+    return bag.select("recipe_id", "dist_uri", "replication_factor", F.col("chat_type").alias("template_strategy")).distinct()
+
+
+def bag_prompts(bag: DataFrame, links: DataFrame) -> DataFrame:
+    """``(recipe_id, dist_uri, system_prompt_name)`` from the prompt links of the bag's strategies."""
+    return bag.select(F.col("id").alias("strategy_id"), "recipe_id", "dist_uri").join(links, "strategy_id").select("recipe_id", "dist_uri", "system_prompt_name")
+
+
+def bag_children(bag: DataFrame, composition: DataFrame) -> DataFrame:
+    """``(recipe_id, dataset_name, card_name, child_card_name)``: the cards that the cards of a
+    recipe's datasets are composed of. Cards of a recipe are reduced to distinct ones before the join,
+    so a card with many distributions costs one row."""
+    cards = bag.filter("card_name IS NOT NULL").select("recipe_id", "dataset_name", "card_name").distinct()
+    return cards.join(composition.select(F.col("parent_card_name").alias("card_name"), "child_card_name"), "card_name")
+
+
+def store_recipe(recipes: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Recipes by name or new: the catalog with the ``incoming`` ones whose name it does not have, and
+    ``(name, recipe_id)`` of all incoming names. A known recipe is left as it is; among equal new
+    names the one with the smallest description is inserted."""
+    known = recipes.select("name", F.col("id").alias("_known"))
+    first = incoming.groupBy("name").agg(F.min(F.struct(*[c for c in ("description", "scope") if c in incoming.columns])).alias("_row"))
+    placed = first.join(known, "name", "left").withColumn("recipe_id", F.coalesce("_known", F.concat(F.lit("rec-"), F.substring(F.sha2("name", 256), 1, 16))))
+    fresh = placed.filter("_known IS NULL").select(F.col("recipe_id").alias("id"), "name", "_row.*")
+    return recipes.unionByName(fresh, allowMissingColumns=True), placed.select("name", "recipe_id")
+
+
+def export_totals(entries: DataFrame) -> DataFrame:
+    """One row with the entries of a recipe and its samples, tokens and words, replicas counted."""
+    scaled = scaled_totals(unit_counts(entries).withColumn("all", F.lit(1)), ["all"])
+    return scaled.join(entries.agg(F.count("*").alias("entries"))).drop("all")
+
+
 def training_table(
     records: DataFrame,
     entries: DataFrame,

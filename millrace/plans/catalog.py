@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from millrace.functions import naming as N
@@ -676,3 +678,41 @@ _register(
     UNION ALL SELECT uri, name, 1, languages, '*.json', 'ok' FROM a WHERE target IS NULL
     UNION ALL SELECT uri, name, NULL, NULL, NULL, state FROM f WHERE state IS NOT NULL""",
 )
+
+
+def _mapped_layer(spark, sf_dir):
+    """All processed distributions mapped; some mapped datasets and distributions exist already."""
+    datasets, dist = frame(spark, sf_dir, "dataset"), frame(spark, sf_dir, "distribution")
+    new_datasets, new_dist = K.mapped_layer(dist.filter("step = 2"), datasets)
+    columns = ["uri", "name", "version", "license", "step"]
+    sets, refused = K.upsert_by_address(new_datasets.select(*columns, "description"), datasets.select(*columns, "description"))
+    parts, lost = K.upsert_by_address(new_dist, dist.select("uri", "name", "split", "license", "lang", "derived_from", "materialized", "step"))
+    kind = lambda df, k, state: df.select(F.lit(k).alias("kind"), "uri", "name", *([F.col("step")] if "step" in df.columns else [F.lit(None).cast("int").alias("step")]), state.alias("state"))
+    ok = F.lit("ok")
+    return reduce(lambda a, b: a.unionByName(b), [kind(sets, "dataset", ok), kind(refused, "dataset", F.col("reason")), kind(parts, "distribution", ok), kind(lost, "distribution", F.col("reason"))])
+
+
+def _upsert_sql(kind, base, existing):
+    """Snapshot and conflicts of rows ``(uri, name, step)`` upserted by address, then by name."""
+    p = kind[:2]
+    return (
+        f"{p}j AS (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY uri, name) AS nu, row_number() OVER (PARTITION BY name ORDER BY uri, name) AS nn FROM {base}), "
+        f"{p}o AS (SELECT name AS oname, count(*) AS n, min(uri) AS owner FROM {existing} GROUP BY name), "
+        f"{p}d AS (SELECT j.*, x.uri IS NOT NULL AS known, coalesce(n, 0) AS n, owner FROM {p}j j LEFT JOIN (SELECT DISTINCT uri FROM {existing}) x ON x.uri = j.uri LEFT JOIN {p}o ON oname = j.name), "
+        f"{p}r AS (SELECT *, CASE WHEN nu > 1 OR nn > 1 THEN 'repeated' WHEN known AND NOT (n = 0 OR (n = 1 AND owner = uri)) THEN 'name_taken' WHEN NOT known AND n > 1 THEN 'name_taken' END AS reason, "
+        f"CASE WHEN known THEN uri WHEN n = 1 THEN owner END AS target FROM {p}d), "
+        f"{p}f AS (SELECT r.*, CASE WHEN reason IS NOT NULL THEN reason WHEN target <> uri AND target IN (SELECT target FROM {p}r WHERE reason IS NULL AND target = uri) THEN 'row_taken' END AS state FROM {p}r r), "
+        f"{p}a AS (SELECT * FROM {p}f WHERE state IS NULL), {p}out AS ("
+        f"SELECT '{kind}' AS kind, coalesce(a.uri, e.uri) AS uri, coalesce(a.name, e.name) AS name, coalesce(a.step, e.step) AS step, 'ok' AS state FROM {existing} e LEFT JOIN {p}a a ON a.target = e.uri "
+        f"UNION ALL SELECT '{kind}', uri, name, step, 'ok' FROM {p}a WHERE target IS NULL UNION ALL SELECT '{kind}', uri, name, NULL, state FROM {p}f WHERE state IS NOT NULL)"
+    )
+
+
+_register(
+    "i20_mapped_layer", _mapped_layer,
+    _with("dataset", "distribution") + ", src AS (SELECT * FROM distribution WHERE step = 2), "
+    "nd AS (SELECT regexp_replace(uri, '/data/[a-z]+/', '/data/mapped/', 'g') AS uri, 'mapped__' || name AS name, 3 AS step FROM dataset WHERE id IN (SELECT dataset_id FROM src)), "
+    "nx AS (SELECT regexp_replace(uri, '/data/[a-z]+/', '/data/mapped/', 'g') AS uri, 'mapped__' || name AS name, 3 AS step FROM src), "
+    + _upsert_sql("dataset", "nd", "dataset") + ", " + _upsert_sql("xdistribution", "nx", "distribution").replace("'xdistribution'", "'distribution'")
+    + " SELECT * FROM daout UNION ALL SELECT * FROM xdout",
+)

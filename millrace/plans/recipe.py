@@ -11,7 +11,8 @@ from millrace.operators.sampling import hash_sample
 from millrace.plans.catalog import STRATEGY, strategies
 from millrace.plans.catalog_frames import cte, frame
 from millrace.session import read_table
-from millrace.sources.sinks import derived_distribution
+from millrace.plans.round_trip import scratch
+from millrace.sources.sinks import derived_distribution, write_export
 
 QUERIES, ORACLES = {}, {}
 
@@ -270,3 +271,92 @@ _register(
     "'SELECT * FROM ''' || x.uri || ''' WHERE x > 1' AS query, x.lang, x.license, array_to_string(x.tags, ',') || ',query' AS tags, "
     "d.uri = x.uri OR NOT starts_with(regexp_replace(x.uri, '/[^/]*$', '') || '/picked', d.uri) AS new_dataset FROM distribution x JOIN dataset d ON d.id = x.dataset_id",
 )
+
+
+# ---- the whole bag, recipes by name, prompt links ------------------------------------------------
+def _prompt_links(spark, sf_dir):
+    """Links of every strategy of an even part to two prompts."""
+    k = F.col("part")
+    names = F.array(F.concat(F.lit("p"), (k % 5).cast("string")), F.concat(F.lit("q"), (k % 3).cast("string")))
+    return strategies(spark, sf_dir).filter("part % 2 = 0").select(F.col("id").alias("strategy_id"), F.explode(names).alias("system_prompt_name"))
+
+
+_LINKS = (
+    "links AS (SELECT id AS strategy_id, unnest(['p' || CAST(part % 5 AS STRING), 'q' || CAST(part % 3 AS STRING)]) AS system_prompt_name FROM strategy WHERE part % 2 = 0)"
+)
+
+
+def _whole_bag(spark, sf_dir):
+    datasets = frame(spark, sf_dir, "dataset").withColumn("derived_card", F.when(F.col("step") != 1, F.col("derived_card")))
+    return R.recipe_bag(strategies(spark, sf_dir), frame(spark, sf_dir, "distribution"), datasets, frame(spark, sf_dir, "card"))
+
+
+_BAG = (
+    f"{cte('distribution', 'dataset', 'card', 'composition')}, {STRATEGY}, {_LINKS}, ds AS (SELECT id, name, CASE WHEN step <> 1 THEN derived_card END AS derived_card FROM dataset), "
+    "bag AS (SELECT s.*, x.uri AS dist_uri, ds.name AS dataset_name, CASE WHEN ds.derived_card IS NOT NULL THEN c.dataset_name ELSE n.dataset_name END AS card_name FROM strategy s "
+    "JOIN distribution x ON x.id = s.distribution_id JOIN ds ON ds.id = x.dataset_id LEFT JOIN card c ON c.id = ds.derived_card LEFT JOIN card n ON n.dataset_name = ds.name)"
+)
+_register(
+    "j12_bag_prompts", lambda s, d: R.bag_prompts(_whole_bag(s, d), _prompt_links(s, d)),
+    f"WITH {_BAG} SELECT recipe_id, dist_uri, system_prompt_name FROM bag JOIN links ON strategy_id = id",
+)
+_register(
+    "j12_bag_children", lambda s, d: R.bag_children(_whole_bag(s, d), frame(s, d, "composition")),
+    f"WITH {_BAG} SELECT DISTINCT recipe_id, dataset_name, card_name, child_card_name FROM bag JOIN composition ON parent_card_name = card_name",
+)
+_register(
+    "j12_prefilled", lambda s, d: R.prefilled(_whole_bag(s, d)).withColumn("replication_factor", F.col("replication_factor").cast("double")),
+    f"WITH {_BAG} SELECT DISTINCT recipe_id, dist_uri, CAST(replication_factor AS DOUBLE) AS replication_factor, chat_type AS template_strategy FROM bag",
+)
+
+
+def _by_name(spark, sf_dir):
+    """Every order names a recipe: its customer's number picks a known one or is new."""
+    k = F.col("o_custkey")
+    orders = read_table(spark, sf_dir, "orders")
+    incoming = orders.select(F.concat(F.lit("supplier#"), F.lpad(k.cast("string"), 9, "0")).alias("name"), F.col("o_orderpriority").alias("description"), F.lower("o_orderstatus").alias("scope"))
+    catalog, ids = R.store_recipe(frame(spark, sf_dir, "recipe").select("id", "name", "description", "scope"), incoming)
+    return catalog.join(ids.withColumn("used", F.lit(True)).withColumnRenamed("recipe_id", "id").drop("name"), "id", "left").select("id", "name", "description", "scope", F.coalesce("used", F.lit(False)).alias("used"))
+
+
+_register(
+    "r05_recipe_by_name", _by_name,
+    f"WITH {cte('recipe')}, i AS (SELECT 'supplier#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS name, o_orderpriority AS description, lower(o_orderstatus) AS scope FROM orders), "
+    "f AS (SELECT name, min({'d': description, 's': scope}) AS r FROM i GROUP BY name) "
+    "SELECT id, recipe.name, description, scope, f.name IS NOT NULL AS used FROM recipe LEFT JOIN f ON f.name = recipe.name UNION ALL "
+    "SELECT 'rec-' || substring(sha256(name), 1, 16), name, r.d, r.s, true FROM f WHERE name NOT IN (SELECT name FROM recipe)",
+)
+
+
+def _relinked(spark, sf_dir):
+    """Edited strategies lose their prompts and get new ones; those of removed strategies go."""
+    rows, links = strategies(spark, sf_dir), _prompt_links(spark, sf_dir)
+    edited = rows.filter("part % 5 = 0")
+    fresh = edited.filter("part % 3 = 0").select(F.col("id").alias("strategy_id"), F.concat(F.lit("new "), F.col("part").cast("string")).alias("system_prompt_name"))
+    kept = links.join(rows.filter("part % 7 = 0").select(F.col("id").alias("strategy_id")), "strategy_id", "left_anti")
+    return R.replace_links(kept, edited, fresh)
+
+
+_register(
+    "r07_prompt_links", _relinked,
+    f"WITH {cte('distribution')}, {STRATEGY}, {_LINKS} SELECT strategy_id, system_prompt_name FROM links JOIN strategy ON id = strategy_id WHERE part % 7 <> 0 AND part % 5 <> 0 UNION ALL "
+    "SELECT id, 'new ' || CAST(part AS STRING) FROM strategy WHERE part % 5 = 0 AND part % 3 = 0",
+)
+
+
+def _export_totals(spark, sf_dir):
+    """The entries written as JSON, read back, beside the totals of the recipe."""
+    rows = entries(spark, sf_dir).filter("replica > 0")
+    path = scratch(spark)
+    write_export(R.export_entries(rows), path)
+    back = spark.read.json(path).agg(F.count("*").alias("written"), F.sum(F.get_json_object("entry", "$.samples").cast("long")).alias("unit_samples"))
+    return R.export_totals(rows).join(back)
+
+
+_register(
+    "r04_export_totals", _export_totals,
+    f"WITH {_ENTRIES}, u AS (SELECT replica, CAST(trunc(CAST(samples AS DOUBLE) / CAST(replica AS DOUBLE)) AS BIGINT) AS samples, CAST(trunc(CAST(tokens AS DOUBLE) / CAST(replica AS DOUBLE)) AS BIGINT) AS tokens, "
+    "CAST(trunc(CAST(words AS DOUBLE) / CAST(replica AS DOUBLE)) AS BIGINT) AS words FROM entries WHERE replica > 0) "
+    "SELECT CAST(sum(trunc(samples::DOUBLE * replica::DOUBLE)::BIGINT) AS BIGINT) AS samples, CAST(sum(trunc(tokens::DOUBLE * replica::DOUBLE)::BIGINT) AS BIGINT) AS tokens, "
+    "CAST(sum(trunc(words::DOUBLE * replica::DOUBLE)::BIGINT) AS BIGINT) AS words, count(*) AS entries, count(*) AS written, CAST(sum(samples) AS BIGINT) AS unit_samples FROM u",
+)
