@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from millrace.constants import WHITESPACE
 from millrace.functions import transforms as X
-from millrace.operators.mapping import Mapping, mapping_counts, run_mapping
-from millrace.operators.validate import presence, validate_first, with_violations
+from millrace.operators.mapping import Mapping, json_schema_paths, mapping_counts, run_mapping
+from millrace.operators.validate import infer_json_schema, presence, validate_first, with_violations
 from millrace.plans.sql_text import quote, sql_collapse, sql_strip
 from millrace.session import read_table
+from millrace.sources.scan import json_schema
 
 QUERIES, ORACLES = {}, {}
 
@@ -43,6 +46,7 @@ def nested(spark, sf_dir):
             turn("tool", F.col("source"), F.col("lang")),
         ).alias("turns"),
         F.slice(F.split("text", " "), F.lit(1), (1 + F.col("doc_id") % 5).cast("int")).alias("choices"),
+        F.split("text", "\n").alias("lines"),
     )
 
 
@@ -204,6 +208,11 @@ _register(
     _mapped({"a": ["ARC_simple_chat", "turns[0].content", "choices"]}, ["md5(a) AS a"]),
     f"SELECT doc_id, md5({_FIRST} || {_CHOICE}) AS a FROM (SELECT *, {_CHOICES} AS ch FROM documents)",
 )
+_register(
+    "m16_whole_choices",
+    _mapped({"a": ["ARC_simple_chat", "body", "lines"]}, ["md5(a) AS a"]),
+    f"SELECT doc_id, md5(text || {_CHOICE}) AS a FROM (SELECT *, string_split(text, chr(10)) AS ch FROM documents)",
+)
 
 CHAT_TARGET = {
     "type": "object",
@@ -386,3 +395,40 @@ _register(
     "v03_first_sample", _first_sample,
     f"SELECT doc_id, CAST(len({_FOUND}) AS BIGINT) AS errors FROM documents ORDER BY doc_id LIMIT 1",
 )
+
+
+def _from_text(spark, sf_dir):
+    """The sparse records as JSON text, read back with the schema that fits all of them."""
+    text = _sparse(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+    return text.select(F.from_json("value", json_schema(text)).alias("r")).select("r.*")
+
+
+def _emitted(spark, sf_dir):
+    """The JSON Schema document of all records, beside their number."""
+    records = _from_text(spark, sf_dir)
+    document = json.dumps(infer_json_schema(records), sort_keys=True)
+    return records.agg(F.count("*").alias("records")).withColumn("json_schema", F.lit(document))
+
+
+_SPARSE_SCHEMA = (
+    '{"properties": {"body": {"type": "string"}, "meta": {"properties": {"code": {"type": "string"}, "tag": {"type": "string"}}, "required": ["code"], "type": "object"}, '
+    '"turns": {"items": {"properties": {"role": {"type": "string"}, "tag": {"type": "string"}}, "required": ["role"], "type": "object"}, "type": "array"}}, '
+    '"required": ["meta", "turns"], "type": "object"}'
+)
+_register("v01_json_schema", _emitted, f"SELECT count(*) AS records, '{_SPARSE_SCHEMA}' AS json_schema FROM documents")
+
+
+def _valid_paths(spark, sf_dir):
+    """Paths that a mapping may name, from the emitted schema, with the records that have them."""
+    records = _from_text(spark, sf_dir)
+    paths = json_schema_paths(infer_json_schema(records))
+    have = presence(records).select("path", "present")
+    return spark.createDataFrame([(p,) for p in paths], "path string").join(have, "path", "left")
+
+
+_register(
+    "m04_valid_paths", _valid_paths,
+    "SELECT path, CASE path WHEN 'body' THEN count(*) FILTER (doc_id % 4 <> 0 AND text IS NOT NULL) WHEN 'meta.tag' THEN count(source) FILTER (doc_id % 3 = 0) WHEN 'meta.code' THEN count(lang) "
+    "WHEN 'turns[].role' THEN 3 * count(*) WHEN 'turns[].tag' THEN count(*) + count(lang) WHEN 'turns[]' THEN NULL ELSE count(*) END AS present "
+    "FROM documents, (VALUES ('body'), ('meta'), ('meta.code'), ('meta.tag'), ('turns'), ('turns[]'), ('turns[].role'), ('turns[].tag')) v(path) GROUP BY path",
+)

@@ -227,7 +227,7 @@ _register(
 )
 
 
-def _flatten(spark, sf_dir):
+def _nested_rows(spark, sf_dir):
     docs = documents(spark, sf_dir).select(
         "doc_id", F.col("text").alias("body"),
         F.struct(
@@ -236,7 +236,11 @@ def _flatten(spark, sf_dir):
         ).alias("outer"),
         F.array(F.col("source"), F.col("text")).alias("parts"),
     )
-    out = S.truncate_and_flatten(docs, limit=300)
+    return docs
+
+
+def _flatten(spark, sf_dir):
+    out = S.truncate_and_flatten(_nested_rows(spark, sf_dir), limit=300)
     return out.select(
         "doc_id", F.length("body").alias("chars"), "code", "origin", "size",
         F.length(F.col("parts")[1]).alias("part_chars"),
@@ -248,6 +252,11 @@ _register(
     "SELECT doc_id, length(substring(text, 1, 300)) AS chars, lang AS code, source AS origin, n_chars AS size, "
     "length(substring(text, 1, 300)) AS part_chars FROM documents",
 )
+_register(
+    "p09_flatten_whole",
+    lambda s, d: S.truncate_and_flatten(_nested_rows(s, d)).select("doc_id", F.md5("body").alias("body_md5"), "code", "origin", "size", F.md5(F.col("parts")[1]).alias("part_md5")),
+    "SELECT doc_id, md5(text) AS body_md5, lang AS code, source AS origin, n_chars AS size, md5(text) AS part_md5 FROM documents",
+)
 _URI = (
     "CASE doc_id % 5 WHEN 0 THEN 'file:///data/raw/' || source WHEN 1 THEN '/data/processed/' || source "
     "WHEN 2 THEN 'file:///data/mapped/' || source WHEN 3 THEN '/data/other/' || source ELSE '/mnt/data/' || source END"
