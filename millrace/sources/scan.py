@@ -246,22 +246,24 @@ def _batches(source) -> Iterator[pa.RecordBatch]:
 
 
 def read_arrow(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """Arrow IPC files, one task per file; only the schema of one file visits the driver."""
+    """Arrow IPC files, one task per file. The schema is the union of all files' schemas, of which
+    only the distinct ones visit the driver; a column that a file lacks is null in its rows."""
     files = _reader(spark, glob).format("binaryFile").load(path).select("content")
 
     def schema_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for content in frame.content:
-                yield pd.DataFrame({"schema": [base64.b64encode(_open_arrow(content).schema.serialize().to_pybytes()).decode()]})
+                yield pd.DataFrame({"schema": [base64.b64encode(_open_arrow(content).schema.remove_metadata().serialize().to_pybytes()).decode()]})
 
-    encoded = files.limit(1).mapInPandas(schema_of, "schema string").first().schema
-    schema = pa.ipc.read_schema(pa.py_buffer(base64.b64decode(encoded)))
+    encoded = sorted(r.schema for r in files.mapInPandas(schema_of, "schema string").distinct().collect())
+    schema = pa.unify_schemas([pa.ipc.read_schema(pa.py_buffer(base64.b64decode(x))) for x in encoded], promote_options="permissive")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 for part in _batches(_open_arrow(content.as_py())):
-                    yield pa.RecordBatch.from_arrays([part.column(n) for n in schema.names], names=schema.names)
+                    columns = [part.column(f.name).cast(f.type) if f.name in part.schema.names else pa.nulls(part.num_rows, f.type) for f in schema]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return files.mapInArrow(rows, from_arrow_schema(schema))
 

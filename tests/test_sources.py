@@ -66,7 +66,11 @@ def test_arrow_files(spark, tmp_path):
         out.write_table(table)
     with pa.OSFile(str(tmp_path / "s.arrow"), "wb") as sink, pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
-    assert sorted((r.a, r.b or "") for r in scan(spark, str(tmp_path), "*.arrow").collect()) == [(1, "x"), (1, "x"), (2, ""), (2, "")]
+    other = pa.table({"a": pa.array([3], pa.int32()), "c": [1.5]})
+    with pa.OSFile(str(tmp_path / "z.arrow"), "wb") as sink, pa.ipc.new_file(sink, other.schema) as out:
+        out.write_table(other)
+    rows = sorted((r.a, r.b or "", r.c) for r in scan(spark, str(tmp_path), "*.arrow").collect())
+    assert rows == [(1, "x", None), (1, "x", None), (2, "", None), (2, "", None), (3, "", 1.5)]
 
 
 def warc(url, body):
