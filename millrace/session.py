@@ -32,11 +32,11 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder, as it is split.
 
-    ``spark.millrace.scanPartitions`` deals every table to that many partitions after its scan, for
-    files that have fewer row groups than the machine has cores; nothing is moved unless it is set.
+    ``spark.millrace.scanPartitions.<table>`` deals that table to so many partitions after its scan,
+    for files that have fewer row groups than the machine has cores; nothing is moved unless it is set.
     """
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    partitions = spark.conf.get("spark.millrace.scanPartitions", None)
+    partitions = spark.conf.get(f"spark.millrace.scanPartitions.{name}", None)
     return df.repartition(int(partitions)) if partitions else df
 
 
