@@ -60,6 +60,18 @@ def test_delimited_files_by_encoding(spark, tmp_path):
     assert scan(spark, str(tmp_path), "*.tsv").first().text == "x,y"
 
 
+def test_pattern_names_a_folder(spark, tmp_path):
+    spark.range(10).repartition(3).write.parquet(f"{tmp_path}/docs.parquet")
+    spark.range(4).repartition(2).write.json(f"{tmp_path}/lines.json")
+    assert sorted(r.id for r in scan(spark, str(tmp_path), "docs.parquet", path_col="file").collect()) == list(range(10))
+    assert sorted(r.id for r in scan(spark, str(tmp_path), "lines.json").collect()) == list(range(4))
+    # Files that match by themselves are read once.
+    assert scan(spark, str(tmp_path), "*.parquet").count() == 10
+    spark.range(2).coalesce(1).write.parquet(f"{tmp_path}/in/x")
+    next((tmp_path / "in" / "x").glob("*.parquet")).rename(tmp_path / "in" / "docs.parquet")
+    assert scan(spark, str(tmp_path), "docs.parquet").count() == 12
+
+
 def test_arrow_files(spark, tmp_path):
     table = pa.table({"a": [1, 2], "b": ["x", None]})
     with pa.OSFile(str(tmp_path / "f.arrow"), "wb") as sink, pa.ipc.new_file(sink, table.schema) as out:
