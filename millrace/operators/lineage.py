@@ -162,8 +162,9 @@ def forest_lineage(parents: DataFrame, starts: DataFrame, max_depth: int = 5) ->
     """
     up = ancestors_within(parents, max_depth).checkpoint()
     own = starts.select("node").distinct().join(up, "node").select(F.col("node").alias("start_id"), "ancestor", F.col("distance").alias("rise"))
-    met = own.join(up.select(F.col("node").alias("node_id"), "ancestor", F.col("distance").alias("fall")), "ancestor")
-    met = met.filter((F.col("rise") + F.col("fall")).between(1, max_depth) | (F.col("start_id") == F.col("node_id")))
+    # A start asks for the distances it can still go, so nodes that lie too deep are never paired.
+    asked = own.withColumn("fall", F.explode(F.sequence(F.lit(0), F.lit(max_depth) - F.col("rise"))))
+    met = asked.join(up.select(F.col("node").alias("node_id"), "ancestor", F.col("distance").alias("fall")), ["ancestor", "fall"])
     # The nearest common ancestor gives the shortest way.
     best = met.groupBy("start_id", "node_id").agg(F.min(F.col("rise") + F.col("fall")).alias("depth"), F.min_by("rise", F.col("rise") + F.col("fall")).alias("rise"))
     best = best.filter("start_id <> node_id AND depth > 0")

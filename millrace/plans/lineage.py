@@ -78,24 +78,19 @@ _register(
 )
 
 
-# The start table of the lineage queries: every row whose key is divisible by 20.
-START_EVERY = 20
-
-
-def _forest(nodes, prefix, max_depth, live=None):
-    """Lineage of the start rows of a table of nodes with one parent each."""
+def _forest(nodes, max_depth, live=None):
+    """Lineage of every row of a table of nodes with one parent each."""
     parents = nodes.select(F.col("id").alias("node"), (F.when(live, F.col("derived_from")) if live is not None else F.col("derived_from")).alias("parent"))
-    starts = parents.filter(F.substr("node", F.lit(len(prefix) + 1)).cast("long") % START_EVERY == 0)
     # A parent that is no row of its own ends the tree.
     known = parents.select(F.col("node").alias("parent")).withColumn("known", F.lit(True))
     parents = parents.join(known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("parent"))
-    return L.forest_lineage(parents, starts, max_depth)
+    return L.forest_lineage(parents, parents, max_depth)
 
 
 def _recipe_lineage(spark, sf_dir):
-    """Lineage of the start recipes."""
+    """Lineage of every recipe at once."""
     recipes = frame(spark, sf_dir, "recipe")
-    paths = _forest(recipes, "rec-", 5).withColumn("via_edge", F.lit(L.RECIPE_DERIVED))
+    paths = _forest(recipes, 5).withColumn("via_edge", F.lit(L.RECIPE_DERIVED))
     names = recipes.select(F.col("id").alias("from_id"), F.col("name").alias("from_name"))
     about = recipes.select(F.col("id").alias("node_id"), F.col("name").alias("node_name"), "scope", "version")
     return paths.join(names, "from_id", "left").join(about, "node_id").select(
@@ -110,14 +105,14 @@ _register(
     "g03_recipe_lineage", _recipe_lineage,
     f"WITH RECURSIVE {cte('recipe')}, {_RECIPE_EDGES}, {_walk_sql('edges', ('Recipe', 'recipe'), None, 5)} "
     "SELECT start_id, depth, from_id, f.name AS from_name, via_edge, node_id, r.name AS node_name, r.scope, r.version FROM walk JOIN recipe r ON r.id = node_id "
-    "LEFT JOIN recipe f ON f.id = from_id WHERE depth > 0 AND CAST(substr(start_id, 5) AS BIGINT) % 20 = 0",
+    "LEFT JOIN recipe f ON f.id = from_id WHERE depth > 0",
 )
 
 
 def _prompt_lineage(spark, sf_dir):
-    """Lineage of the start prompts, three edges deep; a deleted prompt has no edge to its parent."""
+    """Lineage of every prompt at once, three edges deep; a deleted prompt has no edge to its parent."""
     prompts = frame(spark, sf_dir, "prompt")
-    paths = _forest(prompts, "sp-", 3, ~F.col("deleted")).withColumn("via_edge", F.lit(L.PROMPT_DERIVED))
+    paths = _forest(prompts, 3, ~F.col("deleted")).withColumn("via_edge", F.lit(L.PROMPT_DERIVED))
     names = prompts.select(F.col("id").alias("from_id"), F.col("name").alias("from_name"))
     about = prompts.select(F.col("id").alias("node_id"), F.col("name").alias("node_name"), F.col("_lang").alias("node_lang"), F.col("deleted").alias("node_deleted"))
     return paths.join(names, "from_id", "left").join(about, "node_id").select(
@@ -132,7 +127,7 @@ _register(
     "g04_prompt_lineage", _prompt_lineage,
     f"WITH RECURSIVE {cte('prompt')}, {_PROMPT_EDGES}, {_walk_sql('edges', ('SystemPrompt', 'prompt'), None, 3)} "
     "SELECT start_id, depth, from_id, f.name AS from_name, via_edge, node_id, r.name AS node_name, r._lang AS node_lang, r.deleted AS node_deleted FROM walk "
-    "JOIN prompt r ON r.id = node_id LEFT JOIN prompt f ON f.id = from_id WHERE depth > 0 AND CAST(substr(start_id, 4) AS BIGINT) % 20 = 0",
+    "JOIN prompt r ON r.id = node_id LEFT JOIN prompt f ON f.id = from_id WHERE depth > 0",
 )
 _register(
     "g05_min_depth",
