@@ -36,7 +36,8 @@ SPACE_MARK = "▁"
 LONGEST = 32  # longer chunks are processed one by one
 SLICE_CHARS = 1 << 22
 MASK = (1 << 64) - 1
-OCCURRENCES = 1 << 18  # occurrences whose draws are made at once
+OCCURRENCES = 1 << 16  # occurrences whose draws are made at once
+HASHED_CHARS = 1 << 18  # characters whose chunks are hashed at once
 PLACES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -237,8 +238,8 @@ class PieceModel:
         begin = np.flatnonzero(start)
         size = np.diff(np.append(begin, len(chars)))
         first = np.searchsorted(begin, bounds)
-        sums, downs = W.prefix_hash(W.mix(chars.astype(np.uint64) + np.uint64(1)), W.SEQUENCE_BASES[1])
-        chunk = W.mix((sums[begin + size] - sums[begin]) * downs[begin] + size.astype(np.uint64))
+        del start, space, feed
+        chunk = chunk_hashes(chars, begin, size)
         _, sample, inverse = np.unique(chunk, return_index=True, return_inverse=True)
         log: list = []
         offsets, values = self.segment(chars, begin[sample], size[sample], chunk[sample], 0, log)
@@ -282,6 +283,21 @@ class PieceModel:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+def chunk_hashes(chars: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the chunks ``chars[begin : begin + size]``, which follow one another. A chunk's hash
+    does not depend on its place, so pieces of bounded size are hashed one after the other."""
+    out = np.empty(len(begin), dtype=np.uint64)
+    at = 0
+    while at < len(begin):
+        end = max(at + 1, int(np.searchsorted(begin, begin[at] + HASHED_CHARS)))
+        first = begin[at]
+        own, n = begin[at:end] - first, size[at:end]
+        sums, downs = W.prefix_hash(W.mix(chars[first : first + own[-1] + n[-1]].astype(np.uint64) + np.uint64(1)), W.SEQUENCE_BASES[1])
+        out[at:end] = W.mix((sums[own + n] - sums[own]) * downs[own] + n.astype(np.uint64))
+        at = end
+    return out
+
+
 def places(begin: np.ndarray, mid: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return begin.astype(np.uint64) * PLACES[0] ^ mid.astype(np.uint64) * PLACES[1] ^ stop.astype(np.uint64) * PLACES[2]
 

@@ -78,3 +78,16 @@ def test_occurrences_match_their_own_agenda(model, monkeypatch):
 def test_rate_one_skips_every_merge(model):
     (ids,) = model.encode(["some words, and more words"], np.zeros(1, np.uint64), P.Dropout(1.0))
     assert len(ids) == len(" some words, and more words")
+
+
+def test_chunks_are_hashed_in_bounded_pieces(monkeypatch):
+    texts, salts = ["some words of one text and more\n" * 20, "", "other  words", "x" * 200] * 3, np.arange(12, dtype=np.uint64)
+    model, seen = P.load(P.read_model(P.MODEL_PATH)), []
+    want = model.encode(texts, salts, P.Dropout(0.3))
+    whole = P.W.prefix_hash
+    monkeypatch.setattr(P, "HASHED_CHARS", 64)
+    monkeypatch.setattr(P.W, "prefix_hash", lambda values, base: seen.append(len(values)) or whole(values, base))
+    got = model.encode(texts, salts, P.Dropout(0.3))
+    assert [x.tolist() for x in got] == [x.tolist() for x in want]
+    # A piece goes on to the end of its last chunk.
+    assert max(seen) <= 64 + 201
