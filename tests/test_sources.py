@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators.standardize import standardize
 from millrace.operators.silo_store import Store, join_store, write_store
 from millrace.operators.stats_query import join_stats
+from millrace.sources import webpages
 from millrace.sources import sinks as K
 from millrace.sources.listing import check_written, list_files
 from millrace.sources.scan import detect_glob, format_of, read_json, read_staged, scan
@@ -225,3 +226,11 @@ def test_stored_silo_is_pruned_and_filtered_at_the_scan(spark, tmp_path):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(_word_count,40)" in plan and "_lines_count" not in plan
     assert joined.count() == 9
+
+
+def test_pages_are_opened_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(webpages, "PAGES_AT_ONCE", 3)
+    plain = webpages.html_to_markdown.func
+    pages = pa.array([f"<p>page {i}</p>" if i % 4 else None for i in range(10)])
+    assert plain(pages).to_pylist() == [f"page {i}" if i % 4 else None for i in range(10)]
+    assert plain(pages.slice(0, 0)).to_pylist() == []
