@@ -117,6 +117,8 @@ def signatures(owner: np.ndarray, cell: np.ndarray, texts: int, k: int) -> tuple
     return out, sizes > 0
 
 
+#: Bytes and texts that are signed at once: a text throws about a thousand darts, however short it is.
+SIGNED_BYTES, SIGNED_TEXTS = 1 << 18, 256
 SIGNED = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
 
@@ -127,7 +129,7 @@ def signed(text: Column, settings: Settings) -> Column:
     @F.arrow_udf(SIGNED)
     def keys(column: pa.Array) -> pa.Array:
         lengths, values, sketches = [], [], []
-        for _, data, bounds in W.slices(column):
+        for _, data, bounds in W.slices(column, SIGNED_BYTES, SIGNED_TEXTS):
             texts = len(bounds) - 1
             owner, cell = cells(*shingles(W.find_words(data, bounds), settings.run))
             signature, some = signatures(owner, cell, texts, settings.coordinates)

@@ -25,6 +25,7 @@ from millrace.llm import wordscan as W
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
+JUDGED_BYTES = 1 << 18  # bytes of texts that are judged at once
 LETTERS = np.array([not W.WHITE[b] and b & 0xC0 != 0x80 for b in range(256)])  # first bytes of characters in words
 
 
@@ -128,7 +129,7 @@ def quality(text: Column, bands: Bands = Bands()) -> Column:
     def judged(column: pa.Array) -> pa.Array:
         press = zstandard.ZstdCompressor(level=bands.level)
         parts = []
-        for _, data, bounds in W.slices(column):
+        for _, data, bounds in W.slices(column, JUDGED_BYTES):
             words = W.find_words(data, bounds)
             counts, repeats = words.counts, repeated_words(words)
             raw = data.tobytes()

@@ -108,12 +108,12 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8), bounds
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(row, bytes, bounds)`` of runs of texts that hold about ``limit`` bytes, one text at least."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES, texts: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(row, bytes, bounds)`` of runs of up to ``texts`` texts that hold about ``limit`` bytes, one text at least."""
     data, bounds = text_buffers(column)
     row, rows = 0, len(bounds) - 1
     while row < rows:
-        to = min(rows, max(row + 1, int(np.searchsorted(bounds, bounds[row] + limit, side="right")) - 1))
+        to = min(rows, row + (texts or rows), max(row + 1, int(np.searchsorted(bounds, bounds[row] + limit, side="right")) - 1))
         yield row, data[bounds[row] : bounds[to]], bounds[row : to + 1] - bounds[row]
         row = to
 

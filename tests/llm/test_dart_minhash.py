@@ -72,3 +72,11 @@ def test_members_of_a_large_bucket_that_match_no_hub(spark):
     for settings in (D.Settings(**few), D.Settings(**few, block=7)):
         got = {r.doc_id: r.class_id for r in D.with_classes(rows, settings=settings).collect()}
         assert [got[i] for i in range(len(texts))] == [least[g] for g in group]
+
+
+def test_many_short_texts_are_signed_a_few_at_a_time():
+    column = D.pa.array(["a b", None, "c"] * 1000)
+    parts = list(D.W.slices(column, D.SIGNED_BYTES, D.SIGNED_TEXTS))
+    assert max(len(bounds) - 1 for _, _, bounds in parts) == D.SIGNED_TEXTS
+    assert [row for row, _, _ in parts] == list(range(0, 3000, D.SIGNED_TEXTS))
+    assert b"".join(data.tobytes() for _, data, _ in parts) == b"a bc" * 1000
