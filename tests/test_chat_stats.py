@@ -71,3 +71,21 @@ def test_messages_from_json_text(spark):
     df = spark.createDataFrame([(1, ' {"messages": [{"role": "user", "content": "hi"}]}'), (2, "plain"), (3, "[1]")], "id int, text string")
     found = {r.id: r.n for r in df.select("id", F.size(messages_of(df)).alias("n")).collect()}
     assert found[1] == 1 and found[2] in (-1, None) and found[3] in (-1, None)
+
+
+def test_markers_need_their_literal_and_more(spark):
+    """A search for a literal comes before each pattern; counts are those of the patterns alone."""
+    import re
+
+    from millrace.functions import chat_stats as S
+
+    contents = ["", "plain", "a { b } {", "<b>x</b> < y", "< >", "`x` and ``", "```a\n```", "|a|b|", "|a", "$x$", "\\[", "cost $5", "**b**", "**", "a # b", "~~s~~", "__", "why? ", "why?x", "é?"]
+    rows = [(i, [{"role": "Assistant", "content": c}, {"role": "User", "content": c}]) for i, c in enumerate(contents)]
+    got = {r.id: r for r in S.chat_stats_of_messages(spark.createDataFrame([(i, m, "en") for i, m in rows], f"id int, messages {S.MESSAGES_TYPE.simpleString()}, _lang string")).collect()}
+    for i, c in enumerate(contents):
+        assert got[i]._curly_brackets_count == 2 * (c.count("{") + c.count("}"))
+        assert got[i]._html_tag_count == len(re.findall(S.HTML_TAG, c))
+        assert got[i]._user_code_count == len(re.findall(S.CODE_SPAN, c))
+        for name, pattern in (("code", S.CODE_SPAN), ("markdown", S.MARKDOWN), ("table", S.TABLE), ("math", S.MATH)):
+            assert got[i][f"_assistant_has_{name}"] == int(re.search(pattern.replace("\\[[\\]", "\\[\\[\\]"), c) is not None), (name, c)
+        assert got[i]._user_ends_with_question == int(re.search(r"\?\s*\Z", c) is not None)
