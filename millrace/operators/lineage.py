@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.catalog import first_per_key
@@ -68,21 +68,36 @@ def prompt_edges(prompts: DataFrame) -> DataFrame:
 def both_ways(edges: DataFrame) -> DataFrame:
     """``(from_type, from_id, via_edge, node_type, node_id)`` in either direction, so that
     walking an edge from any end is one equi-join."""
-    forward = edges.select(
+    forward = _forward(edges)
+    return forward.select(F.inline(F.array(_way("from", "node", ["type", "id"]), _way("node", "from", ["type", "id"]))))
+
+
+def _forward(edges: DataFrame) -> DataFrame:
+    return edges.select(
         F.col("source_type").alias("from_type"), F.col("source_id").alias("from_id"), F.col("edge_type").alias("via_edge"),
         F.col("target_type").alias("node_type"), F.col("target_id").alias("node_id"),
     )
-    backward = edges.select(
-        F.col("target_type").alias("from_type"), F.col("target_id").alias("from_id"), F.col("edge_type").alias("via_edge"),
-        F.col("source_type").alias("node_type"), F.col("source_id").alias("node_id"),
-    )
-    return forward.unionByName(backward)
+
+
+def _way(start: str, end: str, fields: list[str]) -> Column:
+    """An edge walked from one end; a row gives both ways, so that its joins are run once."""
+    return F.struct(*[F.col(f"{start}_{x}").alias(f"from_{x}") for x in fields], "via_edge", *[F.col(f"{end}_{x}").alias(f"node_{x}") for x in fields])
 
 
 def _marker(kind: str, identity: str):
     return F.concat_ws(":", kind, identity)
 
 
+#: A frontier of up to so many rows is sent to the tasks that read the edges.
+FEW_ROWS = 100_000
+
+
+def _meet(here: DataFrame, rows: int, steps: DataFrame) -> DataFrame:
+    """``here`` joined to the edges that leave its nodes. While it is small the edges are read where
+    they lie; the size of a checkpoint is not known to the planner, which would shuffle them all."""
+    return (F.broadcast(here) if rows <= FEW_ROWS else here).join(steps, ["from_type", "from_id"])
+
+
 def traverse(edges: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
     """One row per simple path prefix from each of ``starts(node_type, node_id)``, up to
     ``max_depth`` edges; ``start_type`` and ``start_id`` tell the starts apart.
@@ -95,16 +110,17 @@ def traverse(edges: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFra
         F.col("node_type").alias("start_type"), F.col("node_id").alias("start_id"), "node_type", "node_id",
         F.array(_marker("node_type", "node_id")).alias("path"),
     )
-    levels = []
+    levels, rows = [], frontier.count()
     for depth in range(1, max_depth + 1):
         here = frontier.select("start_type", "start_id", F.col("node_type").alias("from_type"), F.col("node_id").alias("from_id"), "path")
-        walked = here.join(steps, ["from_type", "from_id"]).filter(~F.array_contains("path", _marker("node_type", "node_id")))
+        walked = _meet(here, rows, steps).filter(~F.array_contains("path", _marker("node_type", "node_id")))
         frontier = walked.select(
             "start_type", "start_id", F.lit(depth).alias("depth"), "from_type", "from_id", "via_edge", "node_type", "node_id",
             F.array_append("path", _marker("node_type", "node_id")).alias("path"),
         ).checkpoint()
         levels.append(frontier.drop("path"))
-        if frontier.isEmpty():
+        rows = frontier.count()
+        if not rows:
             break
     return reduce(DataFrame.unionByName, levels)
 
@@ -113,20 +129,26 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
     """Smallest depth of every node reachable from each start: breadth first, one row per
     start and node, so dense graphs do not multiply paths."""
     ensure_checkpoint_dir(edges.sparkSession)
-    steps = both_ways(edges).select("from_type", "from_id", "node_type", "node_id").distinct().checkpoint()
+    return _reach(both_ways(edges).select("from_type", "from_id", "node_type", "node_id").checkpoint(), starts, max_depth)[0]
+
+
+def _reach(steps: DataFrame, starts: DataFrame, max_depth: int) -> tuple[DataFrame, int]:
+    """``reach`` over stored steps, which may repeat, and the number of its rows."""
     node = ["start_type", "start_id", "node_type", "node_id"]
     frontier = starts.select(
         F.col("node_type").alias("start_type"), F.col("node_id").alias("start_id"), "node_type", "node_id", F.lit(0).alias("depth")
     )
-    seen = frontier
+    seen, rows = frontier, frontier.count()
+    total = rows
     for depth in range(1, max_depth + 1):
         here = frontier.select("start_type", "start_id", F.col("node_type").alias("from_type"), F.col("node_id").alias("from_id"))
-        found = here.join(steps, ["from_type", "from_id"]).select(*node).distinct()
+        found = _meet(here, rows, steps).select(*node).distinct()
         frontier = found.join(seen, node, "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        if frontier.isEmpty():
+        rows = frontier.count()
+        if not rows:
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        seen, total = seen.unionByName(frontier), total + rows
+    return seen, total
 
 
 def ancestors_within(parents: DataFrame, max_depth: int) -> DataFrame:
@@ -182,8 +204,11 @@ def min_depth(paths: DataFrame) -> DataFrame:
 def undirected(edges: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
     """Edges within reach without loops, each pair and edge type once, seen from its nearer end;
     ``depth`` is the number of edges from the start to the farther one."""
-    near = reach(edges, starts, max_depth - 1).groupBy(F.col("node_type").alias("from_type"), F.col("node_id").alias("from_id"))
-    paths = both_ways(edges).join(near.agg((F.min("depth") + 1).alias("depth")), ["from_type", "from_id"])
+    ensure_checkpoint_dir(edges.sparkSession)
+    steps = both_ways(edges).checkpoint()
+    near, rows = _reach(steps, starts, max_depth - 1)
+    near = near.groupBy(F.col("node_type").alias("from_type"), F.col("node_id").alias("from_id")).agg((F.min("depth") + 1).alias("depth"))
+    paths = _meet(near, rows, steps)
     pair = F.array_join(F.array_sort(F.array("from_id", "node_id")), "|")
     walked = paths.filter("from_id <> node_id").withColumn("pair_key", pair)
     return first_per_key(walked, ["pair_key", "via_edge"], ["depth", "from_id", "node_id"])
@@ -211,6 +236,12 @@ def with_names(paths: DataFrame, names: DataFrame) -> DataFrame:
     return out
 
 
+def named_both_ways(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """``both_ways`` with the names of both ends. Each edge meets the names once and is turned then."""
+    named, fields = with_names(_forward(edges), names), ["type", "id", "name"]
+    return named.select(F.inline(F.array(_way("from", "node", fields), _way("node", "from", fields))))
+
+
 def entity_names(cards=None, datasets=None, distributions=None, recipes=None, prompts=None) -> DataFrame:
     parts = []
     for kind, df, column in (

@@ -160,7 +160,7 @@ _register(
 
 def _named(spark, sf_dir):
     names = L.entity_names(*[frame(spark, sf_dir, n) for n in ("card", "dataset", "distribution")])
-    return L.with_names(L.both_ways(edges(spark, sf_dir)), names).select("from_id", "from_name", "via_edge", "node_id", "node_name")
+    return L.named_both_ways(edges(spark, sf_dir), names).select("from_id", "from_name", "via_edge", "node_id", "node_name")
 
 
 _register(
