@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import dart_minhash, piece_dropout, pivotal_mix, quality_bands, substring_dedup
-from millrace.llm.stage import stored
+from millrace.llm.stage import small_batches, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +41,11 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_dedup", near_dedup),
-    ("substring_dedup", substring_cut),
-    ("mix_sources", mix_sources),
-    ("encode_pieces", encode_pieces),
+    ("quality_rules", small_batches(quality_rules)),
+    ("near_dedup", small_batches(near_dedup)),
+    ("substring_dedup", small_batches(substring_cut)),
+    ("mix_sources", small_batches(mix_sources)),
+    ("encode_pieces", small_batches(encode_pieces)),
 ]
 
 # SQL cannot express compression, darts, random rounding or piece merges; the tests hold the

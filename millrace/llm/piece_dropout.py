@@ -20,6 +20,7 @@ Encoding and decoding are projections: no shuffle; memory is one slice of texts
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -34,7 +35,8 @@ from millrace.llm import wordscan as W
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
 LONGEST = 32  # longer chunks are processed one by one
-SLICE_CHARS = 1 << 22
+SLICE_CHARS = 1 << 20
+BATCH_TEXTS = 1000  # texts that are Python strings at once
 MASK = (1 << 64) - 1
 OCCURRENCES = 1 << 16  # occurrences whose draws are made at once
 HASHED_CHARS = 1 << 18  # characters whose chunks are hashed at once
@@ -328,7 +330,9 @@ def encode(text: Column, key: Column, drop: Dropout = Dropout(), model_path: str
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encoded(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        return id_lists(load(proto).encode(texts.to_pylist(), row_salts(keys, drop), drop))
+        model = load(proto)
+        made = [id_lists(model.encode(plain, salts, drop)) for plain, salts in text_batches(texts, row_salts(keys, drop))]
+        return pa.concat_arrays(made)
 
     return encoded.asNondeterministic()(text, key)
 
@@ -337,6 +341,12 @@ def row_salts(keys: pa.Array, drop: Dropout) -> np.ndarray:
     return W.mix(np.asarray(keys.fill_null(0)).astype(np.int64).view(np.uint64) + np.uint64(drop.seed & MASK))
 
 
+def text_batches(texts: pa.Array, salts: np.ndarray) -> Iterator[tuple[list[str | None], np.ndarray]]:
+    """Texts and salts of ``BATCH_TEXTS`` rows at a time; one empty batch if there are no rows."""
+    for at in range(0, max(len(texts), 1), BATCH_TEXTS):
+        yield texts.slice(at, BATCH_TEXTS).to_pylist(), salts[at : at + BATCH_TEXTS]
+
+
 def id_lists(parts: list[np.ndarray | None]) -> pa.Array:
     """Lists of ids, null for None."""
     offsets = np.cumsum([0, *(0 if p is None else len(p) for p in parts)]).astype(np.int32)
@@ -370,10 +380,12 @@ def round_trip(text: Column, key: Column, drop: Dropout = Dropout(), model_path:
 
     @F.arrow_udf(ROUND_TRIP)
     def both(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        model, plain = load(proto), texts.to_pylist()
-        parts = model.encode(plain, row_salts(keys, drop), drop)
-        same = [(None if ids is None else model.decode(ids)) == text for ids, text in zip(parts, plain)]
-        return pa.StructArray.from_arrays([id_lists(parts), pa.array(same, pa.bool_())], names=ROUND_TRIP.names)
+        model, made = load(proto), []
+        for plain, salts in text_batches(texts, row_salts(keys, drop)):
+            parts = model.encode(plain, salts, drop)
+            same = [(None if ids is None else model.decode(ids)) == text for ids, text in zip(parts, plain)]
+            made.append(pa.StructArray.from_arrays([id_lists(parts), pa.array(same, pa.bool_())], names=ROUND_TRIP.names))
+        return pa.concat_arrays(made)
 
     return both.asNondeterministic()(text, key)
 

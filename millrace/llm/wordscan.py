@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+HASHED_BYTES = 1 << 18  # bytes of words that are hashed at once
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -37,16 +37,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def powers(base: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``count`` powers of an odd base modulo 2^64 and of its inverse."""
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        steps = np.full(count, b, dtype=np.uint64)
-        steps[:1] = 1
-        out.append(np.cumprod(steps, dtype=np.uint64))
-    return out[0], out[1]
+    """The first ``count`` powers of an odd base modulo 2^64 and of its inverse. One table is kept for
+    a base, the longest so far."""
+    if base not in _POWERS or len(_POWERS[base][0]) < count:
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            steps = np.full(count, b, dtype=np.uint64)
+            steps[:1] = 1
+            out.append(np.cumprod(steps, dtype=np.uint64))
+        _POWERS[base] = out[0], out[1]
+    ups, downs = _POWERS[base]
+    return ups[:count], downs[:count]
 
 
 def rounded(n: int) -> int:
@@ -86,8 +91,8 @@ class Words:
         out = np.empty(n, dtype=np.uint64)
         at = 0
         while at < n:
-            # A block of words whose bytes stay within a slice, or one word that is longer.
-            to = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + SLICE_BYTES)))
+            # A block of words of bounded bytes, or one word that is longer.
+            to = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + HASHED_BYTES)))
             low = self.starts[at]
             sums, downs = prefix_hash(BYTE_CODE[self.data[low : self.ends[to - 1]]], BYTE_BASE)
             s, e = self.starts[at:to] - low, self.ends[at:to] - low

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -91,3 +92,17 @@ def test_chunks_are_hashed_in_bounded_pieces(monkeypatch):
     assert [x.tolist() for x in got] == [x.tolist() for x in want]
     # A piece goes on to the end of its last chunk.
     assert max(seen) <= 64 + 201
+
+
+def test_a_batch_is_worked_off_in_small_parts(spark, monkeypatch):
+    text = pa.array([None if i % 7 == 3 else TEXTS[i % len(TEXTS)] * (i % 5) for i in range(50)], pa.string())
+    salts = np.arange(50, dtype=np.uint64)
+    monkeypatch.setattr(P, "BATCH_TEXTS", 8)
+    parts = list(P.text_batches(text, salts))
+    assert max(len(plain) for plain, _ in parts) == 8 and [t for plain, _ in parts for t in plain] == text.to_pylist()
+    assert np.concatenate([own for _, own in parts]).tolist() == salts.tolist()
+    assert [plain for plain, _ in P.text_batches(text[:0], salts[:0])] == [[]]
+    # More rows than a part holds, through Spark.
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["ab cd", None, ""] * 700)], "doc_id long, text string").coalesce(1)
+    got = P.encoded_and_decoded(df, drop=P.Dropout(0.0)).select("doc_id", "n_pieces", "lossless").collect()
+    assert len(got) == 2100 and all(r.lossless for r in got) and len({(r.doc_id % 3, r.n_pieces) for r in got}) == 3

@@ -6,6 +6,7 @@ import numpy as np
 import __spark_entry__ as entry
 import corpus_pipeline as C
 from millrace.llm import piece_dropout as P
+from millrace.llm import wordscan as W
 
 
 def corpus():
@@ -61,3 +62,22 @@ def test_stages_match_plain_versions(spark):
 def test_every_operator_and_the_pipeline_are_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_stages_hand_out_few_rows_at_once(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, wanted in (("10000", "1000"), ("0", "1000"), ("64", "64")):
+            spark.conf.set(key, given)
+            C.STAGES[0][1](spark, spark.createDataFrame([(1, "a b")], "doc_id long, text string"), "")
+            assert spark.conf.get(key) == wanted
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_one_table_of_powers_is_kept_for_a_base():
+    base = int(W.SEQUENCE_BASES[0])
+    long, short = W.powers(base, 1 << 14), W.powers(base, 1 << 10)
+    assert np.shares_memory(long[0], short[0]) and len(short[1]) == 1 << 10
+    assert int(long[0][5]) == pow(base, 5, 1 << 64) and (long[0] * long[1] == 1).all()
