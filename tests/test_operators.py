@@ -224,3 +224,14 @@ def test_forest_lineage_equals_walked_paths(spark, depth):
     want = sorted((r.start_id, r.depth, r.from_id, r.node_id) for r in walked.collect())
     got = L.forest_lineage(nodes, spark.createDataFrame([(s,) for s in starts], "node string"), depth)
     assert sorted((r.start_id, r.depth, r.from_id, r.node_id) for r in got.collect()) == want
+
+
+def test_orphans_look_at_folders_of_known_depths_only(spark):
+    paths = [("f:/a/b/c.gz",), ("f:/a/x/lang=en/c.gz",), ("f:/s.gz",)]
+    listing = spark.createDataFrame(paths, "path string")
+    known = [(1, "f:/a/b", True), (2, "f:/a/x", True), (3, "f:/a/y", True), (4, "f:/a", True), (5, None, True), (6, "f:/a/y", False), (7, "f:/a/x/lang=en", True), (8, "f:/a/b", None), (9, "f:/a/y", True)]
+    for rows, wanted in ((known, [3, 5, 9]), (known[2:3], [3]), (known[4:6], [5]), (known[5:6], [])):
+        got = K.orphans(spark.createDataFrame(rows, "id int, uri string, materialized boolean"), listing)
+        assert sorted(r.id for r in got.collect()) == wanted
+    parents = listing.select(F.explode(R.ancestors("path", [2])).alias("u"))
+    assert sorted(r.u for r in parents.collect()) == ["f:/a", "f:/a"]
