@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,6 +23,9 @@ MERSENNE_PRIME = (1 << 61) - 1
 MAX_SLOT = (1 << 32) - 1
 NUM_HASHES = 128
 
+#: Slots whose minima are one row of the aggregate.
+PART_SLOTS = 64
+
 
 def duplicate_groups(df: DataFrame, key: str, id_col: str) -> DataFrame:
     """``(key, keep, copies)`` of the keys that occur more than once."""
@@ -52,8 +56,14 @@ def hash_family(count: int) -> list[tuple[int, int]]:
 
 def item_code(item: Column) -> Column:
     """The first four bytes of the item's SHA-1, the lowest first, as a number below 2^32."""
-    digest = F.sha1(item)
-    return F.conv(F.concat(*[F.substring(digest, 7 - 2 * i, 2) for i in range(4)]), 16, 10).cast("long")
+    return swapped(F.conv(F.substring(F.sha1(item), 1, 8), 16, 10).cast("long"))
+
+
+def swapped(code: Column) -> Column:
+    """The four bytes of a number below 2^32 in the other order."""
+    low, high = code.bitwiseAND(F.lit(0xFF00FF)), F.shiftright(code, 8).bitwiseAND(F.lit(0xFF00FF))
+    pairs = F.shiftleft(low, 8).bitwiseOR(high)
+    return F.shiftleft(pairs, 16).bitwiseAND(F.lit(MAX_SLOT)).bitwiseOR(F.shiftright(pairs, 16))
 
 
 @contextmanager
@@ -69,10 +79,10 @@ def wrapping_integers(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def slot(code: Column, factor: int, summand: int) -> Column:
+def slot(code: Column, factor: Column, summand: Column) -> Column:
     """``((factor * code + summand) mod 2^64) mod (2^61 - 1)``, cut to 32 bits. The product wraps; the
     Mersenne prime needs shifts and masks only."""
-    product = code * F.lit(factor) + F.lit(summand)
+    product = code * factor + summand
     rest = product.bitwiseAND(F.lit(MERSENNE_PRIME)) + F.shiftrightunsigned(product, 61)
     return (rest + F.shiftrightunsigned(rest + 1, 61)).bitwiseAND(F.lit(MAX_SLOT))
 
@@ -80,25 +90,43 @@ def slot(code: Column, factor: int, summand: int) -> Column:
 def minhash(df: DataFrame, items: Column, keep: list[str], count: int = NUM_HASHES) -> DataFrame:
     """``keep`` and ``signature`` (``array<long>``) of an array of strings, one row per row of ``df``.
 
-    All in column arithmetic: items become rows, the minima of all slots are one aggregate. The items
-    of a row lie in one task, so its partial result is whole and one row is shuffled per record.
+    All in column arithmetic: items become rows, the minima of the slots are one aggregate. The items
+    of a row lie in one task, so its partial results are whole and few rows are shuffled per record.
     Null items and nulls in the array add nothing; no items at all leave every slot at its maximum.
+
+    An item gives a row for every ``PART_SLOTS`` slots: an aggregate of 128 minima is too long a method
+    for the engine's compiler and took several times as long.
     """
     numbered = df.select(*keep, items.alias("_items")).withColumn("_row", F.monotonically_increasing_id())
     coded = numbered.select(*keep, "_row", F.explode_outer("_items").alias("_item")).withColumn("_code", item_code(F.col("_item")))
-    # No column is null and a missing item sets all bits, which keeps the 128 expressions short.
+    # No column is null and a missing item sets all bits, which keeps the expressions short.
     missing = F.when(F.col("_code").isNull(), F.lit(MAX_SLOT)).otherwise(F.lit(0).cast("long"))
     whole = coded.select(*keep, "_row", F.coalesce("_code", F.lit(0).cast("long")).alias("_code"), missing.alias("_missing"))
+    family = hash_family(count)
+    parts = [family[i : i + PART_SLOTS] for i in range(0, count, PART_SLOTS)]
+    dealt = whole.withColumn("_part", F.explode(F.array(*[F.lit(p) for p in range(len(parts))])))
+
+    def own(i: int, which: int) -> Column:
+        """Factor or summand of slot ``i`` of the row's part; a shorter last part repeats its last slot."""
+        values = [F.lit(part[min(i, len(part) - 1)][which]) for part in parts]
+        return reduce(lambda rest, p: F.when(F.col("_part") == p, values[p]).otherwise(rest), range(len(parts) - 1), values[-1])
+
     with wrapping_integers(df.sparkSession):
-        minima = [F.min(slot(F.col("_code"), a, b).bitwiseOR(F.col("_missing"))).alias(f"_m{i}") for i, (a, b) in enumerate(hash_family(count))]
-        signed = whole.groupBy("_row", *keep).agg(*minima)
-    return signed.select(*keep, F.array(*[f"_m{i}" for i in range(count)]).alias("signature"))
+        minima = [
+            F.min(slot(F.col("_code"), own(i, 0), own(i, 1)).bitwiseOR(F.col("_missing"))).alias(f"_m{i}")
+            for i in range(min(count, PART_SLOTS))
+        ]
+        signed = dealt.groupBy("_row", *keep, "_part").agg(*minima)
+    # Minima again, of one row per part: numbers are merged in place, lists would be sorted.
+    slots = [F.min(F.when(F.col("_part") == i // PART_SLOTS, F.col(f"_m{i % PART_SLOTS}"))).alias(f"_s{i}") for i in range(count)]
+    merged = signed.groupBy("_row", *keep).agg(*slots)
+    return merged.select(*keep, F.array(*[f"_s{i}" for i in range(count)]).alias("signature"))
 
 
 def token_runs(tokens: Column, n: int) -> Column:
     """Distinct runs of ``n`` neighbouring tokens, joined by a space; fewer tokens are one run."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " ")))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0)))
+    return F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)])))
 
 
 def jaccard_estimate(a: Column, b: Column) -> Column:
