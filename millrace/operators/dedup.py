@@ -147,9 +147,9 @@ def verified_links(signatures: DataFrame, id_col: str, threshold: float, bands:
     open record is scored against the leaders with smaller ids. Leaders and records that reach one
     are done with this band, the rest goes on, until none is left. A band of like records is done
     after one round whatever its size, one of unlike records after a number of rounds that grows
-    with the logarithm of its size.
+    with the logarithm of its size. Every round reads the signatures again, so they should be stored.
     """
-    own = signatures.select(F.col(id_col).alias("id"), "signature").checkpoint()
+    own = signatures.select(F.col(id_col).alias("id"), "signature")
     keyed = own.select("id", F.explode(band_keys(F.col("signature"), bands)).alias("band"))
     shared = keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     still, links, leaders = keyed.join(shared, "band").checkpoint(), None, 1
@@ -203,7 +203,7 @@ def near_duplicates(df: DataFrame, text_col: str, id_col: str, threshold: float
     groups = duplicate_groups(hashed, "h", "id").select("h", F.col("keep").alias("first"))
     copies = hashed.join(groups, "h").select("id", "first").filter("id <> first").checkpoint()
     split = df.select(F.col(id_col).alias("id"), T.tokens(F.lower(text_col)).alias("tokens"))
-    signed = minhash(split, token_runs(F.col("tokens"), 3), ["id"]).checkpoint()
+    signed = minhash(split, token_runs(F.col("tokens"), 3), ["id"])
     signatures = signed.join(copies.select("id"), "id", "left_anti").checkpoint()
     components = connected_components(verified_links(signatures, "id", threshold, bands))
     # A first record without near duplicates still heads the cluster of its exact copies.
