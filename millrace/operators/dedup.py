@@ -11,8 +11,10 @@ from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from millrace.functions import text as T
 from millrace.session import ensure_checkpoint_dir
@@ -26,6 +28,11 @@ NUM_HASHES = 128
 #: Slots whose minima are one row of the aggregate.
 PART_SLOTS = 64
 
+#: Members of a band that are compared with each other, or with those of another block, in one task.
+BLOCK = 1024
+#: Records besides the smallest id that the members of a band larger than a block are compared with first.
+LEADERS = 16
+
 
 def duplicate_groups(df: DataFrame, key: str, id_col: str) -> DataFrame:
     """``(key, keep, copies)`` of the keys that occur more than once."""
@@ -141,29 +148,100 @@ def band_keys(signature: Column, bands: int = 16) -> Column:
 
 
 def verified_links(signatures: DataFrame, id_col: str, threshold: float, bands: int = 16) -> DataFrame:
-    """``(a, b)``, ``a > b``: records that share a band and whose estimate reaches the threshold.
+    """``(a, b)``, ``a > b``: links of records that share a band and whose estimate reaches the threshold.
+    They join the same components as all such pairs do.
 
-    A band is worked off in rounds. In round r its ``2^r`` smallest open ids are the leaders; every
-    open record is scored against the leaders with smaller ids. Leaders and records that reach one
-    are done with this band, the rest goes on, until none is left. A band of like records is done
-    after one round whatever its size, one of unlike records after a number of rounds that grows
-    with the logarithm of its size. Every round reads the signatures again, so they should be stored.
+    Two members of a band are compared unless other links have joined them before: all with its smallest
+    id first, in bands larger than a block then with the next ``LEADERS`` ids, what is still apart in
+    blocks, every pair. So a band of like records costs one comparison a member, one of unlike records
+    all its pairs. Records that share no band are not fetched again.
     """
-    own = signatures.select(F.col(id_col).alias("id"), "signature")
+    ensure_checkpoint_dir(signatures.sparkSession)
+    own = signatures.select(F.col(id_col).alias("id"), "signature").filter("id IS NOT NULL AND signature IS NOT NULL")
     keyed = own.select("id", F.explode(band_keys(F.col("signature"), bands)).alias("band"))
     shared = keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    still, links, leaders = keyed.join(shared, "band").checkpoint(), None, 1
-    while not still.isEmpty():
-        lead = still.withColumn("k", F.row_number().over(Window.partitionBy("band").orderBy("id"))).filter(F.col("k") <= leaders)
-        met = still.withColumnRenamed("id", "a").join(lead.select("band", F.col("id").alias("b")), "band").filter("a > b")
-        pairs = met.select("a", "b").distinct()
-        left, right = (own.select(F.col("id").alias(x), F.col("signature").alias(f"{x}_signature")) for x in "ab")
-        scored = pairs.join(left, "a").join(right, "b").filter(jaccard_estimate(F.col("a_signature"), F.col("b_signature")) >= threshold)
-        found = scored.select("a", "b").checkpoint()
-        links = found if links is None else links.unionByName(found)
-        done = met.join(found, ["a", "b"], "left_semi").select("band", F.col("a").alias("id")).unionByName(lead.select("band", "id")).distinct()
-        still, leaders = still.join(done, ["band", "id"], "left_anti").checkpoint(), 2 * leaders
-    return links.distinct() if links is not None else own.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    members = keyed.join(shared, "band").distinct().checkpoint()
+    own = own.join(members.select("id").distinct(), "id", "left_semi").checkpoint()
+    least = members.groupBy("band").agg(F.min("id").alias("b"))
+    links = scored_links(members.withColumnRenamed("id", "a").join(least, "band").filter("a > b"), own, threshold)
+    apart = members_apart(members, links)
+    sizes = apart.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("band")
+    large = apart.join(sizes, "band").checkpoint()
+    if not large.isEmpty():
+        order = Window.partitionBy("band").orderBy("id")
+        leaders = large.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= LEADERS + 1)
+        leaders = leaders.select("band", F.col("id").alias("leader"), F.col("root").alias("leader_root"))
+        met = large.join(leaders, "band").filter("root <> leader_root")
+        met = met.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b"))
+        links = links.unionByName(scored_links(met, own, threshold))
+        apart = members_apart(members, links)
+    return links.unionByName(links_in_blocks(apart, own, threshold)).distinct()
+
+
+def scored_links(pairs: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose signatures reach the threshold."""
+    left, right = (own.select(F.col("id").alias(x), F.col("signature").alias(f"{x}_signature")) for x in "ab")
+    both = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
+    return both.filter(jaccard_estimate(F.col("a_signature"), F.col("b_signature")) >= threshold).select("a", "b").distinct().checkpoint()
+
+
+def members_apart(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``(band, id, root)`` of the bands whose members the links do not join to one component."""
+    roots = connected_components(links).withColumnRenamed("node", "id")
+    rooted = members.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    several = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
+    return rooted.join(several, "band").checkpoint()
+
+
+def links_in_blocks(apart: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
+    """Links between members of different roots of all bands of ``apart``; of the links that two
+    blocks have, as many as join their components.
+
+    A root with many members in a band has blocks of its own, which are not compared with each
+    other; the members of the other roots share blocks.
+    """
+    sizes = apart.groupBy("band", "root").agg(F.count("*").alias("n")).withColumn("whole", F.col("n") >= BLOCK)
+    rest = F.sum(F.when(~F.col("whole"), F.col("n")))
+    shared = sizes.groupBy("band").agg(F.ceil(rest / BLOCK).cast("int").alias("blocks"), F.min("root").alias("low"))
+    plan = sizes.join(shared, "band").withColumn("blocks", F.when(F.col("whole"), F.ceil(F.col("n") / BLOCK).cast("int")).otherwise(F.col("blocks")))
+    number = F.pmod(F.xxhash64(F.when(F.col("whole"), F.col("id")).otherwise(F.col("root"))), F.col("blocks")).cast("int")
+    block = F.struct("whole", F.when(F.col("whole"), F.col("root")).otherwise(F.col("low")).alias("root"), number.alias("number"))
+    dealt = apart.join(plan, ["band", "root"]).select("band", "id", "root", block.alias("block")).checkpoint()
+    blocks = dealt.select("band", "block").distinct()
+    both = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), "band")
+    both = both.filter("x < y OR (x = y AND NOT x.whole)").filter("NOT (x.whole AND y.whole AND x.root = y.root)")
+    sides = both.select("band", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    full = dealt.join(sides, ["band", "block"]).withColumn("first", F.col("block") == F.col("x")).drop("block").join(own, "id")
+    kind = own.schema["id"].dataType
+    found = full.groupBy("band", "x", "y").applyInArrow(
+        lambda table: block_links(table, threshold), StructType([StructField("a", kind), StructField("b", kind)])
+    )
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+
+
+def block_links(table: pa.Table, threshold: float) -> pa.Table:
+    """Links that join the components of one block (all rows are ``first``) or of two, by all pairs."""
+    first = table["first"].to_numpy()
+    order = np.argsort(~first, kind="stable")
+    table, n, cut = table.take(pa.array(order)), len(first), int(first.sum())
+    slots = table["signature"].combine_chunks().flatten().to_numpy().reshape(n, -1)
+    label = table["root"].combine_chunks().dictionary_encode().indices.to_numpy().copy()
+    # One byte of each slot tells most pairs apart; equal slots have equal bytes.
+    marks = np.ascontiguousarray((slots.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).T)
+    counts, out = np.uint8 if len(marks) < 256 else np.uint32, []
+    for i in range(cut):
+        start = i + 1 if cut == n else cut
+        rest = start + np.flatnonzero(label[start:] != label[i])
+        if not len(rest):
+            continue
+        others = marks[:, start:] if len(rest) == n - start else marks[:, rest]
+        alike = np.add.reduce((others == marks[:, i : i + 1]).view(np.uint8), axis=0, dtype=counts)
+        for j in rest[alike / len(marks) >= threshold].tolist():
+            if label[j] != label[i] and (slots[i] == slots[j]).sum() / len(marks) >= threshold:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    ends = np.array(out, dtype=np.int64).reshape(-1, 2)
+    return pa.table({x: table["id"].take(pa.array(ends[:, k])) for k, x in enumerate("ab")})
 
 
 def connected_components(links: DataFrame) -> DataFrame:

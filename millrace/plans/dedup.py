@@ -76,7 +76,7 @@ _RUNS = (
     "SELECT id, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS item "
     f"FROM (SELECT id, {sql_tokens('lower(text)')} AS w FROM firsts)"
 )
-# The rounds of a band: leaders are its 2^r smallest open ids, whoever reaches an earlier leader is done.
+# Every pair that shares a band and reaches the threshold is a link.
 ORACLES["w05_near_duplicates"] = f"""
 WITH RECURSIVE {_BOTH}, firsts AS MATERIALIZED (SELECT min(id) AS id, text FROM records WHERE text IS NOT NULL GROUP BY text),
 {_minhash_sql(_RUNS).replace("signed AS (", "signed AS MATERIALIZED (")},
@@ -85,17 +85,7 @@ near AS MATERIALIZED (
     SELECT a, b FROM (SELECT DISTINCT x.id AS a, y.id AS b FROM banded x JOIN banded y ON x.band = y.band AND x.key = y.key AND x.id > y.id)
     JOIN signed s ON s.id = a JOIN signed t ON t.id = b
     WHERE len(list_filter(list_zip(s.signature, t.signature), lambda z: z[1] = z[2])) >= 0.8 * 128
-), rounds AS (
-    SELECT 0 AS r, band, key, id FROM banded
-    UNION ALL
-    SELECT r + 1, band, key, id FROM (
-        SELECT *, list(id) FILTER (k <= power(2, r)) OVER (PARTITION BY band, key) AS leaders
-        FROM (SELECT *, row_number() OVER (PARTITION BY band, key ORDER BY id) AS k FROM rounds)) o
-    WHERE k > power(2, r) AND NOT EXISTS (SELECT 1 FROM near WHERE a = o.id AND list_contains(leaders, b))
-), ranked AS (SELECT *, row_number() OVER (PARTITION BY r, band, key ORDER BY id) AS k FROM rounds),
-links AS MATERIALIZED (
-    SELECT DISTINCT a, b FROM ranked m JOIN ranked l ON m.r = l.r AND m.band = l.band AND m.key = l.key AND l.k <= power(2, l.r) JOIN near ON a = m.id AND b = l.id
-), edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+), edges AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
 reached AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reached r JOIN edges e ON r.b = e.a),
 roots AS (SELECT a AS id, least(a, min(b)) AS root FROM reached GROUP BY a),
 grown AS (
